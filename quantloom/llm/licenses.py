@@ -6,7 +6,8 @@ bigrams; a unit matches a template at a Dice coefficient of ``threshold`` or mor
 sizes m and n have at most 2 min(m, n) / (m + n), a template can only match units whose number of
 bigrams lies between n t / (2 - t) and n (2 - t) / t: units outside the bounds of all templates are
 dropped by a count of blanks before any word is cut, and each other unit meets only the templates
-whose bounds hold it.
+whose bounds hold it.  Before that, texts and units go that lack all of the words of which a match
+must have one.
 
 Plan: column functions only and no Python; templates are literals; one scan, in which nearly all
 units go; what is left is a grouped maximum, partial in each task.
@@ -19,6 +20,8 @@ gives an empty result.
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -67,6 +70,20 @@ def template_sets(templates: dict[str, list[str]]) -> list[tuple[str, list[str]]
     return [(name, g) for name, texts in templates.items() for t in texts if (g := bigrams(t))]
 
 
+def telling_words(sets: list[tuple[str, list[str]]], threshold: float) -> list[str]:
+    """Words of which any matching unit has one.
+
+    A match misses at most a share 1 - t / (2 - t) of its template's bigrams, so it has one of any
+    larger part of them; of each template the bigrams with the longest words are taken as that part.
+    """
+    out = set()
+    for _, g in sets:
+        need = int(len(g) * (1 - threshold / (2 - threshold)) + 1e-9) + 1
+        longest = sorted((max(x.split(), key=lambda w: (len(w), w)) for x in g), key=lambda w: (-len(w), w))
+        out.update(longest[:need])
+    return sorted(out)
+
+
 def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, license, dice): the best coefficient."""
     if not 0 < threshold <= 1:
@@ -83,10 +100,13 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, thresho
     paragraphs = F.filter(F.split("clean", "\n *\n"), lambda u: u.contains("\n"))
     units = F.concat(lines, F.transform(paragraphs, lambda u: F.translate(u, "\n", " ")), F.when(F.col("clean").contains("\n"), F.array(F.translate("clean", "\n", " "))).otherwise(F.array()))
     # outer: else Catalyst adds a filter on the array's size and cuts each text twice
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), clean.alias("clean"))
+    tell = telling_words(sets, threshold)
+    low = F.lower(F.col("text").cast("string"))
+    rows = docs.filter(reduce(or_, [low.contains(w) for w in tell])).select(F.col("doc_id").cast("long").alias("doc_id"), clean.alias("clean"))
     rows = rows.select("doc_id", F.explode_outer(units).alias("unit")).withColumn("unit", F.trim("unit"))
     # blanks between words are single but where a line ends: an upper bound on the number of bigrams
     rows = rows.filter(F.length("unit") - F.length(F.replace("unit", F.lit(" "), F.lit(""))) >= least)
+    rows = rows.filter(F.arrays_overlap(F.split("unit", " "), F.array(*map(F.lit, tell))))
     # a long unit has too many bigrams unless it repeats itself: the distinct words at its head, less
     # one and less a word that may be cut, are a lower bound on its distinct bigrams
     rows = rows.filter(F.size(F.array_distinct(F.split(F.substring("unit", 1, 6000), " "))) - 2 <= most)

@@ -154,6 +154,21 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def keep_known(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
+    """The rows of docs, whole, whose text gets a language; one pass over the rows themselves."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        names, table = shared.value
+        own = vectors(table.shape[1]) if names else None
+        for b in batches:
+            if names:
+                yield b.filter(pa.array(own.bundles(b.column(at).to_pylist())[1]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def split(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(all rows to predict, rows to learn from)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), F.col("text").cast("string").alias("text"))

@@ -342,34 +342,63 @@ def removed(n: int, spans: list, span: int) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
+def _cut(packed: list[bytes], spans: list, span: int):
+    """(length, removed runs, what is left) of each text."""
+    z = zstandard.ZstdDecompressor()
+    for p, xs in zip(packed, spans):
+        t = z.decompress(p)
+        gone = removed(len(t), xs or [], span)
+        edges = [0, *(x for run in gone for x in run), len(t)]
+        yield len(t), gone, b"".join(t[s:e] for s, e in zip(edges[::2], edges[1::2]))
+
+
 def dedup(docs: DataFrame, span: int = SPAN, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(doc_id, n_bytes, removed array<struct<s, e>>, kept binary) of every row of docs."""
     rows = keyed(docs)
     spans = written(repeated_ranges(rows, span, shard_bytes), "spans")
 
     def run(batches):
-        z = zstandard.ZstdDecompressor()
+        kind = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
         for b in batches:
-            size, cuts, kept = [], [], []
-            for packed, xs in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                t = z.decompress(packed)
-                gone = removed(len(t), xs or [], span)
-                at = 0
-                parts = []
-                for s, e in gone:
-                    parts.append(t[at:s])
-                    at = e
-                parts.append(t[at:])
-                size.append(len(t))
-                cuts.append([{"s": s, "e": e} for s, e in gone])
-                kept.append(b"".join(parts))
-            kind = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(cuts, kind), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "removed", "kept"])
+            got = list(_cut(b.column(1).to_pylist(), b.column(2).to_pylist(), span))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([[{"s": s, "e": e} for s, e in g[1]] for g in got], kind), pa.array([g[2] for g in got], pa.binary())], ["doc_id", "n_bytes", "removed", "kept"])
 
     joined = _packed(rows).join(spans, ["r1", "r2"], "left").select("doc_id", "z", "spans")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, removed array<struct<s:long,e:long>>, kept binary")
 
 
+def cut_documents(docs: DataFrame, columns: list[str], span: int = SPAN) -> DataFrame:
+    """docs, with the repeated strings cut out of ``text`` and ``n_chars`` counted anew.
+
+    A character of which a cut leaves a part is dropped whole.  Documents that had more than blanks
+    and have no more go.
+    """
+    rows = keyed(docs)
+    spans = written(repeated_ranges(rows, span), "spans")
+    others = [c for c in columns if c not in ("doc_id", "text", "n_chars")]
+    full = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *others)
+    full = full.select("doc_id", *others, *[F.xxhash64(*c).alias(n) for n, c in (("r1", ["doc_id", "text"]), ("r2", ["text", F.lit("r2"), "doc_id", F.length("text")]))], "text")
+
+    def pack(batches):
+        z = zstandard.ZstdCompressor(1)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([z.compress(t) for t in b.column(b.num_columns - 1).cast(pa.binary()).to_pylist()], pa.binary())], [*b.schema.names[:-1], "z"])
+
+    def run(batches):
+        for b in batches:
+            n = b.num_columns
+            got = list(_cut(b.column(n - 2).to_pylist(), b.column(n - 1).to_pylist(), span))
+            text = [g[2].decode("utf-8", "ignore") for g in got]
+            keep = pa.array([bool(t.strip()) or not g[1] for t, g in zip(text, got)])
+            out = pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], [*b.schema.names[:-2], "text", "n_chars"])
+            yield out.filter(keep)
+
+    rest = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in full.drop("r1", "r2", "text").schema)
+    packed = full.mapInArrow(pack, f"{rest}r1 long, r2 long, z binary")
+    joined = packed.join(spans, ["r1", "r2"], "left").select("doc_id", *others, "z", "spans")
+    return joined.mapInArrow(run, f"{rest}text string, n_chars long").select(*columns)
+
+
 def op4_suffix(spark, sf_dir):
     out = dedup(documents(spark, sf_dir))
     gone = F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"])

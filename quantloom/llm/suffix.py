@@ -222,20 +222,44 @@ def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
 
 
+#: Window keys of one anchor that a merge takes at once, about; frequent anchors are cut by key range.
+MERGE_KEYS = 1 << 17
+
+
+def _part_bits(n: int, windows: int) -> int:
+    """Bits of the key range that an anchor with n rows in the corpus is cut by: alike in all shards."""
+    return min(30, max(0, (n * windows // MERGE_KEYS).bit_length()))
+
+
+SHARDED = "kind int, fp long, sh long, s int, e int, run long, part int, keys array<long>, shs array<long>, starts array<int>"
+
+
 def shard(segments: DataFrame, span: int = SPAN, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Sorted (fp, sh, c, seg) -> rows of kind 0: ranges (s, e) of repeated windows of (fp, sh);
-    of kind 1: keys of the windows of anchors that may go on in another shard."""
-    names = ["kind", "fp", "sh", "s", "e", "run", "part", "key"]
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
-
-    def solve(chunk, run, edges):
-        out = [(0, fp, sh, s, e, 0, 0, 0) for (fp, sh, c, seg), hit in zip(chunk, repeated_starts([x[3] for x in chunk], span)) for s, e in ([(0, len(seg) - span + 1)] if c > 1 else _runs(hit))]
-        for fp, sh, _, seg in chunk:
-            if fp in edges:
-                for s in range(len(seg) - span + 1):
-                    key = xxhash.xxh3_64_intdigest(seg[s:s + span])
-                    out.append((1, fp, sh, s, s + 1, run, key >> 52, key - (1 << 64) if key >= 1 << 63 else key))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 8, kinds)], names)
+    """Sorted (fp, sh, c, n, seg) -> rows of kind 0: ranges (s, e) of repeated windows of (fp, sh);
+    of kind 1: a sorted run of the window keys of an anchor that may go on in another shard."""
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+    names = [x.split()[0] for x in SHARDED.split(", ")]
+
+    def edge_runs(chunk, fp, run):
+        own = [x for x in chunk if x[0] == fp]
+        keys = np.array([xxhash.xxh3_64_intdigest(seg[k:k + span]) for *_, seg in own for k in range(len(seg) - span + 1)], np.uint64)
+        windows = np.array([len(x[4]) - span + 1 for x in own])
+        shs = np.repeat(np.array([x[1] for x in own], np.int64), windows)
+        starts = np.arange(len(keys)) - np.repeat(np.cumsum(windows) - windows, windows)
+        order = np.argsort(keys, kind="stable")
+        keys, shs, starts = keys[order], shs[order], starts[order].astype(np.int32)
+        bits = _part_bits(own[0][3], span)
+        part = (keys >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+        cuts = np.flatnonzero(np.diff(part)) + 1
+        for k, h, t, at in zip(np.split(keys.view(np.int64), cuts), np.split(shs, cuts), np.split(starts, cuts), np.concatenate((part[:1], part[cuts]))):
+            yield 1, fp, 0, 0, 0, run, int(at), k, h, t
+
+    def solve(chunk, run):
+        out = [(0, fp, sh, s, e, 0, 0, [], [], []) for (fp, sh, c, _, seg), hit in zip(chunk, repeated_starts([x[4] for x in chunk], span)) for s, e in ([(0, len(seg) - span + 1)] if c > 1 else _runs(hit))]
+        # the first and the last anchor of a shard may have segments in its neighbours
+        for fp in {chunk[0][0], chunk[-1][0]}:
+            out += edge_runs(chunk, fp, run)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * len(kinds), kinds)], names)
 
     def run(batches):
         number, chunk, size, last = TaskContext.get().partitionId() << 32, [], 0, None
@@ -244,37 +268,41 @@ def shard(segments: DataFrame, span: int = SPAN, shard_bytes: int = SHARD_BYTES)
                 if row[:2] == last:
                     continue  # the same segment by two rows of one key
                 last = row[:2]
-                if size + len(row[3]) > shard_bytes:
-                    # the first and the last anchor of a shard may have segments in its neighbours
-                    yield solve(chunk, number, {chunk[0][0], chunk[-1][0]})
+                if size + len(row[4]) > shard_bytes:
+                    yield solve(chunk, number)
                     number, chunk, size = number + 1, [], 0
                 chunk.append(row)
-                size += len(row[3])
+                size += len(row[4])
         if chunk:
-            yield solve(chunk, number, {chunk[0][0], chunk[-1][0]})
+            yield solve(chunk, number)
 
-    return segments.mapInArrow(run, "kind int, fp long, sh long, s int, e int, run long, part int, key long")
+    return segments.mapInArrow(run, SHARDED)
 
 
 def _merge(batches):
-    """Runs of window keys, gathered by (fp, part) -> the windows whose key other windows have too."""
-    got = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
-    if not got:
-        return
-    t = pa.concat_tables(got)
-    fp, run, key = (t[c].to_numpy() for c in ("fp", "run", "key"))
-    # (fp, key) as one number, its place among all such pairs; kept sorted within each run
-    order = np.lexsort((key, fp))
-    new = np.ones(len(order), bool)
-    new[1:] = (fp[order][1:] != fp[order][:-1]) | (key[order][1:] != key[order][:-1])
-    ids = np.empty(len(order), np.int64)
-    ids[order] = np.cumsum(new)
-    runs = [np.sort(ids[x]) for x in np.split(np.argsort(run, kind="stable"), np.flatnonzero(np.diff(np.sort(run))) + 1)]
-    # sorted runs are merged two by two, each finding its places in the other by binary search
-    while len(runs) > 1:
-        runs = [_merged(*runs[k:k + 2]) for k in range(0, len(runs), 2)]
-    count = np.searchsorted(runs[0], ids, "right") - np.searchsorted(runs[0], ids, "left")
-    yield from t.filter(pa.array(count > 1)).select(["fp", "sh", "s", "e"]).to_batches()
+    """Runs of window keys, dealt by (fp, part) -> ranges of the windows whose key others have too."""
+    names = ["fp", "sh", "s", "e"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    groups: dict[tuple[int, int], list] = {}
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        for fp, part, keys, shs, starts in zip(t["fp"].to_pylist(), t["part"].to_pylist(), t["keys"], t["shs"], t["starts"]):
+            groups.setdefault((fp, part), []).append(tuple(np.asarray(x.values) for x in (keys, shs, starts)))
+    for (fp, _), own in groups.items():
+        runs = [x[0].view(np.uint64) for x in own]
+        # sorted runs are merged two by two, each finding its places in the other by binary search
+        while len(runs) > 1:
+            runs = [_merged(*runs[k:k + 2]) for k in range(0, len(runs), 2)]
+        keys, shs, starts = (np.concatenate(x) for x in zip(*own))
+        keys = keys.view(np.uint64)
+        more = np.searchsorted(runs[0], keys, "right") - np.searchsorted(runs[0], keys, "left") > 1
+        shs, starts = shs[more], starts[more]
+        order = np.lexsort((starts, shs))
+        shs, starts = shs[order], starts[order]
+        if len(shs):
+            first = np.flatnonzero(np.concatenate(([True], (shs[1:] != shs[:-1]) | (starts[1:] != starts[:-1] + 1))))
+            last = np.append(first[1:], len(shs)) - 1
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(([fp] * len(first), shs[first], starts[first], starts[last] + 1), kinds)], names)
 
 
 def _merged(a: np.ndarray, b: np.ndarray | None = None) -> np.ndarray:
@@ -307,23 +335,23 @@ def repeated_ranges(docs: DataFrame, span: int = SPAN, shard_bytes: int = SHARD_
     """keyed docs -> (r1, r2, spans array<struct<s, e>>): window starts [s, e) that also start elsewhere."""
     found = written(anchors(docs, span), "anchors")
     seen = found.groupBy("fp").agg(F.count("*").alias("n"), F.min("sh").alias("lo"), F.max("sh").alias("hi")).filter("n > 1")
-    seen = written(seen.select("fp", (F.col("lo") != F.col("hi")).alias("mixed")), "repeated-anchors")
+    seen = written(seen.select("fp", "n", (F.col("lo") != F.col("hi")).alias("mixed")), "repeated-anchors")
     rows = written(found.join(seen, "fp"), "repeated-rows")
     mixed = rows.filter("mixed")
     # one row a distinct segment, and where to read it
-    distinct = mixed.groupBy("fp", "sh").agg(F.count("*").alias("c"), F.min(F.struct("r1", "r2", "a", "m")).alias("at"))
-    wanted = distinct.select("at.r1", "at.r2", F.struct("fp", "sh", "c", "at.a", "at.m").alias("x")).groupBy("r1", "r2").agg(F.collect_list("x").alias("xs"))
+    distinct = mixed.groupBy("fp", "sh").agg(F.count("*").alias("c"), F.max("n").alias("n"), F.min(F.struct("r1", "r2", "a", "m")).alias("at"))
+    wanted = distinct.select("at.r1", "at.r2", F.struct("fp", "sh", "c", "n", "at.a", "at.m").alias("x")).groupBy("r1", "r2").agg(F.collect_list("x").alias("xs"))
     wanted = written(wanted, "wanted")
 
     def cut(batches):
         z = zstandard.ZstdDecompressor()
         for b in batches:
-            out = [(x["fp"], x["sh"], x["c"], t[x["a"]:x["a"] + x["m"] + span - 1]) for packed, xs in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for t in [z.decompress(packed)] for x in xs]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 4, [pa.int64(), pa.int64(), pa.int64(), pa.binary()])], ["fp", "sh", "c", "seg"])
+            out = [(x["fp"], x["sh"], x["c"], x["n"], t[x["a"]:x["a"] + x["m"] + span - 1]) for packed, xs in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for t in [z.decompress(packed)] for x in xs]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 5, [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()])], ["fp", "sh", "c", "n", "seg"])
 
-    segments = written(_packed(docs).join(wanted, ["r1", "r2"]).select("z", "xs").mapInArrow(cut, "fp long, sh long, c long, seg binary"), "segments")
+    segments = written(_packed(docs).join(wanted, ["r1", "r2"]).select("z", "xs").mapInArrow(cut, "fp long, sh long, c long, n long, seg binary"), "segments")
     sharded = written(shard(segments.repartitionByRange("fp", "sh").sortWithinPartitions("fp", "sh"), span, shard_bytes), "sharded")
-    crossing = sharded.filter("kind = 1").select("fp", "sh", "s", "e", "run", "part", "key").repartition("fp", "part").mapInArrow(_merge, "fp long, sh long, s int, e int")
+    crossing = sharded.filter("kind = 1").select("fp", "part", "keys", "shs", "starts").repartition("fp", "part").mapInArrow(_merge, "fp long, sh long, s int, e int")
     ranges = written(sharded.filter("kind = 0").select("fp", "sh", "s", "e").union(crossing), "ranges")
     own = rows.filter("not mixed").select("r1", "r2", F.col("a").alias("s"), (F.col("a") + F.col("m")).alias("e"))
     other = mixed.select("r1", "r2", "fp", "sh", "a").join(ranges, ["fp", "sh"]).select("r1", "r2", (F.col("a") + F.col("s")).alias("s"), (F.col("a") + F.col("e")).alias("e"))

@@ -1,11 +1,13 @@
-"""Registered queries and their SQL; filled by the modules of this folder."""
+"""Registered queries and their SQL, from the modules of this folder."""
 
 from __future__ import annotations
 
+from . import markets, research
+
 
 def queries() -> dict:
-    return {}
+    return {**research.Q, **markets.Q}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**research.SQL, **markets.SQL}

@@ -28,6 +28,8 @@ from __future__ import annotations
 
 import os
 import re
+from collections import defaultdict
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -193,17 +195,25 @@ class Level:
 
     def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Index of each (context, word), or -1: a successor search from the context's first id."""
+        if not len(context):
+            return np.zeros(0, np.int64)
+        # queries come sorted: each context's range is read once
+        head = np.concatenate(([True], context[1:] != context[:-1]))
+        run, own = np.cumsum(head) - 1, context[head]
+        lo, hi, base = (np.zeros(len(own), np.int64) for _ in range(3))
+        for a in range(0, len(own), 1 << 16):
+            c = own[a:a + (1 << 16)]
+            lo[a:a + len(c)], hi[a:a + len(c)] = self.ptr.access(c).astype(np.int64), self.ptr.access(c + 1).astype(np.int64)
+        inner = np.flatnonzero((hi > lo) & (lo > 0))
+        for a in range(0, len(inner), 1 << 16):
+            at = inner[a:a + (1 << 16)]
+            base[at] = self.ids.access(lo[at] - 1).astype(np.int64)
         out = np.full(len(context), -1, np.int64)
-        for a in range(0, len(context), 1 << 16):
-            c = context[a:a + (1 << 16)]
-            lo, hi = self.ptr.access(c).astype(np.int64), self.ptr.access(c + 1).astype(np.int64)
-            some = np.flatnonzero(hi > lo)
-            base = np.zeros(len(some), np.int64)
-            inner = lo[some] > 0
-            base[inner] = self.ids.access(lo[some][inner] - 1).astype(np.int64)
-            i = self.ids.find(base + word[a:a + (1 << 16)][some] + 1)
-            ok = (i >= lo[some]) & (i < hi[some])
-            out[a + some[ok]] = i[ok]
+        some = np.flatnonzero((hi > lo)[run])
+        r = run[some]
+        i = self.ids.find(base[r] + word[some] + 1)
+        ok = (i >= lo[r]) & (i < hi[r])
+        out[some[ok]] = i[ok]
         return out
 
 
@@ -274,21 +284,28 @@ def model(folder: str, shards: int, levels: int) -> Model:
     return _models[key]
 
 
+def _numbering() -> defaultdict:
+    """Numbers for words as they come; the end token is 0."""
+    known: defaultdict = defaultdict(count().__next__)
+    known[END]
+    return known
+
+
 def pieces(texts):
     """Texts (bytes) in pieces of bounded size -> (token numbers, texts' ends, distinct word hashes)."""
-    known: dict[bytes, int] = {END: 0}
+    known = _numbering()
     flat: list[np.ndarray] = []
     ends, size, n = [], 0, 0
     for t in texts:
         ws = WORD.findall((t or b"").lower())
         ws.append(END)
-        flat.append(np.fromiter((known.setdefault(w, len(known)) for w in ws), np.int64, len(ws)))
+        flat.append(np.fromiter(map(known.__getitem__, ws), np.int64, len(ws)))
         n += len(ws)
         ends.append(n)
         size += len(t or b"")
         if size >= PIECE:
             yield np.concatenate(flat), np.array(ends), np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known))
-            known, flat, ends, size, n = {END: 0}, [], [], 0, 0
+            known, flat, ends, size, n = _numbering(), [], [], 0, 0
     if flat:
         yield np.concatenate(flat), np.array(ends), np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known))
 

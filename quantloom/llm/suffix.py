@@ -222,8 +222,9 @@ def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
 
 
-#: Window keys of one anchor that a merge takes at once, about; frequent anchors are cut by key range.
-MERGE_KEYS = 1 << 17
+#: Window keys of one anchor that a merge takes at once, about (20 bytes each); more frequent anchors
+#: are cut by key range, which also cuts their ranges of windows, so no finer than memory asks.
+MERGE_KEYS = 1 << 21
 
 
 def _part_bits(n: int, windows: int) -> int:
@@ -248,7 +249,7 @@ def shard(segments: DataFrame, span: int = SPAN, shard_bytes: int = SHARD_BYTES)
         starts = np.arange(len(keys)) - np.repeat(np.cumsum(windows) - windows, windows)
         order = np.argsort(keys, kind="stable")
         keys, shs, starts = keys[order], shs[order], starts[order].astype(np.int32)
-        bits = _part_bits(own[0][3], span)
+        bits = _part_bits(own[0][3], max(1, span - GRAM + 1))
         part = (keys >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
         cuts = np.flatnonzero(np.diff(part)) + 1
         for k, h, t, at in zip(np.split(keys.view(np.int64), cuts), np.split(shs, cuts), np.split(starts, cuts), np.concatenate((part[:1], part[cuts]))):

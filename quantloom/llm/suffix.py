@@ -353,10 +353,13 @@ def repeated_ranges(docs: DataFrame, span: int = SPAN, shard_bytes: int = SHARD_
     segments = written(_packed(docs).join(wanted, ["r1", "r2"]).select("z", "xs").mapInArrow(cut, "fp long, sh long, c long, n long, seg binary"), "segments")
     sharded = written(shard(segments.repartitionByRange("fp", "sh").sortWithinPartitions("fp", "sh"), span, shard_bytes), "sharded")
     crossing = sharded.filter("kind = 1").select("fp", "part", "keys", "shs", "starts").repartition("fp", "part").mapInArrow(_merge, "fp long, sh long, s int, e int")
-    ranges = written(sharded.filter("kind = 0").select("fp", "sh", "s", "e").union(crossing), "ranges")
-    own = rows.filter("not mixed").select("r1", "r2", F.col("a").alias("s"), (F.col("a") + F.col("m")).alias("e"))
-    other = mixed.select("r1", "r2", "fp", "sh", "a").join(ranges, ["fp", "sh"]).select("r1", "r2", (F.col("a") + F.col("s")).alias("s"), (F.col("a") + F.col("e")).alias("e"))
-    return own.union(other).groupBy("r1", "r2").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    # a row a segment (its at most span windows bound the set), so a segment's rows do not multiply below
+    both = sharded.filter("kind = 0").select("fp", "sh", "s", "e").union(crossing)
+    ranges = written(both.groupBy("fp", "sh").agg(F.collect_set(F.struct("s", "e")).alias("xs")), "ranges")
+    own = rows.filter("not mixed").select("r1", "r2", F.array(F.struct(F.col("a").alias("s"), (F.col("a") + F.col("m")).alias("e"))).alias("xs"))
+    shifted = F.transform("xs", lambda x: F.struct((F.col("a") + x["s"]).alias("s"), (F.col("a") + x["e"]).alias("e")))
+    other = mixed.select("r1", "r2", "fp", "sh", "a").join(ranges, ["fp", "sh"]).select("r1", "r2", shifted.alias("xs"))
+    return own.union(other).groupBy("r1", "r2").agg(F.flatten(F.collect_list("xs")).alias("spans"))
 
 
 def removed(n: int, spans: list, span: int) -> list[tuple[int, int]]:

@@ -22,12 +22,12 @@ def main() -> None:
     took = {}
     for name in HEADLINE:
         times = []
-        for _ in range(3):
+        for _ in range(2):  # the first run warms up
             began = time.perf_counter()
             run[name](spark, sf).write.format("noop").mode("overwrite").save()
             times.append(time.perf_counter() - began)
-        took[name] = round(sorted(times)[1], 3)
-    print(json.dumps({"metric": "headline_queries_median_of_3", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(sf.rstrip("/")).removeprefix("sf")}))
+        took[name] = round(times[1], 3)
+    print(json.dumps({"metric": "headline_queries_warm", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(sf.rstrip("/")).removeprefix("sf")}))
     spark.stop()
 
 

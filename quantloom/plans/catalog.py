@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import markets, research
+from . import markets, ranking, research
 
 
 def queries() -> dict:
-    return {**research.Q, **markets.Q}
+    return {**research.Q, **markets.Q, **ranking.Q}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**research.SQL, **markets.SQL}
+    return {**research.SQL, **markets.SQL, **ranking.SQL}

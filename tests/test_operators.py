@@ -135,3 +135,30 @@ def test_decay_half_life(spark):
     d = spark.createDataFrame([(1, 0.5), (2, 0.25), (3, 0.125)], "horizon int, m double")
     assert evaluate.half_life(d, "m", True).first()["half_life"] == 1.0
     assert evaluate.half_life(d.limit(2), "m", True).first()["half_life"] is None
+
+
+def test_scores_of_missing_and_extreme_values(spark):
+    from quantloom.operators import scores
+
+    c = F.col
+    d = spark.createDataFrame([(1, None, None, None), (2, 0.5, None, None), (3, 3.0, -8.0, -2.0), (4, -0.1, 1.0, -0.25)], "k int, a double, b double, d double")
+    quality = {r.k: r.q for r in d.select("k", scores.return_quality(c("a"), c("b"), c("d")).alias("q")).collect()}
+    assert quality[1] is None and abs(quality[3] - 2 / 3) < 1e-12 and abs(quality[4] - 1.25 / 3) < 1e-12
+    grades = [r.g for r in d.orderBy("k").select(scores.grade(c("a"), F.lit(0.5)).alias("g")).collect()]
+    assert grades == ["insufficient_evidence", "weak_or_inconclusive", "candidate", "weak_or_inconclusive"]
+    assert d.filter("k = 3").select(scores.grade(c("a"), F.lit(0.1))).first()[0] == "blocked_by_coverage"
+    one = d.groupBy("k").agg(scores.consistency("a").alias("s")).collect()
+    assert {r.k: r.s for r in one} == {1: None, 2: 0.5, 3: 0.5, 4: 0.5}
+    none = F.lit(None).cast("double")
+    assert d.filter("k = 1").select(scores.warnings(F.lit(40), none, none, none, none, none, none, none)).first()[0] == []
+
+
+def test_fill_batches_keep_all_shares(spark):
+    from quantloom.operators import scores
+
+    o = spark.createDataFrame([(1, 10), (2, 0), (3, 3)], "id int, shares long")
+    got = scores.fill_batches(o, 4, 0.5).collect()
+    assert [r.fill for r in sorted(got, key=lambda r: r.batch) if r.id == 1 and r.mode == "twap"] == [3, 3, 2, 2]
+    for i, n in ((1, 10), (2, 0), (3, 3)):
+        assert sum(r.fill for r in got if r.id == i and r.mode == "twap") == n
+    assert {r.fill for r in got if r.mode == "partial_fill"} == {5, 0, 1}

@@ -6,7 +6,8 @@ row; indicators are scaled by these ratios and a linear hinge-loss model is fitt
 coordinate descent.  The fit takes a sample of about ``fit_rows`` rows, chosen by a hash of the id;
 counts and scores cover all rows.
 
-Plan: labels join texts once (training rows only) -> one Arrow pass counts features by class, summed
+Plan: labels join compressed texts once (training rows only; labels grow with the corpus, so neither
+side is broadcast) -> one Arrow pass counts features by class, summed
 by key -> ratios: at most 2 x DIM rows -> the fit runs in one task on the bounded sample -> weights
 (DIM floats, a fixed size) go out with the scoring pass, which has no shuffle.
 
@@ -22,6 +23,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -195,8 +197,26 @@ def score(docs: DataFrame, model, threshold: float = THRESHOLD) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def labelled_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs (doc_id, text), labels (doc_id, y) -> (doc_id, text, y); texts are compressed on their way."""
+
+    def pack(batches):
+        z = zstandard.ZstdCompressor(1)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([z.compress(t or b"") for t in b.column(1).cast(pa.binary()).to_pylist()], pa.binary())], ["doc_id", "z"])
+
+    def unpack(batches):
+        z = zstandard.ZstdDecompressor()
+        for b in batches:
+            text = pa.array([z.decompress(t) for t in b.column(1).to_pylist()], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), text, b.column(2)], ["doc_id", "text", "y"])
+
+    packed = docs.select("doc_id", "text").mapInArrow(pack, "doc_id long, z binary")
+    return packed.join(labels.hint("merge"), "doc_id").select("doc_id", "z", "y").mapInArrow(unpack, "doc_id long, text string, y int")
+
+
 def op1_quality(spark, sf_dir):
     docs = documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), F.col("text").cast("string").alias("text"))
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(F.col("quality").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("y"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(F.col("quality").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y"))
     labels = labels.filter(remainder(F.col("doc_id"), 5) != 0)
-    return score(docs, train(docs.filter("not held_out").join(labels, "doc_id").select("doc_id", "text", "y")))
+    return score(docs, train(labelled_texts(docs.filter("not held_out"), labels)))

@@ -261,3 +261,10 @@ def test_empty_tables(spark):
 def test_fold_is_crc32(spark):
     got = spark.range(50).select("id", langid.remainder(F.col("id"), 4).alias("r")).collect()
     assert all(r.r == zlib.crc32(str(r.id).encode()) % 4 for r in got)
+
+
+def test_quality_labelled_texts(spark):
+    docs = spark.createDataFrame([(1, "é one"), (2, None), (3, ""), (4, "unlabelled"), (None, "no id")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 1), (9, 1), (None, 1)], "doc_id long, y int")
+    got = sorted((r.doc_id, r.text, r.y) for r in quality.labelled_texts(docs, labels).collect())
+    assert got == [(1, "é one", 0), (1, "é one", 1), (2, "", 0), (3, "", 1)]

@@ -31,10 +31,10 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write to the shared folder and read again: cuts the lineage and survives lost executors."""
     spark, at = df.sparkSession, scratch(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(at)
+    df.write.mode("overwrite").parquet(at, compression=codec)
     return spark.read.schema(df.schema).parquet(at)
 
 

@@ -89,7 +89,7 @@ def classify(pages: DataFrame, min_revisit: int = 0) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     rows = rows.mapInArrow(digests, "page_id long, url string, html string, digest string, bytes long").withColumn("nonce", F.monotonically_increasing_id())
     # the nonce parts repeated rows of one id; it must not change between the two uses: keep it
-    keys = written(rows.select("page_id", "url", "digest", "bytes", "nonce", F.col("html")), "pages")
+    keys = written(rows.select("page_id", "url", "digest", "bytes", "nonce", F.col("html")), "pages", "zstd")
     rank = F.struct(F.col("page_id").isNotNull().alias("some"), "page_id", "url", "nonce")
     first = written(keys.filter(F.col("bytes") >= min_revisit).groupBy("digest").agg(F.max(rank).alias("first")).select("digest", "first.*"), "responses")
     first = first.select("digest", F.col("page_id").alias("first_id"), F.col("nonce").alias("first_nonce"))

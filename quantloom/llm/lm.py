@@ -53,7 +53,7 @@ PIECE = 12 << 20
 STEPS = 4096.0
 U = np.uint64
 BYTE_SELECT = np.array([[([i for i in range(8) if b >> i & 1] + [8] * 8)[k] for k in range(8)] for b in range(256)], np.int64)
-BYTE_ONES = np.array([bin(b).count("1") for b in range(256)], np.int64)
+ONCE, HIGH, NIBBLE, PAIR, ODD = U(0x0101010101010101), U(0x8080808080808080), U(0x0F0F0F0F0F0F0F0F), U(0x3333333333333333), U(0x5555555555555555)
 
 
 class EliasFano:
@@ -62,7 +62,7 @@ class EliasFano:
     def __init__(self, low: np.ndarray, high: np.ndarray, ones: np.ndarray, n: int, bits: int):
         self.low, self.high, self.n, self.bits = low, high, n, bits
         self.ones = ones
-        self.zeros = np.arange(len(ones)) * 512 - np.asarray(ones)
+        self.zeros = np.arange(len(ones)) * 64 - ones
 
     @classmethod
     def build(cls, values: np.ndarray, universe: int) -> EliasFano:
@@ -70,7 +70,7 @@ class EliasFano:
         bits = max(0, (universe // max(n, 1)).bit_length() - 1)
         values = values.astype(np.uint64)
         at = (values >> U(bits)).astype(np.int64) + np.arange(n)
-        words = ((n + (universe >> bits) + 2) // 512 + 1) * 8
+        words = (n + (universe >> bits) + 2) // 64 + 1
         high = np.zeros(words, np.uint64)
         np.bitwise_or.at(high, at >> 6, U(1) << (at & 63).astype(np.uint64))
         low = np.zeros((n * bits >> 6) + 2, np.uint64)
@@ -81,7 +81,7 @@ class EliasFano:
             np.bitwise_or.at(low, w, part << off)
             over = (place & 63) + bits > 64
             np.bitwise_or.at(low, w[over] + 1, part[over] >> (U(64) - off[over]))
-        ones = np.concatenate(([0], np.cumsum(np.bitwise_count(high).astype(np.int64).reshape(-1, 8).sum(1))))
+        ones = np.concatenate(([0], np.cumsum(np.bitwise_count(high), dtype=np.int64)))
         return cls(low, high, ones, n, bits)
 
     def save(self, at: str) -> None:
@@ -92,25 +92,24 @@ class EliasFano:
     @classmethod
     def load(cls, at: str) -> EliasFano:
         n, bits = np.load(f"{at}-size.npy").tolist()
-        return cls(*(np.load(f"{at}-{x}.npy", mmap_mode="r") for x in ("low", "high", "ones")), n, bits)
+        return cls(*(_mapped(f"{at}-{x}.npy") for x in ("low", "high", "ones")), n, bits)
 
     def _select(self, k: np.ndarray, zero: bool) -> np.ndarray:
         """Places of the k-th ones or zeros (from 0)."""
         counts = self.zeros if zero else self.ones
-        b = np.searchsorted(counts, k, "right") - 1
-        r = k - counts[b]
-        w = self.high[(b * 8)[:, None] + np.arange(8)]
+        at = np.searchsorted(counts, k, "right") - 1
+        w = self.high[at]
         if zero:
             w = ~w
-        seen = np.cumsum(np.bitwise_count(w), axis=1, dtype=np.int64)
-        at = (seen <= r[:, None]).sum(1)
-        rows = np.arange(len(k))
-        r = r - np.where(at > 0, seen[rows, at - 1], 0)
-        byte = w[rows, at].view(np.uint8).reshape(-1, 8)
-        seen = np.cumsum(BYTE_ONES[byte], axis=1)
-        j = (seen <= r[:, None]).sum(1)
-        r = r - np.where(j > 0, seen[rows, j - 1], 0)
-        return b * 512 + at * 64 + j * 8 + BYTE_SELECT[byte[rows, j], r]
+        r = (k - counts[at]).astype(np.uint64)
+        # byte i of s: ones in the bytes 0..i of the word
+        s = w - ((w >> U(1)) & ODD)
+        s = (s & PAIR) + ((s >> U(2)) & PAIR)
+        s = ((s + (s >> U(4))) & NIBBLE) * ONCE
+        byte = np.bitwise_count((((r * ONCE) | HIGH) - s) & HIGH).astype(np.uint64) << U(3)
+        r -= ((s << U(8)) >> byte) & U(255)
+        inner = BYTE_SELECT[((w >> byte) & U(255)).astype(np.int64), r.astype(np.int64)]
+        return at * 64 + byte.astype(np.int64) + inner
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.bits:
@@ -159,6 +158,11 @@ def _save(path: str, x: np.ndarray) -> None:
     os.replace(own, path)
 
 
+def _mapped(path: str) -> np.ndarray:
+    """A file's array, memory-mapped."""
+    return np.asarray(np.load(path, mmap_mode="r"))
+
+
 def _quantise(p: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(-np.log10(np.maximum(p, 1e-300)) * STEPS), 0, 65535).astype(np.uint16)
 
@@ -172,8 +176,7 @@ class Level:
 
     def __init__(self, at: str):
         self.ptr, self.ids = EliasFano.load(f"{at}-ptr"), EliasFano.load(f"{at}-ids")
-        self.prob = np.load(f"{at}-prob.npy", mmap_mode="r")
-        self.weight = np.load(f"{at}-weight.npy", mmap_mode="r")
+        self.prob, self.weight = _mapped(f"{at}-prob.npy"), _mapped(f"{at}-weight.npy")
 
     @staticmethod
     def build(at: str, contexts: int, context: np.ndarray, word: np.ndarray, count: np.ndarray, total: np.ndarray, vocabulary: int) -> None:
@@ -223,7 +226,7 @@ class Model:
     def __init__(self, folder: str, shards: int, levels: int):
         self.folder, self.shards, self.levels = folder, shards, levels
         self.hashes = [EliasFano.load(f"{folder}/{s}-1") for s in range(shards)]
-        self.counts = [np.load(f"{folder}/{s}-1-count.npy", mmap_mode="r") for s in range(shards)]
+        self.counts = [_mapped(f"{folder}/{s}-1-count.npy") for s in range(shards)]
         sizes = [len(c) for c in self.counts]
         self.base = np.concatenate(([0], np.cumsum(sizes)))
         self.vocabulary = int(self.base[-1])
@@ -310,6 +313,26 @@ def pieces(texts):
         yield np.concatenate(flat), np.array(ends), np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known))
 
 
+def _ranks(ids: np.ndarray) -> np.ndarray:
+    """Ranks of a piece's distinct words in the order of ids; unknown words all come last."""
+    rank = np.empty(len(ids), np.int64)
+    rank[np.argsort(ids)] = np.arange(len(ids))
+    rank[ids < 0] = len(ids)
+    return rank
+
+
+def _by_pair(a: np.ndarray, b: np.ndarray, most_a: int, most_b: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order by (a, b), whether each in that order is the first of its pair); a and b are not negative."""
+    x, y, z = most_a.bit_length(), most_b.bit_length(), len(a).bit_length()
+    if x + y + z <= 63:  # pair and place in one number: a plain sort is far faster than one of places
+        key = np.sort((a.astype(np.uint64) << U(y + z)) | (b.astype(np.uint64) << U(z)) | np.arange(len(a), dtype=np.uint64))
+        order, key = (key & U((1 << z) - 1)).astype(np.int64), key >> U(z)
+        return order, np.concatenate((np.ones(min(1, len(a)), bool), key[1:] != key[:-1]))
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    return order, np.concatenate((np.ones(min(1, len(a)), bool), (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+
+
 def _pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
     """Sorted 64-bit keys and counts, delta-coded by bytes of like weight, compressed."""
     delta = np.diff(keys, prepend=U(0))
@@ -419,22 +442,25 @@ def train(docs: DataFrame, min_count: int = MIN_COUNT, shard_text: int = SHARD_T
 
     def triples(tokens, ends, hashes):
         own = model(folder, shards, 2)
-        ids = own.words(hashes)[0][tokens]
-        inner = np.ones(len(ids), bool)
+        ids = own.words(hashes)[0]
+        rank = _ranks(ids)[tokens]
+        inner = np.ones(len(tokens), bool)
         inner[ends - 1] = False
         inner[np.maximum(ends - 2, 0)] = False
         at = np.flatnonzero(inner)
-        key, back = np.unique((ids[at].astype(np.uint64) << U(32)) | ids[at + 1].astype(np.uint64), return_inverse=True)
-        shard, index, _, _ = own.bigrams((key >> U(32)).astype(np.int64), (key & U(0xFFFFFFFF)).astype(np.int64))
-        index, shard = index[back], shard[back]
-        ok = index >= 0
+        order, head = _by_pair(rank[at], rank[at + 1], len(ids), len(ids))
+        at, pair = at[order], np.cumsum(head) - 1
+        one = at[head]
+        shard, index, _, _ = own.bigrams(ids[tokens[one]], ids[tokens[one + 1]])
         if (index >= 1 << 32).any():
             raise ValueError("a shard has more than 2^32 bigrams; take a smaller shard_text")
-        key = (index[ok].astype(np.uint64) << U(32)) | ids[at[ok] + 2].astype(np.uint64)
-        order = np.lexsort((key, shard[ok]))
-        key, shard = key[order], shard[ok][order]
-        head = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), (key[1:] != key[:-1]) | (shard[1:] != shard[:-1]))))
-        return shard[head], key[head], np.diff(np.append(head, len(key)))
+        ok = index[pair] >= 0
+        at, pair = at[ok], pair[ok]
+        # known bigrams are numbered as their shards and indexes go
+        order, head = _by_pair(pair, rank[at + 2], len(one), len(ids))
+        first = np.flatnonzero(head)
+        at, pair = at[order[first]], pair[order[first]]
+        return shard[pair], (index[pair].astype(np.uint64) << U(32)) | ids[tokens[at + 2]].astype(np.uint64), np.diff(np.append(first, len(order)))
 
     def build_triples(s, keys, counts):
         keep = counts >= min_count
@@ -457,26 +483,25 @@ def score_piece(own: Model, tokens: np.ndarray, ends: np.ndarray, hashes: np.nda
     known = np.bincount(text, counts[tokens] > 0, minlength=len(ends)).astype(np.int64)
     base_score = np.bincount(text, np.log10(p), minlength=len(ends))
     place = np.arange(len(tokens)) - begins[text]
-    t = ids[tokens]
-    shard, index = np.full(len(t), -1, np.int64), np.full(len(t), -1, np.int64)
-    at = np.flatnonzero((place >= 1) & (np.concatenate(([-1], t[:-1])) >= 0))
+    rank = _ranks(ids)[tokens]
     # an unknown word after a known one has the back-off weight only
-    second = np.where(t[at] >= 0, t[at], (1 << 32) - 1)
-    key, back = np.unique((t[at - 1].astype(np.uint64) << U(32)) | second.astype(np.uint64), return_inverse=True)
-    s, i, pp, bb = own.bigrams((key >> U(32)).astype(np.int64), (key & U(0xFFFFFFFF)).astype(np.int64))
-    shard[at], index[at] = s[back], i[back]
+    second = np.where(ids >= 0, ids, (1 << 32) - 1)
+    at = np.flatnonzero((place[1:] >= 1) & (rank[:-1] < len(ids))) + 1
+    order, head = _by_pair(rank[at - 1], rank[at], len(ids), len(ids))
+    at, pair = at[order], np.cumsum(head) - 1
+    one = at[head]
+    shard, index, pp, bb = own.bigrams(ids[tokens[one - 1]], second[tokens[one]])
+    p[at] = pp[pair] + bb[pair] * p[at]
+    before = np.full(len(tokens), -1, np.int64)
+    before[at] = np.where(index[pair] >= 0, pair, -1)
+    at = np.flatnonzero((place[1:] >= 2) & (before[:-1] >= 0)) + 1
+    # known bigrams are numbered as their shards and indexes go
+    order, head = _by_pair(before[at - 1], rank[at], len(one), len(ids))
+    at, back = at[order], np.cumsum(head) - 1
+    one = at[head]
+    pair = before[one - 1]
+    pp, bb = own.trigrams(shard[pair], index[pair], second[tokens[one]])
     p[at] = pp[back] + bb[back] * p[at]
-    at = np.flatnonzero((place >= 2) & (np.concatenate(([-1], index[:-1])) >= 0))
-    if len(at):
-        third = np.where(t[at] >= 0, t[at], (1 << 32) - 1)
-        order = np.lexsort((third, index[at - 1], shard[at - 1]))
-        at, third = at[order], third[order]
-        a, b = shard[at - 1], index[at - 1]
-        head = np.ones(len(at), bool)
-        head[1:] = (third[1:] != third[:-1]) | (b[1:] != b[:-1]) | (a[1:] != a[:-1])
-        back, one = np.cumsum(head) - 1, np.flatnonzero(head)
-        pp, bb = own.trigrams(a[one], b[one], third[one])
-        p[at] = pp[back] + bb[back] * p[at]
     return known, base_score, np.bincount(text, np.log10(p), minlength=len(ends))
 
 

@@ -12,7 +12,8 @@ folder, memory-mapped by the tasks that score:
 A query finds its context's range by the pointers and its word by a successor search relative to the
 context.  Smoothing is interpolated absolute discounting over an add-one unigram:
 P(w|c) = max(n(cw) - D, 0) / n(c) + b(c) P(w|shorter c), with b(c) what the kept n-grams leave.
-Bigrams and trigrams below ``MIN_COUNT`` are pruned; b(c) takes up their mass.
+``train`` prunes bigrams and trigrams below ``min_count``; b(c) takes up their mass.  The registered
+query prunes none (``QUERY_MIN_COUNT``).
 
 Plan: each count is one Arrow pass; a task sends each shard one sorted, delta-coded, compressed run of
 distinct n-grams with counts (so a hot word is one entry a task); the shard merges its runs and writes
@@ -44,7 +45,10 @@ from .common import documents, ensure_dir, local_path, remainder, scratch, writt
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 END = b"\n"  # no word holds it
 DISCOUNT = 0.75
+#: Default of ``train``.
 MIN_COUNT = 2
+#: Of the registered query: every n-gram counted is kept.
+QUERY_MIN_COUNT = 1
 #: Bytes of training text a shard, about.
 SHARD_TEXT = 32 << 20
 #: Bytes of text that a task counts or scores at once.
@@ -525,4 +529,4 @@ def score(docs: DataFrame, trained: tuple[str, int, int]) -> DataFrame:
 def op9_lm(spark, sf_dir):
     docs = documents(spark, sf_dir)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder(F.col("doc_id"), 7) == 2).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return score(rows, train(rows.filter("not held_out")))
+    return score(rows, train(rows.filter("not held_out"), QUERY_MIN_COUNT))

@@ -268,3 +268,25 @@ def test_quality_labelled_texts(spark):
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 1), (9, 1), (None, 1)], "doc_id long, y int")
     got = sorted((r.doc_id, r.text, r.y) for r in quality.labelled_texts(docs, labels).collect())
     assert got == [(1, "é one", 0), (1, "é one", 1), (2, "", 0), (3, "", 1)]
+
+
+def test_language_model_query_keeps_every_ngram(spark, tmp_path):
+    texts = {i: prose(i % 5 + 40, 30) + f" only{i} once" for i in range(20)} | {20: None, 21: "only0 once alpha1 once"}
+    documents(spark, list(texts.items())).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in lm.op9_lm(spark, str(tmp_path)).collect()}
+    token = lambda t: [*(t or "").lower().split(), "\n"]
+    train = [token(t) for i, t in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    grams = [collections.Counter(p for t in train for p in zip(*(t[j:] for j in range(k)))) for k in (1, 2, 3)]
+    n, v = sum(grams[0].values()), len(grams[0])
+    assert any(got[i].held_out for i in texts) and 1 in grams[1].values() and 1 in grams[2].values()
+    for i, text in texts.items():
+        t, full = token(text), 0.0
+        for at, w in enumerate(t):
+            p = (grams[0][w,] + 1) / (n + v + 1)
+            for k in (1, 2):
+                ctx = tuple(t[at - k:at])
+                if at >= k and grams[k - 1][ctx]:
+                    left = 1 - sum(x - 0.75 for g, x in grams[k].items() if g[:k] == ctx) / grams[k - 1][ctx]
+                    p = max(grams[k][(*ctx, w)] - 0.75, 0) / grams[k - 1][ctx] + left * p
+            full += math.log10(p)
+        assert abs(got[i].score - full) < 5e-4 * len(t)

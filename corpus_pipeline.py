@@ -5,7 +5,8 @@ which returns the encoded documents.  SQL can express none of the stages, so ORA
 tests/llm compares the stages with brute force.
 
 Defined results: an input without rows gives no rows; null texts have no letter and go in the first
-stage; rows alike in doc_id are one document from the second stage on; other columns are dropped.
+stage; a document is a row, whatever its doc_id (null or shared): the second and the fourth stage give
+each row a key of their own, written with it; other columns are dropped.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.llm import bpe, decontaminate, langid, simhash, suffix
-from quantloom.llm.common import documents, scratch
+from quantloom.llm.common import documents, scratch, written
 
 COLUMNS = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
 ORACLE_SQL = None
@@ -24,6 +25,16 @@ def _columns(docs: DataFrame) -> DataFrame:
     return docs.select(*[F.col(c).cast(t).alias(c) for c, t in COLUMNS.items()])
 
 
+def _keyed(docs: DataFrame, name: str) -> DataFrame:
+    """The stage's columns and a ``row`` key, written: ids made in passing could change when read twice."""
+    return written(_columns(docs).withColumn("row", F.monotonically_increasing_id()), name)
+
+
+def _as_ids(rows: DataFrame) -> DataFrame:
+    """(doc_id, text) with the row key for doc_id."""
+    return rows.select(F.col("row").alias("doc_id"), "text")
+
+
 def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
 
@@ -39,12 +50,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash group the document with the smallest id stays."""
-    docs = _columns(docs)
-    groups = simhash.groups(docs)
-    kept = groups.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id").distinct()
-    same = docs.doc_id.eqNullSafe(kept.doc_id)
-    return docs.join(kept, same, "left_semi").dropDuplicates(["doc_id"])
+    """Of each SimHash group one row stays: of the smallest id (null last), then by a hash of the text and the other columns."""
+    rows = _keyed(docs, "near-rows")
+    group = simhash.groups(_as_ids(rows)).select(F.col("doc_id").alias("row"), F.col("component_id").alias("grp"))
+    order = rows.select("row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text", "lang", "source", "n_chars").alias("h"), "row").alias("o"))
+    kept = order.join(group, "row").groupBy("grp").agg(F.min("o").alias("o")).select(F.col("o.row").alias("row"))
+    return rows.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,9 +66,9 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold an item of the benchmark go."""
-    docs = _columns(docs)
-    found = decontaminate.find_leaks(docs, _benchmark(spark, sf_dir)).select("doc_id").distinct()
-    return docs.join(found, docs.doc_id.eqNullSafe(found.doc_id), "left_anti")
+    rows = _keyed(docs, "leak-rows")
+    found = decontaminate.find_leaks(_as_ids(rows), _benchmark(spark, sf_dir)).select(F.col("doc_id").alias("row")).distinct()
+    return rows.join(found, "row", "left_anti").select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

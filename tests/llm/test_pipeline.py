@@ -21,3 +21,18 @@ def test_stages_over_odd_rows(spark, tmp_path):
     assert ids[1] == [1, 6, 7, None]
     assert ids[3] == ids[4]
     assert 6 not in ids[4] and {7, None} <= set(ids[4])
+
+
+def test_null_and_shared_ids_are_rows_of_their_own(spark, tmp_path):
+    own = [" ".join(f"w{k}x{j}" for j in range(40)) for k in range(8)]
+    bench = "red orange yellow green blue indigo violet black white grey brown pink"
+    # ids missing, shared by different texts, and shared with the copy of an older document
+    rows = [(None, own[0]), (None, own[1]), (None, own[0]), (4, own[2]), (4, own[3]), (1, own[4]), (5, own[4]), (5, own[5]), (None, own[4])]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    table = lambda r: spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in r], schema)
+    got = sorted(((r.doc_id, r.text) for r in cp.near_duplicates(spark, table(rows), str(tmp_path)).collect()), key=str)
+    assert got == sorted([(None, own[0]), (None, own[1]), (4, own[2]), (4, own[3]), (1, own[4]), (5, own[5])], key=str)
+    spark.createDataFrame([(1, bench)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    leak = f"before it {bench} after it"
+    got = sorted(((r.doc_id, r.text) for r in cp.leaks(spark, table([(None, leak), (None, own[0]), (7, leak), (7, own[1])]), str(tmp_path)).collect()), key=str)
+    assert got == sorted([(None, own[0]), (7, own[1])], key=str)

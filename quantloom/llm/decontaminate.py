@@ -1,17 +1,22 @@
 """Operator 8: benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment.
 
-Items and documents are cut to lower-case words.  A first pass counts, over all documents, in how
-many each word n-gram of the items occurs.  The rarer part of an item's n-grams are its seeds.  A second
-pass finds seeds in the documents; where seeds of an item stand on nearby diagonals, the item is
-aligned with that window of the document by Smith-Waterman over words, and the pair is reported when
-the alignment's score reaches ``threshold`` of a full copy's.
+Items and documents are cut to lower-case words; in scripts written without blanks each character is a
+word.  A first pass counts, over all documents, in how many each word bigram of the items occurs.  An
+item's seeds are all its trigrams and, of its bigrams, the rarest that no alignment within the threshold
+can do without (``seed_count``); an item of one word has that word.  A second pass finds seeds in the
+documents; wherever one stands, the item is aligned with that window of the document by
+Smith-Waterman over words, unless too few of its words are there, and the pair is reported when the
+alignment's score reaches the item's threshold (``asked``) of a full copy's.
+
+What the seeds can miss: copies with so many inserted words that no three words in a row and none of
+the rare pairs are left together.
 
 Items are the query set; they are handled in blocks of bounded size, each broadcast, against all
 documents.  Documents are never shuffled: both passes are one scan; only counts are.
 
-Defined results: null and empty texts, and items shorter than ``MIN_WORDS`` words, match nothing;
-repeated rows of either table are each reported; null ids are kept; empty tables give an empty
-result; other columns are ignored; of windows that score alike, the first in the document is given.
+Defined results: null and empty texts, and items without a word, match nothing; repeated rows of either
+table are each reported; null ids are kept; empty tables give an empty result; other columns are
+ignored; of windows that score alike, the first in the document is given.
 """
 
 from __future__ import annotations
@@ -25,11 +30,14 @@ from pyspark.sql import functions as F
 
 from .common import documents
 
-WORD = re.compile(r"[^\W_]+")
-N = 3
+#: Scripts without blanks: Thai, Lao, Myanmar, Khmer, kana, Han.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U000323af"
+PLAIN = re.compile(r"[^\W_]+")
+WORD = re.compile(rf"[{UNSPACED}]|[^\W_{UNSPACED}]+")
+ANY_UNSPACED = re.compile(f"[{UNSPACED}]")
+#: Items of fewer words are asked for a copy with at most one edit, those under ``TINY`` for a full one.
 MIN_WORDS = 8
-#: Share of an item's distinct n-grams, from the rarest, that are seeds.
-SEED_SHARE = 0.75
+TINY = 4
 #: Score of an alignment as a share of the item's own (2 a word).
 THRESHOLD = 0.5
 MATCH, MISS, GAP = 2, -1, -1
@@ -37,6 +45,28 @@ MATCH, MISS, GAP = 2, -1, -1
 BLOCK_WORDS = 2_000_000
 
 
+def cut(text: str) -> list[str]:
+    """The words of a text, in lower case."""
+    text = text.lower()
+    return (PLAIN if text.isascii() or not ANY_UNSPACED.search(text) else WORD).findall(text)
+
+
+def asked(m: int, threshold: float) -> float:
+    """Share of a full copy's score that an item of m words has to reach."""
+    if m >= MIN_WORDS:
+        return threshold
+    return max(threshold, 1.0 if m < TINY else (MATCH * (m - 1) + MISS) / (MATCH * m))
+
+
+def seed_count(m: int, share: float) -> int:
+    """Bigrams of an item of m words of which an alignment with that share of the score has one.
+
+    A replaced or left-out word costs 3 of the score and at most two bigrams, a word cut off at an end
+    costs 2 and one bigram; so those lost are at most 2/3 of the score that may be lost.
+    """
+    return min(m - 1, int(MATCH * m * (1 - share) * 2 / (MATCH - MISS) + 1e-9) + 1)
+
+
 def smith_waterman(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
     """Best local alignment: score, and the window's words [start, end) that it covers."""
     n = len(window)
@@ -63,76 +93,99 @@ def smith_waterman(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]
 class Items:
     """A block of items: word ids, n-grams, seeds."""
 
-    def __init__(self, rows: list[tuple]):
+    def __init__(self, rows: list[tuple], threshold: float = THRESHOLD):
         self.vocab: dict[str, int] = {}
         self.ids, self.words = [], []
         for item_id, text in rows:
-            w = WORD.findall((text or "").lower())
-            if len(w) >= MIN_WORDS:
+            w = cut(text or "")
+            if w:
                 self.ids.append(item_id)
                 self.words.append(np.array([self.vocab.setdefault(x, len(self.vocab)) for x in w], np.int64))
-        grams = [self.grams(w) for w in self.words]
-        self.item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-        self.pos = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, int)
-        self.gram = np.concatenate(grams) if grams else np.zeros(0, np.int64)
+        self.size = np.array([len(w) for w in self.words], np.int64)
+        self.need = [asked(len(w), threshold) for w in self.words]
+        #: Words that a document can have between those of an item, at most.
+        self.room = np.array([int(MATCH * m * (1 - x) / -GAP + 1e-9) for m, x in zip(self.size.tolist(), self.need)], np.int64)
+        grams = [self.grams(w, 2) for w in self.words]
+        self.item, self.pos, self.gram = self._listed(grams)
         self.distinct = np.unique(self.gram)
 
     @staticmethod
-    def grams(w: np.ndarray) -> np.ndarray:
-        """n-gram keys by word ids (under 2^21); -1 where a word is no item's."""
-        if len(w) < N:
+    def _listed(grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, place, key) of all n-grams of all items."""
+        if not grams:
+            return (np.zeros(0, np.int64),) * 3
+        return np.repeat(np.arange(len(grams)), [len(g) for g in grams]), np.concatenate([np.arange(len(g)) for g in grams]), np.concatenate(grams)
+
+    @staticmethod
+    def grams(w: np.ndarray, n: int) -> np.ndarray:
+        """n-gram keys by word ids (under 2^21 - 1), other for each n; -1 where a word is no item's."""
+        if len(w) < n:
             return np.zeros(0, np.int64)
-        parts = [w[i:len(w) - N + 1 + i] for i in range(N)]
-        key = parts[0]
+        parts = [w[i:len(w) - n + 1 + i] for i in range(n)]
+        key = parts[0] + 1
         for p in parts[1:]:
-            key = (key << 21) | p
+            key = (key << 21) | (p + 1)
         return np.where(np.minimum.reduce(parts) < 0, -1, key)
 
     def read(self, text: str) -> np.ndarray:
         get = self.vocab.get
-        return np.array([get(x, -1) for x in WORD.findall(text.lower())], np.int64)
+        return np.array([get(x, -1) for x in cut(text)], np.int64)
 
     def choose(self, df: dict[int, int]) -> None:
-        """Keep the rarer occurrences of each item as seeds, sorted by key."""
+        """Take the seeds, sorted by key."""
         counts = np.array([df.get(g, 0) for g in self.gram.tolist()], np.int64)
-        keep = np.zeros(len(self.gram), bool)
-        for i in range(len(self.words)):
-            at = np.flatnonzero(self.item == i)
-            order = at[np.lexsort((self.pos[at], counts[at]))]
-            keep[order[: max(1, int(np.ceil(SEED_SHARE * len(at))))]] = True
-        order = np.flatnonzero(keep)[np.argsort(self.gram[keep], kind="stable")]
-        self.seed, self.seed_item, self.seed_pos = self.gram[order], self.item[order], self.pos[order]
-
-    def leaks(self, text: str, threshold: float) -> list[tuple]:
+        # of each item the rarer occurrences of its bigrams
+        order = np.lexsort((self.pos, counts, self.item))
+        first = np.searchsorted(self.item, np.arange(len(self.words)))
+        rank = np.arange(len(order)) - first[self.item[order]]
+        many = np.array([seed_count(m, x) for m, x in zip(self.size.tolist(), self.need)], np.int64)
+        keep = order[rank < many[self.item[order]]]
+        ones = self._listed([self.grams(w, 1) if len(w) == 1 else w[:0] for w in self.words])
+        item, pos, gram = (np.concatenate(x) for x in zip((self.item[keep], self.pos[keep], self.gram[keep]), self._listed([self.grams(w, 3) for w in self.words]), ones))
+        order = np.lexsort((pos, item, gram))
+        self.seed, self.seed_item, self.seed_pos = gram[order], item[order], pos[order]
+        #: Each distinct seed's range.
+        self.keys, self.lo = np.unique(self.seed, return_index=True)
+        self.hi = np.append(self.lo[1:], len(self.seed))
+        self.lengths = [n for n, any_ in ((1, len(ones[0])), (2, len(keep)), (3, len(self.seed) - len(keep) - len(ones[0]))) if any_]
+
+    def leaks(self, text: str) -> list[tuple]:
         """(item_id, score, start, end) of the items that a text holds; start and end in its words."""
         w = self.read(text)
-        g = self.grams(w)
-        hit = np.flatnonzero(g >= 0)
-        if not len(hit) or not len(self.seed):
+        places, at = [], []
+        for n in self.lengths:
+            g = self.grams(w, n)
+            hit = np.flatnonzero(g >= 0)
+            i = np.searchsorted(self.keys, g[hit])
+            ok = np.flatnonzero(i < len(self.keys))
+            ok = ok[self.keys[i[ok]] == g[hit[ok]]]
+            places.append(hit[ok])
+            at.append(i[ok])
+        if not any(map(len, places)):
             return []
-        lo, hi = np.searchsorted(self.seed, g[hit], "left"), np.searchsorted(self.seed, g[hit], "right")
-        n = hi - lo
+        hit, at = np.concatenate(places), np.concatenate(at)
+        lo, n = self.lo[at], self.hi[at] - self.lo[at]
         where = np.repeat(hit, n)
-        if not len(where):
-            return []
         row = np.repeat(lo, n) + np.arange(len(where)) - np.repeat(np.cumsum(n) - n, n)
         item, diag = self.seed_item[row], where - self.seed_pos[row]
         order = np.lexsort((diag, item))
-        item, diag, where = item[order], diag[order], where[order]
-        size = np.array([len(x) for x in self.words])[item]
+        item, diag = item[order], diag[order]
         # seeds of an item whose diagonals lie within a third of its length belong to one window
-        cut = np.flatnonzero((item[1:] != item[:-1]) | (diag[1:] - diag[:-1] > size[1:] // 3)) + 1
+        edge = np.flatnonzero((item[1:] != item[:-1]) | (diag[1:] - diag[:-1] > self.size[item[1:]] // 3)) + 1
         found: dict[int, tuple] = {}
-        for a, b in zip(np.concatenate(([0], cut)).tolist(), np.append(cut, len(item)).tolist()):
-            if len(np.unique(where[a:b])) < 2:
-                continue
-            i, m = int(item[a]), int(size[a])
-            first, last = max(0, int(diag[a:b].min()) - m // 3), min(len(w), int(diag[a:b].max()) + m + m // 3 + N)
-            for at in range(first, last, 4096):  # bounded rows, overlapping by an item's span
-                score, s, e = smith_waterman(self.words[i], w[at:min(last, at + 4096 + 2 * m)])
+        for a, b in zip(np.concatenate(([0], edge)).tolist(), np.append(edge, len(item)).tolist()):
+            i = int(item[a])
+            m, room, x = int(self.size[i]), int(self.room[i]), self.words[i]
+            first, last = max(0, int(diag[a]) - room), min(len(w), int(diag[b - 1]) + m + room)
+            for start in range(first, last, 4096):  # bounded rows, overlapping by an item's span
+                window = w[start:min(last, start + 4096 + 2 * m)]
+                # matches are at most the item's words that are there at all
+                if MATCH * int(np.isin(x, window).sum()) < self.need[i] * MATCH * m - 1e-9:
+                    continue
+                score, s, e = smith_waterman(x, window)
                 score = score / (MATCH * m)
-                if score >= threshold and score > found.get(i, (0,))[0]:
-                    found[i] = (score, at + s, at + e)
+                if score >= self.need[i] - 1e-9 and score > found.get(i, (0,))[0]:
+                    found[i] = (score, start + s, start + e)
         return [(self.ids[i], *x) for i, x in sorted(found.items())]
 
 
@@ -142,7 +195,7 @@ def blocks(benchmark: DataFrame):
     part, size = [], 0
     for r in rows.orderBy("item_id", "text").toLocalIterator():
         part.append((r.item_id, r.text))
-        size += len((r.text or "").split())
+        size += len(cut(r.text or ""))
         if size >= BLOCK_WORDS:
             yield part
             part, size = [], 0
@@ -157,10 +210,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     schema = "doc_id long, item_id long, score double, start_word long, end_word long"
     out = spark.createDataFrame([], schema)
     for part in blocks(benchmark):
-        items = Items(part)
-        if not len(items.gram):
+        items = Items(part, threshold)
+        if not items.words:
             continue
-        if len(items.vocab) >= 1 << 21:
+        if len(items.vocab) >= (1 << 21) - 1:
             raise ValueError("a block of items has too many distinct words")
         plain = spark.sparkContext.broadcast(items)  # at most BLOCK_WORDS words
 
@@ -169,10 +222,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
             total = np.zeros(len(own.distinct), np.int64)
             for b in batches:
                 for text in b.column(0).to_pylist():
-                    g = np.unique(own.grams(own.read(text)))
+                    g = np.unique(own.grams(own.read(text), 2)) if len(total) else own.distinct
                     at = np.searchsorted(own.distinct, g)
-                    at[at == len(total)] = 0
-                    total[at[own.distinct[at] == g]] += 1
+                    ok = np.flatnonzero(at < len(total))
+                    total[at[ok[own.distinct[at[ok]] == g[ok]]]] += 1
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(own.distinct[at]), pa.array(total[at])], ["gram", "df"])
 
@@ -184,7 +237,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
         def align(batches, seeded=seeded):
             own = seeded.value
             for b in batches:
-                got = [(d, *x) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for x in own.leaks(t, threshold)]
+                got = [(d, *x) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for x in own.leaks(t)]
                 cols = list(zip(*got)) if got else [()] * 5
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "item_id", "score", "start_word", "end_word"])

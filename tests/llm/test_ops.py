@@ -290,3 +290,28 @@ def test_language_model_query_keeps_every_ngram(spark, tmp_path):
                     p = max(grams[k][(*ctx, w)] - 0.75, 0) / grams[k - 1][ctx] + left * p
             full += math.log10(p)
         assert abs(got[i].score - full) < 5e-4 * len(t)
+
+
+def test_decontaminate_short_unspaced_and_edited(spark, rows):
+    long = [f"q{k}" for k in range(12)]
+    thin = [x if k % 3 < 2 else f"n{k}" for k, x in enumerate(long)]  # no three words in a row are left
+    items = {1: "what is qanswer", 2: "quniqueword", 3: "東京の首都はどこですか", 4: " ".join(long), 5: "who wrote the qbook first", 6: "_ !"}
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    docs = [(400, f"ask: What is Qanswer? {prose(1, 20)}"), (401, f"{prose(2, 20)} quniqueword"), (402, "問題。東京の首都はどこですか。答え"), (403, f"{prose(3, 9)} {' '.join(thin)} end"), (404, "so who wrote a qbook first then"), (405, "what is it, qanswer"), (406, "who painted a qbook first"), (407, "東京はどこ")]
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.find_leaks(documents(spark, rows + docs), bench).collect()}
+    assert set(got) == {(400, 1), (401, 2), (402, 3), (403, 4), (404, 5)}
+    assert got[400, 1].score == got[401, 2].score == got[402, 3].score == 1.0
+    assert (got[400, 1].start_word, got[400, 1].end_word) == (1, 4)
+
+
+def test_decontaminate_seeds_lose_no_replaced_words():
+    rng = random.Random(9)
+    for m in (4, 5, 8, 12, 16, 30):
+        for trial in range(60):
+            text = [f"w{k}" for k in range(m)]
+            copy = [x if rng.random() > rng.choice([0.15, 0.33]) else f"n{k}" for k, x in enumerate(text)]
+            items = decontaminate.Items([(1, " ".join(text))])
+            items.choose({int(g): rng.randint(1, 99) for g in items.distinct})
+            score = decontaminate.smith_waterman(items.words[0], items.read(" ".join(["p"] * 9 + copy + ["p"] * 9)))[0] / (2 * m)
+            got = items.leaks(" ".join(["p"] * 9 + copy + ["p"] * 9))
+            assert [x[1] for x in got] == ([score] if score >= decontaminate.asked(m, 0.5) - 1e-9 else [])

@@ -315,3 +315,15 @@ def test_decontaminate_seeds_lose_no_replaced_words():
             score = decontaminate.smith_waterman(items.words[0], items.read(" ".join(["p"] * 9 + copy + ["p"] * 9)))[0] / (2 * m)
             got = items.leaks(" ".join(["p"] * 9 + copy + ["p"] * 9))
             assert [x[1] for x in got] == ([score] if score >= decontaminate.asked(m, 0.5) - 1e-9 else [])
+
+
+def test_licenses_full_texts_and_paragraphs(spark):
+    import textwrap
+
+    mit, bsd = ["\n".join(textwrap.wrap(p, 72)) for p in licenses._MIT], ["\n".join(textwrap.wrap(p, 72)) for p in licenses._BSD]
+    head = "MIT License\n\nCopyright (c) 2020 Foo Inc.\n\n"
+    texts = {1: head + "\n\n".join(mit), 2: "intro\n\n" + mit[0] + "\n\n" + prose(1, 30), 3: " ".join(licenses._MIT), 4: "Copyright (c) 2021 Bar\n\n" + "\n\n".join(bsd), 5: prose(2, 30) + "\n\n" + bsd[3] + "\n\n" + prose(3, 30)}
+    texts[6] = "Copyright 2020 Foo\n\n" + "\n".join(textwrap.wrap(licenses.TEMPLATES["Apache-2.0"][3], 60)) + "\n"
+    got = {(r.doc_id, r.license) for r in licenses.scan(documents(spark, list(texts.items()))).collect()}
+    assert got == {(1, "MIT"), (2, "MIT"), (3, "MIT"), (4, "BSD-3-Clause"), (5, "BSD-3-Clause"), (6, "Apache-2.0")}
+    assert all(len(g) < 266 for _, g in licenses.template_sets(licenses.TEMPLATES))

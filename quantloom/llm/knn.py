@@ -97,8 +97,10 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = 10, pivots: int = PIVOTS
         return empty
 
     # a lower bound on the k-th best product of a group: with each cell, n members have at least
-    # p.c - |p| r_c - r_p |x|max; the group's bound is the best level that k + 1 members reach (one
-    # may be the query itself)
+    # p.c - |p| r_c - r_p |x|max; the group's bound is the best level that k members reach besides as many
+    # as share one query's id, which are no candidates of it
+    ids = placed.select("vec_id").join(asked.select("vec_id").distinct(), "vec_id", "left_semi")
+    own_rows = ids.groupBy("vec_id").count().agg(F.max("count")).first()[0] or 0
     slack = 1e-6
     route = []
     for g, grow in groups.iterrows():
@@ -108,7 +110,7 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = 10, pivots: int = PIVOTS
             pn = float(np.sqrt(size2[g]))
             floor_[c] = pc - pn * crow.r - grow.r * crow.norm
             ceil_[c] = min(pc + grow.r * float(np.sqrt(size2[c])) + grow.norm * crow.r, grow.norm * crow.norm)
-        need, level = k + 1, -np.inf
+        need, level = k + own_rows, -np.inf
         for c in sorted(floor_, key=floor_.get, reverse=True):
             need -= cells.n[c]
             if need <= 0:

@@ -327,3 +327,10 @@ def test_licenses_full_texts_and_paragraphs(spark):
     got = {(r.doc_id, r.license) for r in licenses.scan(documents(spark, list(texts.items()))).collect()}
     assert got == {(1, "MIT"), (2, "MIT"), (3, "MIT"), (4, "BSD-3-Clause"), (5, "BSD-3-Clause"), (6, "Apache-2.0")}
     assert all(len(g) < 266 for _, g in licenses.template_sets(licenses.TEMPLATES))
+
+
+def test_knn_many_rows_of_the_query_id(spark):
+    data = [(0, [100.0, 0.0])] * 30 + [(i, [50.0, float(i)]) for i in range(1, 21)] + [(i, [-90.0, float(i)]) for i in range(21, 60)]
+    v = knn.quantise(spark.createDataFrame(data, "vec_id long, embedding array<double>"), 1)
+    got = sorted((r["rank"], r.score) for r in knn.top_k(v.filter("vec_id = 0"), v, 10, 70, 40).collect())
+    assert got == [(k, 5000) for k in range(1, 11)]

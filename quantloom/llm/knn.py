@@ -8,9 +8,9 @@ its best; data go only to the groups that they can still matter to, and each (gr
 is solved locally by blocked products.
 
 Bounds: for a query q near pivot p and x near pivot c, q.x = q.c + q.(x - c) <= q.c + |q| r_c, with
-q.c <= p.c + r_p |c|; and below, q.x >= p.x - r_p |x|.  They hold for any vectors, unit or not.
+q.c <= p.c + r_p |c|; and below, q.x >= p.c - |p| r_c - r_p |x|.  They hold for any vectors, unit or not.
 
-Plan: cell by one Arrow pass -> summaries by grouped aggregates (bounded: pivots x (k + 4) numbers)
+Plan: cell by one Arrow pass -> summaries by grouped aggregates (bounded: pivots x 3 numbers)
 -> the routing table (pivots squared) on the driver -> queries of a group travel to the slices of the
 cells that it needs (data cells are cut in slices by a hash, so a hot cell spreads) -> local top-k ->
 top-k of the union by a window over at most k rows a slice.
@@ -85,10 +85,9 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = 10, pivots: int = PIVOTS
                 c = d.argmin(1)
                 cell[i:i + 4096] = c
                 dist[i:i + 4096] = np.sqrt(((p - far[c]) ** 2).sum(1))
-            dot = (x * far[cell]).sum(1)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cell), pa.array(dist), pa.array(norm), pa.array(dot)], ["vec_id", "v", "cell", "dist", "norm", "dot"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cell), pa.array(dist), pa.array(norm)], ["vec_id", "v", "cell", "dist", "norm"])
 
-    schema = "vec_id long, v array<long>, cell int, dist double, norm double, dot double"
+    schema = "vec_id long, v array<long>, cell int, dist double, norm double"
     placed = written(data.filter(F.size("v") == dim).select("vec_id", "v").mapInArrow(place, schema), "cells")
     asked = written(queries.filter(F.size("v") == dim).select("vec_id", "v").mapInArrow(place, schema), "queries")
     cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("dist").alias("r"), F.max("norm").alias("norm")).toPandas().set_index("cell")

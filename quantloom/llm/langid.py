@@ -24,37 +24,54 @@ from pyspark.sql import functions as F
 from .common import documents, remainder
 
 DIM = 512
-#: Texts bundled together by one matrix product.
+#: Texts bundled together by one matrix product, and the trigrams that it takes at once.
 GROUP = 96
-#: Trigram vectors a worker remembers; beyond, it starts anew (speed only).
-MEMO = 40_000
+TRIGRAMS = 8192
+#: Letter vectors a worker remembers; beyond, it starts anew (speed only).
+LETTERS = 16_384
+#: Least cosine of a text that is taken to be in a known language.  Unrelated vectors of DIM components
+#: have cosines of about 0 with a deviation of DIM ** -0.5 = 0.044; the bound is kept below that, since a
+#: few words of a known language can score as low.
+MIN_COSINE = 0.02
 
 
 class Hypervectors:
-    """Letter and trigram vectors, made when first met."""
+    """Letter vectors, made when first met, and the trigrams' vectors bound from them."""
 
     def __init__(self, dim: int = DIM, seed: int = 1):
         self.dim, self.seed = dim, seed
-        self.letters: dict[int, np.ndarray] = {}
-        self.rows = np.zeros((MEMO, dim), np.int8)
-        self.at: dict[int, int] = {}
+        self.at = np.full(0x110000, -1, np.int32)
+        self.n = 0
+        #: A letter's vector as it is rolled in each of the three places.
+        self.table = np.zeros((3, 256, dim), np.int8)
         self.alpha = np.zeros(0x110000, bool)
         self.known = np.zeros(0x110000 >> 8, bool)
 
-    def _letter(self, code: int) -> np.ndarray:
-        v = self.letters.get(code)
-        if v is None:
-            v = np.random.default_rng([self.seed, code]).integers(0, 2, self.dim, np.int8) * 2 - 1
-            v = self.letters[code] = v.astype(np.int8)
-        return v
-
-    def _row(self, key: int) -> int:
-        if len(self.at) >= MEMO:
-            self.at.clear()
-        k = self.at[key] = len(self.at)
-        a, b, c = key >> 42, (key >> 21) & 0x1FFFFF, key & 0x1FFFFF
-        self.rows[k] = np.roll(self._letter(a), 2) * np.roll(self._letter(b), 1) * self._letter(c)
-        return k
+    def _learn(self, codes: np.ndarray) -> None:
+        """Give the letters of at most TRIGRAMS trigrams their rows."""
+        new = codes[self.at[codes] < 0]
+        if self.n + len(new) > LETTERS and self.n:
+            self.at[:], self.n = -1, 0
+            new = codes
+        if self.n + len(new) > self.table.shape[1]:
+            grown = np.zeros((3, 2 * (self.n + len(new)), self.dim), np.int8)
+            grown[:, :self.n] = self.table[:, :self.n]
+            self.table = grown
+        for code in new.tolist():
+            v = (np.random.default_rng([self.seed, code]).integers(0, 2, self.dim, np.int8) * 2 - 1).astype(np.int8)
+            for place in range(3):
+                self.table[place, self.n] = np.roll(v, 2 - place)
+            self.at[code] = self.n
+            self.n += 1
+
+    def bound(self, keys: np.ndarray) -> np.ndarray:
+        """Vectors (rows) of trigrams."""
+        codes = [((keys >> np.uint64(s)) & np.uint64(0x1FFFFF)).astype(np.int64) for s in (42, 21, 0)]
+        self._learn(np.unique(np.concatenate(codes)))
+        a, b, c = (self.table[k][self.at[x]] for k, x in enumerate(codes))
+        a *= b
+        a *= c
+        return a
 
     def trigrams(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
         """Distinct trigram keys and counts of the lowered letters; runs of others are one blank."""
@@ -79,18 +96,21 @@ class Hypervectors:
             got = [(i, g) for i in range(lo, min(lo + GROUP, len(texts))) if texts[i] and (g := self.trigrams(texts[i]))]
             if not got:
                 continue
-            keys, where = np.unique(np.concatenate([g[0] for _, g in got]), return_inverse=True)
-            counts = np.zeros((len(got), len(keys)), np.float32)
-            counts[np.repeat(np.arange(len(got)), [len(g[0]) for _, g in got]), where] = np.concatenate([g[1] for _, g in got])
-            at = [i for i, _ in got]
+            at = np.array([i for i, _ in got])
             some[at] = True
-            keys = keys.tolist()
-            for k in range(0, len(keys), MEMO // 4):
-                part = keys[k:k + MEMO // 4]
-                if len(self.at) + len(part) > MEMO:
-                    self.at.clear()
-                rows = [self.at[x] if x in self.at else self._row(x) for x in part]
-                out[at] += counts[:, k:k + len(part)] @ self.rows[rows].astype(np.float32)
+            row = np.repeat(np.arange(len(got)), [len(g[0]) for _, g in got])
+            key, n = (np.concatenate(x) for x in zip(*(g for _, g in got)))
+            order = np.argsort(key, kind="stable")
+            key, row, n = key[order], row[order], n[order]
+            head = np.concatenate(([True], key[1:] != key[:-1]))
+            where, keys = np.cumsum(head) - 1, key[head]
+            starts = np.append(np.flatnonzero(head), len(key))
+            for k in range(0, len(keys), TRIGRAMS):
+                part = keys[k:k + TRIGRAMS]
+                own = slice(starts[k], starts[k + len(part)])
+                counts = np.zeros((len(got), len(part)), np.float32)
+                counts[row[own], where[own] - k] = n[own]
+                out[at] += counts @ self.bound(part).astype(np.float32)
         return out, some
 
 
@@ -129,42 +149,42 @@ def prototypes(labelled: DataFrame, dim: int = DIM) -> tuple[list[str], np.ndarr
     return names, np.array([_unit(v) for v in table]).reshape(len(names), dim)
 
 
+def tell(texts: list[str | None], names: list[str], table: np.ndarray) -> tuple[list[str], list[float]]:
+    """Language and cosine (0 to 1) of each text."""
+    lang, score = ["und"] * len(texts), [0.0] * len(texts)
+    if names:
+        vs, some = vectors(table.shape[1]).bundles(texts)
+        for i in np.flatnonzero(some).tolist():
+            cos = table @ _unit(vs[i])
+            k = int(cos.argmax())
+            lang[i], score[i] = names[k], float(min(max(cos[k], 0.0), 1.0))
+    return lang, score
+
+
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     """docs (doc_id, held_out, text) -> doc_id, held_out, lang_pred, score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a vector a language
 
     def run(batches):
         names, table = shared.value
-        own = vectors(table.shape[1]) if names else None
         for b in batches:
-            lang, score = [], []
-            texts = b.column(2).to_pylist()
-            vs, some = own.bundles(texts) if names else (texts, [False] * len(texts))
-            for v, ok in zip(vs, some):
-                if not ok:
-                    lang.append("und")
-                    score.append(0.0)
-                else:
-                    cos = table @ _unit(v)
-                    k = int(cos.argmax())
-                    lang.append(names[k])
-                    score.append(float(min(max(cos[k], 0.0), 1.0)))
+            lang, score = tell(b.column(2).to_pylist(), names, table)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     return docs.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
-    """The rows of docs, whole, whose text gets a language; one pass over the rows themselves."""
+def keep_known(docs: DataFrame, model: tuple[list[str], np.ndarray], least: float = MIN_COSINE) -> DataFrame:
+    """The rows of docs, whole, whose text is in a known language: one is predicted (not ``und``) with a
+    cosine of ``least`` or more.  One pass over the rows themselves, so an id need not tell them apart."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def run(batches):
         names, table = shared.value
-        own = vectors(table.shape[1]) if names else None
         for b in batches:
-            if names:
-                yield b.filter(pa.array(own.bundles(b.column(at).to_pylist())[1]))
+            lang, score = tell(b.column(at).to_pylist(), names, table)
+            yield b.filter(pa.array([x != "und" and s >= least for x, s in zip(lang, score)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -43,8 +43,10 @@ GRAM = 64
 SHARD_BITS = 20
 SHARD_BYTES = (1 << SHARD_BITS) - 8
 #: Bytes that the anchor search handles at once; longer texts are cut, windows overlapping.
-PIECE = 1 << 21
+PIECE = 1 << 19
 POS_BITS = 23
+#: Bytes of text that a task holds between two batches that it returns.
+HELD = 4 << 20
 U = np.uint64
 
 
@@ -224,7 +226,7 @@ def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
 
 #: Window keys of one anchor that a merge takes at once, about (20 bytes each); more frequent anchors
 #: are cut by key range, which also cuts their ranges of windows, so no finer than memory asks.
-MERGE_KEYS = 1 << 21
+MERGE_KEYS = 1 << 19
 
 
 def _part_bits(n: int, windows: int) -> int:
@@ -281,29 +283,35 @@ def shard(segments: DataFrame, span: int = SPAN, shard_bytes: int = SHARD_BYTES)
 
 
 def _merge(batches):
-    """Runs of window keys, dealt by (fp, part) -> ranges of the windows whose key others have too."""
-    names = ["fp", "sh", "s", "e"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-    groups: dict[tuple[int, int], list] = {}
+    """Runs of window keys, sorted by (fp, part) -> ranges of the windows whose key others have too."""
+    last, own = None, []
     for b in batches:
-        t = pa.Table.from_batches([b])
-        for fp, part, keys, shs, starts in zip(t["fp"].to_pylist(), t["part"].to_pylist(), t["keys"], t["shs"], t["starts"]):
-            groups.setdefault((fp, part), []).append(tuple(np.asarray(x.values) for x in (keys, shs, starts)))
-    for (fp, _), own in groups.items():
-        runs = [x[0].view(np.uint64) for x in own]
-        # sorted runs are merged two by two, each finding its places in the other by binary search
-        while len(runs) > 1:
-            runs = [_merged(*runs[k:k + 2]) for k in range(0, len(runs), 2)]
-        keys, shs, starts = (np.concatenate(x) for x in zip(*own))
-        keys = keys.view(np.uint64)
-        more = np.searchsorted(runs[0], keys, "right") - np.searchsorted(runs[0], keys, "left") > 1
-        shs, starts = shs[more], starts[more]
-        order = np.lexsort((starts, shs))
-        shs, starts = shs[order], starts[order]
-        if len(shs):
-            first = np.flatnonzero(np.concatenate(([True], (shs[1:] != shs[:-1]) | (starts[1:] != starts[:-1] + 1))))
-            last = np.append(first[1:], len(shs)) - 1
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(([fp] * len(first), shs[first], starts[first], starts[last] + 1), kinds)], names)
+        fps, parts = b.column(0).to_pylist(), b.column(1).to_pylist()
+        for k, name in enumerate(zip(fps, parts)):
+            if name != last:
+                if own:
+                    yield _merge_group(last[0], own)
+                last, own = name, []
+            own.append(tuple(np.array(b.column(c)[k].values) for c in (2, 3, 4)))
+    if own:
+        yield _merge_group(last[0], own)
+
+
+def _merge_group(fp: int, own: list[tuple]) -> pa.RecordBatch:
+    runs = [x[0].view(np.uint64) for x in own]
+    # sorted runs are merged two by two, each finding its places in the other by binary search
+    while len(runs) > 1:
+        runs = [_merged(*runs[k:k + 2]) for k in range(0, len(runs), 2)]
+    keys, shs, starts = (np.concatenate(x) for x in zip(*own))
+    keys = keys.view(np.uint64)
+    more = np.searchsorted(runs[0], keys, "right") - np.searchsorted(runs[0], keys, "left") > 1
+    shs, starts = shs[more], starts[more]
+    order = np.lexsort((starts, shs))
+    shs, starts = shs[order], starts[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(shs)), bool), (shs[1:] != shs[:-1]) | (starts[1:] != starts[:-1] + 1))))
+    last = np.append(first[1:], len(shs)) - 1 if len(first) else first
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(([fp] * len(first), shs[first], starts[first], starts[last] + 1), kinds)], ["fp", "sh", "s", "e"])
 
 
 def _merged(a: np.ndarray, b: np.ndarray | None = None) -> np.ndarray:
@@ -346,20 +354,31 @@ def repeated_ranges(docs: DataFrame, span: int = SPAN, shard_bytes: int = SHARD_
 
     def cut(batches):
         z = zstandard.ZstdDecompressor()
+        kinds, names = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()], ["fp", "sh", "c", "n", "seg"]
         for b in batches:
-            out = [(x["fp"], x["sh"], x["c"], x["n"], t[x["a"]:x["a"] + x["m"] + span - 1]) for packed, xs in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for t in [z.decompress(packed)] for x in xs]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 5, [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()])], ["fp", "sh", "c", "n", "seg"])
+            out, size = [], 0
+            for packed, xs in zip(b.column(0), b.column(1)):
+                t = z.decompress(packed.as_py())
+                for x in xs.as_py():
+                    out.append((x["fp"], x["sh"], x["c"], x["n"], t[x["a"]:x["a"] + x["m"] + span - 1]))
+                    size += len(out[-1][4])
+                    if size >= HELD:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+                        out, size = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
 
     segments = written(_packed(docs).join(wanted, ["r1", "r2"]).select("z", "xs").mapInArrow(cut, "fp long, sh long, c long, n long, seg binary"), "segments")
     sharded = written(shard(segments.repartitionByRange("fp", "sh").sortWithinPartitions("fp", "sh"), span, shard_bytes), "sharded")
-    crossing = sharded.filter("kind = 1").select("fp", "part", "keys", "shs", "starts").repartition("fp", "part").mapInArrow(_merge, "fp long, sh long, s int, e int")
+    crossing = sharded.filter("kind = 1").select("fp", "part", "keys", "shs", "starts").repartition("fp", "part").sortWithinPartitions("fp", "part").mapInArrow(_merge, "fp long, sh long, s int, e int")
     # a row a segment (its at most span windows bound the set), so a segment's rows do not multiply below
     both = sharded.filter("kind = 0").select("fp", "sh", "s", "e").union(crossing)
     ranges = written(both.groupBy("fp", "sh").agg(F.collect_set(F.struct("s", "e")).alias("xs")), "ranges")
     own = rows.filter("not mixed").select("r1", "r2", F.array(F.struct(F.col("a").alias("s"), (F.col("a") + F.col("m")).alias("e"))).alias("xs"))
     shifted = F.transform("xs", lambda x: F.struct((F.col("a") + x["s"]).alias("s"), (F.col("a") + x["e"]).alias("e")))
     other = mixed.select("r1", "r2", "fp", "sh", "a").join(ranges, ["fp", "sh"]).select("r1", "r2", shifted.alias("xs"))
-    return own.union(other).groupBy("r1", "r2").agg(F.flatten(F.collect_list("xs")).alias("spans"))
+    # a set: the rows alike in id and text that share a key bring the same ranges, which count once
+    return own.union(other).groupBy("r1", "r2").agg(F.flatten(F.collect_set("xs")).alias("spans"))
 
 
 def removed(n: int, spans: list, span: int) -> list[tuple[int, int]]:
@@ -374,14 +393,20 @@ def removed(n: int, spans: list, span: int) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def _cut(packed: list[bytes], spans: list, span: int):
-    """(length, removed runs, what is left) of each text."""
+def _cut(b: pa.RecordBatch, span: int):
+    """(rows, [(length, removed runs, what is left)]) of a batch whose last columns are the packed text
+    and its spans, a bounded number of bytes at a time."""
     z = zstandard.ZstdDecompressor()
-    for p, xs in zip(packed, spans):
-        t = z.decompress(p)
-        gone = removed(len(t), xs or [], span)
+    first, got, size = 0, [], 0
+    for k, (p, xs) in enumerate(zip(b.column(b.num_columns - 2), b.column(b.num_columns - 1)), 1):
+        t = z.decompress(p.as_py())
+        gone = removed(len(t), xs.as_py() or [], span)
         edges = [0, *(x for run in gone for x in run), len(t)]
-        yield len(t), gone, b"".join(t[s:e] for s, e in zip(edges[::2], edges[1::2]))
+        got.append((len(t), gone, b"".join(t[s:e] for s, e in zip(edges[::2], edges[1::2]))))
+        size += len(t)
+        if size >= HELD or k == b.num_rows:
+            yield b.slice(first, k - first), got
+            first, got, size = k, [], 0
 
 
 def dedup(docs: DataFrame, span: int = SPAN, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -392,8 +417,8 @@ def dedup(docs: DataFrame, span: int = SPAN, shard_bytes: int = SHARD_BYTES) ->
     def run(batches):
         kind = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
         for b in batches:
-            got = list(_cut(b.column(1).to_pylist(), b.column(2).to_pylist(), span))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([[{"s": s, "e": e} for s, e in g[1]] for g in got], kind), pa.array([g[2] for g in got], pa.binary())], ["doc_id", "n_bytes", "removed", "kept"])
+            for part, got in _cut(b, span):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([[{"s": s, "e": e} for s, e in g[1]] for g in got], kind), pa.array([g[2] for g in got], pa.binary())], ["doc_id", "n_bytes", "removed", "kept"])
 
     joined = _packed(rows).join(spans, ["r1", "r2"], "left").select("doc_id", "z", "spans")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, removed array<struct<s:long,e:long>>, kept binary")
@@ -418,12 +443,11 @@ def cut_documents(docs: DataFrame, columns: list[str], span: int = SPAN) -> Data
 
     def run(batches):
         for b in batches:
-            n = b.num_columns
-            got = list(_cut(b.column(n - 2).to_pylist(), b.column(n - 1).to_pylist(), span))
-            text = [g[2].decode("utf-8", "ignore") for g in got]
-            keep = pa.array([bool(t.strip()) or not g[1] for t, g in zip(text, got)])
-            out = pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], [*b.schema.names[:-2], "text", "n_chars"])
-            yield out.filter(keep)
+            for part, got in _cut(b, span):
+                text = [g[2].decode("utf-8", "ignore") for g in got]
+                keep = pa.array([bool(t.strip()) or not g[1] for t, g in zip(text, got)])
+                out = pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], [*b.schema.names[:-2], "text", "n_chars"])
+                yield out.filter(keep)
 
     rest = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in full.drop("r1", "r2", "text").schema)
     packed = full.mapInArrow(pack, f"{rest}r1 long, r2 long, z binary")

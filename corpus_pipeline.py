@@ -5,7 +5,7 @@ which returns the encoded documents.  SQL can express none of the stages, so ORA
 tests/llm compares the stages with brute force.
 
 Defined results: an input without rows gives no rows; null texts have no letter and go in the first
-stage; a document is a row, whatever its doc_id (null or shared): the second and the fourth stage give
+stage, as texts like no learned language do; a document is a row, whatever its doc_id (null or shared): the second and the fourth stage give
 each row a key of their own, written with it; other columns are dropped.
 """
 
@@ -40,10 +40,8 @@ def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language can be told (``und``: no text, no letter) go.
-
-    The verdict needs no join: a rejected row is one that the model calls ``und``, whatever its id.
-    """
+    """Documents that are in no language of the corpus go: those predicted ``und`` (no text, no letter)
+    and those whose predicted language has a cosine under ``langid.MIN_COSINE``, no more than chance gives."""
     docs = _columns(docs)
     _, taught = langid.split(docs)
     return langid.keep_known(docs, langid.prototypes(taught))

@@ -5,9 +5,11 @@ the index: the wanted rows are sorted by file and offset, neighbouring byte rang
 few reads, and the records are parsed out of these.
 
 Plan: one Arrow pass digests payloads -> the largest page of each digest by a grouped maximum (partial
-in each task) and a join that Spark may split on a hot digest -> one pass writes an archive a task
+in each task) -> revisits by a join of digests alone, without payloads, that Spark may split on a hot
+digest -> payloads, packed, meet these by row -> one pass writes an archive a task
 to the shared folder (named by task attempt, so a retried or lost task leaves nothing that the index
-names) -> the index, written as a table -> a range deal by file and offset -> coalesced reads.
+names) -> the index, written as a table -> a range deal by file and offset, as many tasks as the bytes ask
+-> coalesced reads, each returned before the next.
 
 Defined results: null html is the empty payload; equal payloads of at least ``min_revisit`` bytes
 have one response, that with the largest page_id (repeated rows of that id: the largest URL, then any
@@ -24,6 +26,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,7 +37,9 @@ INDEX = "path string, at long, size long, url string, digest string, page_id lon
 #: Two ranges are read as one if the gap between them is at most this.
 GAP = 1 << 16
 #: The most bytes that one coalesced read takes (a larger record is read alone).
-SPAN = 8 << 20
+SPAN = 4 << 20
+#: Bytes of archives that one task reads, about.
+TASK = 8 << 20
 #: The time that records carry; fixed, so that archives are the same each time.
 DATE = "2024-01-01T00:00:00Z"
 
@@ -79,39 +84,44 @@ def parse(member: bytes) -> dict:
 
 
 def classify(pages: DataFrame, min_revisit: int = 0) -> DataFrame:
-    """pages (page_id, url, html) -> with digest, record_type and refers_to."""
+    """pages (page_id, url, html) -> (page_id, url, z, digest, record_type, refers_to), z the payload by zstd."""
 
     def digests(batches):
+        z = zstandard.ZstdCompressor(3)
         for b in batches:
-            payloads = [p or b"" for p in b.column(2).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([digest32(p) for p in payloads]), pa.array([len(p) for p in payloads], pa.int64())], ["page_id", "url", "html", "digest", "bytes"])
+            for k in range(0, b.num_rows, 256):
+                part = b.slice(k, 256)
+                payloads = [p or b"" for p in part.column(2).cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([z.compress(p) for p in payloads], pa.binary()), pa.array([digest32(p) for p in payloads]), pa.array([len(p) for p in payloads], pa.int64())], ["page_id", "url", "z", "digest", "bytes"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    rows = rows.mapInArrow(digests, "page_id long, url string, html string, digest string, bytes long").withColumn("nonce", F.monotonically_increasing_id())
-    # the nonce parts repeated rows of one id; it must not change between the two uses: keep it
-    keys = written(rows.select("page_id", "url", "digest", "bytes", "nonce", F.col("html")), "pages", "zstd")
+    rows = rows.mapInArrow(digests, "page_id long, url string, z binary, digest string, bytes long").withColumn("nonce", F.monotonically_increasing_id())
+    # the nonce parts repeated rows of one id; it must not change between the uses: keep it
+    kept = written(rows, "pages")
     rank = F.struct(F.col("page_id").isNotNull().alias("some"), "page_id", "url", "nonce")
-    first = written(keys.filter(F.col("bytes") >= min_revisit).groupBy("digest").agg(F.max(rank).alias("first")).select("digest", "first.*"), "responses")
-    first = first.select("digest", F.col("page_id").alias("first_id"), F.col("nonce").alias("first_nonce"))
-    out = keys.join(first, "digest", "left")
-    revisit = F.col("first_nonce").isNotNull() & (F.col("first_nonce") != F.col("nonce"))
-    return out.select("page_id", "url", "html", "digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first_id")).alias("refers_to"))
+    first = kept.filter(F.col("bytes") >= min_revisit).groupBy("digest").agg(F.max(rank).alias("first"), F.count("*").alias("n"))
+    # only digests that repeat have revisits, and the join that finds these carries no payload: Spark may
+    # split a hot digest, and the payloads then meet the verdicts by the nonce, of which no two are alike
+    first = written(first.filter("n > 1").select("digest", F.col("first.page_id").alias("refers_to"), F.col("first.nonce").alias("first_nonce")), "responses")
+    again = kept.filter(F.col("bytes") >= min_revisit).select("digest", "nonce").join(first, "digest").filter("nonce <> first_nonce").select("nonce", "refers_to", F.lit(True).alias("again"))
+    out = kept.join(again, "nonce", "left")
+    return out.select("page_id", "url", "z", "digest", F.when(F.col("again"), "revisit").otherwise("response").alias("record_type"), "refers_to")
 
 
 def write_archives(rows: DataFrame, folder: str) -> DataFrame:
-    """Write a record a row under folder (shared) and return the index, a written table."""
+    """Write a record a row of ``classify`` under folder (shared) and return the index, a written table."""
     at = local_path(folder)
 
     def run(batches):
         ctx = TaskContext.get()
         path = f"{ensure_dir(at)}/part-{ctx.partitionId():06d}-{ctx.taskAttemptId()}.warc.gz"
-        f, pos = None, 0
+        f, pos, unzip = None, 0, zstandard.ZstdDecompressor().decompress
         for b in batches:
-            cols = [c.to_pylist() for c in (b.column(0), b.column(1), b.column(2).cast(pa.binary()), *b.columns[3:])]
+            cols = [c.to_pylist() for c in b.columns]
             offs, sizes = [], []
-            for page_id, url, html, digest, kind, refers in zip(*cols):
+            for page_id, url, z, digest, kind, refers in zip(*cols):
                 serial = "response" if kind == "response" else f"{ctx.partitionId()}-{pos}"
-                member = record(page_id, url, html or b"", digest, kind, refers, serial)
+                member = record(page_id, url, unzip(z), digest, kind, refers, serial)
                 f = f or open(path, "wb")
                 f.write(member)
                 offs.append(pos)
@@ -123,7 +133,7 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
             os.fsync(f.fileno())
             f.close()
 
-    return written(rows.select("page_id", "url", "html", "digest", "record_type", "refers_to").mapInArrow(run, INDEX), "warc-index")
+    return written(rows.select("page_id", "url", "z", "digest", "record_type", "refers_to").mapInArrow(run, INDEX), "warc-index")
 
 
 def coalesced(at: np.ndarray, size: np.ndarray) -> list[tuple[int, int]]:
@@ -136,37 +146,41 @@ def coalesced(at: np.ndarray, size: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def read_records(index: DataFrame) -> DataFrame:
+def read_records(index: DataFrame, task_bytes: int = TASK) -> DataFrame:
     """The records of the index rows: page_id, payload_bytes, payload_digest, record_type, refers_to, url, html."""
 
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "html"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
+
+    def read(members):
+        rows = []
+        for member in members:
+            r = parse(member)
+            h, kind = r["headers"], r["headers"]["warc-type"]
+            name = h["warc-record-id"].split(":")[2]
+            refers = h["warc-refers-to"].split(":")[2] if kind == "revisit" else "none"
+            if kind == "response" and (digest32(r["payload"]) != h["warc-payload-digest"][5:] or len(r["payload"]) != int(r["http"]["content-length"])):
+                raise ValueError(f"damaged record {h['warc-record-id']}")
+            rows.append((None if name == "none" else int(name), int(r["http"]["content-length"]), h["warc-payload-digest"][5:], kind, None if refers == "none" else int(refers), h["warc-target-uri"], r["payload"].decode("utf-8") if kind == "response" else None))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+
     def run(batches):
         for b in batches:
             path, at, size = (c.to_pylist() for c in b.columns)
             order = sorted(range(len(path)), key=lambda i: (path[i], at[i]))
-            out = []
             for one in dict.fromkeys(path[i] for i in order):
                 mine = [i for i in order if path[i] == one]
                 a, s = np.array([at[i] for i in mine]), np.array([size[i] for i in mine])
                 with open(one, "rb") as f:
-                    for i, j in coalesced(a, s):
+                    for i, j in coalesced(a, s):  # a range's records go before the next is read
                         f.seek(int(a[i]))
                         data = f.read(int(a[j - 1] + s[j - 1] - a[i]))
-                        for k in range(i, j):
-                            out.append(parse(data[a[k] - a[i]:a[k] - a[i] + s[k]]))
-            cols = []
-            for r in out:
-                h, kind = r["headers"], r["headers"]["warc-type"]
-                name = h["warc-record-id"].split(":")[2]
-                refers = h["warc-refers-to"].split(":")[2] if kind == "revisit" else "none"
-                if kind == "response" and (digest32(r["payload"]) != h["warc-payload-digest"][5:] or len(r["payload"]) != int(r["http"]["content-length"])):
-                    raise ValueError(f"damaged record {h['warc-record-id']}")
-                cols.append((None if name == "none" else int(name), int(r["http"]["content-length"]), h["warc-payload-digest"][5:], kind, None if refers == "none" else int(refers), h["warc-target-uri"], r["payload"].decode("utf-8") if kind == "response" else None))
-            names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "html"]
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*cols) if cols else [()] * 7, kinds)], names)
-
-    # neighbours in a file come to the same task, in order
-    near = index.select("path", "at", "size").repartitionByRange("path", "at").sortWithinPartitions("path", "at")
+                        yield read(data[a[k] - a[i]:a[k] - a[i] + s[k]] for k in range(i, j))
+
+    # neighbours in a file come to the same task, in order; tasks by the bytes that the index names, not
+    # by the size of the index
+    total = index.agg(F.sum("size")).first()[0] or 0
+    near = index.select("path", "at", "size").repartitionByRange(int(max(1, -(-total // task_bytes))), "path", "at").sortWithinPartitions("path", "at")
     return near.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, html string")
 
 

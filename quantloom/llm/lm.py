@@ -7,7 +7,11 @@ folder, memory-mapped by the tasks that score:
   level 1   sorted word hashes (Elias-Fano), counts, back-off weight
   level 2   pointers from words (monotone, Elias-Fano), word ids made monotone by adding the last id of
             the context before (Elias-Fano), quantised discounted probability, back-off weight
-  level 3   the same from bigrams, without a weight
+  level 3   the same from bigrams, without a weight; in blocks of ``PAIRS`` bigrams, so that the n-grams
+            of a frequent first word spread over many files
+
+A level of a shard (or block) is one file, rank directories included; a worker keeps ``OPEN`` of them
+mapped at most, so neither file handles nor maps grow with the model.
 
 A query finds its context's range by the pointers and its word by a successor search relative to the
 context.  Smoothing is interpolated absolute discounting over an add-one unigram:
@@ -15,10 +19,11 @@ P(w|c) = max(n(cw) - D, 0) / n(c) + b(c) P(w|shorter c), with b(c) what the kept
 ``train`` prunes bigrams and trigrams below ``min_count``; b(c) takes up their mass.  The registered
 query prunes none (``QUERY_MIN_COUNT``).
 
-Plan: each count is one Arrow pass; a task sends each shard one sorted, delta-coded, compressed run of
-distinct n-grams with counts (so a hot word is one entry a task); the shard merges its runs and writes
-its level.  Scoring is one Arrow pass with no shuffle.  Nothing of the corpus comes to the driver but
-sizes by shard.
+Plan: one Arrow pass cuts the training texts to numbered words, packed and written; each count is one
+pass over these; a task sends each shard one sorted, delta-coded, compressed run of distinct n-grams
+with counts (so a hot word is one entry a task); shards are dealt one a task, which merges its runs as
+they come and writes its level.  Scoring is one Arrow pass with no shuffle.  Nothing of the corpus comes
+to the driver but sizes by shard.
 
 Defined results: null and empty texts are the end token alone; repeated rows count each; a null doc_id
 counts as the empty text for the fold; with no training rows counts are zero and the scores follow
@@ -27,10 +32,13 @@ from the same formulas; an empty table gives an empty result; other columns are
 
 from __future__ import annotations
 
+import json
+import mmap
 import os
 import re
-from collections import defaultdict
+from collections import OrderedDict, defaultdict
 from itertools import count
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +60,13 @@ QUERY_MIN_COUNT = 1
 #: Bytes of training text a shard, about.
 SHARD_TEXT = 32 << 20
 #: Bytes of text that a task counts or scores at once.
-PIECE = 12 << 20
+PIECE = 8 << 20
+#: N-grams that a task gathers before it sends them on.
+HELD = 2_000_000
+#: Bigrams of a block of level 3.
+PAIRS = 1 << 22
+#: Files that a worker keeps mapped.
+OPEN = 256
 #: Steps of a quantised log10 probability or weight.
 STEPS = 4096.0
 U = np.uint64
@@ -63,10 +77,8 @@ ONCE, HIGH, NIBBLE, PAIR, ODD = U(0x0101010101010101), U(0x8080808080808080), U(
 class EliasFano:
     """A nondecreasing sequence of 64-bit numbers in about 2 + log2(u/n) bits each."""
 
-    def __init__(self, low: np.ndarray, high: np.ndarray, ones: np.ndarray, n: int, bits: int):
-        self.low, self.high, self.n, self.bits = low, high, n, bits
-        self.ones = ones
-        self.zeros = np.arange(len(ones)) * 64 - ones
+    def __init__(self, low: np.ndarray, high: np.ndarray, ones: np.ndarray, zeros: np.ndarray, n: int, bits: int):
+        self.low, self.high, self.ones, self.zeros, self.n, self.bits = low, high, ones, zeros, n, bits
 
     @classmethod
     def build(cls, values: np.ndarray, universe: int) -> EliasFano:
@@ -75,8 +87,9 @@ class EliasFano:
         values = values.astype(np.uint64)
         at = (values >> U(bits)).astype(np.int64) + np.arange(n)
         words = (n + (universe >> bits) + 2) // 64 + 1
-        high = np.zeros(words, np.uint64)
-        np.bitwise_or.at(high, at >> 6, U(1) << (at & 63).astype(np.uint64))
+        flags = np.zeros(words * 64, bool)
+        flags[at] = True
+        high = np.packbits(flags, bitorder="little").view(np.uint64)
         low = np.zeros((n * bits >> 6) + 2, np.uint64)
         if bits:
             part = values & U((1 << bits) - 1)
@@ -86,17 +99,19 @@ class EliasFano:
             over = (place & 63) + bits > 64
             np.bitwise_or.at(low, w[over] + 1, part[over] >> (U(64) - off[over]))
         ones = np.concatenate(([0], np.cumsum(np.bitwise_count(high), dtype=np.int64)))
-        return cls(low, high, ones, n, bits)
+        return cls(low, high, ones, np.arange(len(ones)) * 64 - ones, n, bits)
 
-    def save(self, at: str) -> None:
-        for name in ("low", "high", "ones"):
-            _save(f"{at}-{name}.npy", getattr(self, name))
-        _save(f"{at}-size.npy", np.array([self.n, self.bits]))
+    def parts(self, name: str, searched: bool = True) -> dict[str, np.ndarray]:
+        """Arrays of a file; only a sequence that is searched needs the ranks of zeros."""
+        out = {"low": self.low, "high": self.high, "ones": self.ones, "size": np.array([self.n, self.bits])}
+        if searched:
+            out["zeros"] = self.zeros
+        return {f"{name}-{k}": v for k, v in out.items()}
 
     @classmethod
-    def load(cls, at: str) -> EliasFano:
-        n, bits = np.load(f"{at}-size.npy").tolist()
-        return cls(*(_mapped(f"{at}-{x}.npy") for x in ("low", "high", "ones")), n, bits)
+    def of(cls, held: dict[str, np.ndarray], name: str) -> EliasFano:
+        n, bits = held[f"{name}-size"].tolist()
+        return cls(held[f"{name}-low"], held[f"{name}-high"], held[f"{name}-ones"], held.get(f"{name}-zeros"), n, bits)
 
     def _select(self, k: np.ndarray, zero: bool) -> np.ndarray:
         """Places of the k-th ones or zeros (from 0)."""
@@ -154,17 +169,40 @@ class EliasFano:
         return out
 
 
-def _save(path: str, x: np.ndarray) -> None:
-    """Under a name of its own first: a task that is tried again leaves a whole file."""
+def _save(path: str, arrays: dict[str, np.ndarray]) -> None:
+    """Arrays in one file, behind a head that says where each is; under a name of its own first, so that
+    a task that is tried again leaves a whole file."""
     own = f"{path}.{os.getpid()}-{TaskContext.get().taskAttemptId() if TaskContext.get() else 0}"
+    at, where = 0, {}
+    for k, x in arrays.items():
+        where[k] = (at, x.dtype.str, len(x))
+        at += -(-x.nbytes // 8) * 8
+    head = json.dumps(where).encode()
+    head += b" " * (-len(head) % 8)
     with open(own, "wb") as f:
-        np.save(f, x)
+        f.write(np.array([len(head)], np.uint64).tobytes() + head)
+        for x in arrays.values():
+            f.write(np.ascontiguousarray(x).tobytes() + b"\0" * (-x.nbytes % 8))
     os.replace(own, path)
 
 
-def _mapped(path: str) -> np.ndarray:
-    """A file's array, memory-mapped."""
-    return np.asarray(np.load(path, mmap_mode="r"))
+_files: OrderedDict[str, dict[str, np.ndarray]] = OrderedDict()
+
+
+def _mapped(path: str) -> dict[str, np.ndarray]:
+    """A file's arrays, memory-mapped; the ``OPEN`` files last used stay mapped."""
+    held = _files.get(path)
+    if held is None:
+        while len(_files) >= OPEN:
+            _files.popitem(last=False)
+        with open(path, "rb") as f:
+            # the map outlives the file's handle
+            whole = mmap.mmap(f.fileno(), 0, prot=mmap.PROT_READ, trackfd=False)
+        head = int(np.frombuffer(whole, np.uint64, 1)[0])
+        where = json.loads(bytes(whole[8:8 + head]))
+        held = _files[path] = {k: np.frombuffer(whole, np.dtype(kind), n, 8 + head + at) for k, (at, kind, n) in where.items()}
+    _files.move_to_end(path)
+    return held
 
 
 def _quantise(p: np.ndarray) -> np.ndarray:
@@ -178,15 +216,16 @@ def _restore(q: np.ndarray) -> np.ndarray:
 class Level:
     """Children of contexts: pointers, monotone ids, probabilities, weights."""
 
-    def __init__(self, at: str):
-        self.ptr, self.ids = EliasFano.load(f"{at}-ptr"), EliasFano.load(f"{at}-ids")
-        self.prob, self.weight = _mapped(f"{at}-prob.npy"), _mapped(f"{at}-weight.npy")
+    def __init__(self, path: str):
+        held = _mapped(path)
+        self.ptr, self.ids = EliasFano.of(held, "ptr"), EliasFano.of(held, "ids")
+        self.prob, self.weight, self.counts = held["prob"], held["weight"], held.get("counts")
 
     @staticmethod
-    def build(at: str, contexts: int, context: np.ndarray, word: np.ndarray, count: np.ndarray, total: np.ndarray, vocabulary: int) -> None:
-        """n-grams sorted by (context, word); total: count of each context."""
+    def build(path: str, contexts: int, context: np.ndarray, word: np.ndarray, count: np.ndarray, total: np.ndarray, counts: bool = False) -> None:
+        """n-grams sorted by (context, word); total: count of each context; counts: whether to keep them."""
         ptr = np.searchsorted(context, np.arange(contexts + 1))
-        EliasFano.build(ptr, max(1, len(word) + 1)).save(f"{at}-ptr")
+        arrays = EliasFano.build(ptr, max(1, len(word) + 1)).parts("ptr", False)
         last = np.zeros(len(word), np.int64)
         if len(word):
             head = np.concatenate(([True], context[1:] != context[:-1]))
@@ -194,11 +233,13 @@ class Level:
             rises = np.cumsum(np.where(tail, word + 1, 0)) - np.where(tail, word + 1, 0)
             last = rises  # of all contexts before
         stored = word + 1 + last
-        EliasFano.build(stored, int(stored[-1]) + 1 if len(stored) else 1).save(f"{at}-ids")
+        arrays |= EliasFano.build(stored, int(stored[-1]) + 1 if len(stored) else 1).parts("ids")
         p = (count - DISCOUNT) / total[context]
         left = 1.0 - np.bincount(context, p, minlength=contexts)
-        _save(f"{at}-prob.npy", _quantise(p))
-        _save(f"{at}-weight.npy", _quantise(np.minimum(left, 1.0)))
+        arrays |= {"prob": _quantise(p), "weight": _quantise(np.minimum(left, 1.0))}
+        if counts:
+            arrays["counts"] = _narrow(count)
+        _save(path, arrays)
 
     def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Index of each (context, word), or -1: a successor search from the context's first id."""
@@ -224,71 +265,80 @@ class Level:
         return out
 
 
+class Trained(NamedTuple):
+    """A written model: its folder and, by shard, the words and bigrams that it holds."""
+
+    folder: str
+    levels: int
+    tokens: int
+    words: np.ndarray
+    pairs: np.ndarray
+
+
 class Model:
-    """The shards of a folder, opened when asked."""
-
-    def __init__(self, folder: str, shards: int, levels: int):
-        self.folder, self.shards, self.levels = folder, shards, levels
-        self.hashes = [EliasFano.load(f"{folder}/{s}-1") for s in range(shards)]
-        self.counts = [_mapped(f"{folder}/{s}-1-count.npy") for s in range(shards)]
-        sizes = [len(c) for c in self.counts]
-        self.base = np.concatenate(([0], np.cumsum(sizes)))
+    """The shards of a folder, mapped when asked."""
+
+    def __init__(self, trained: Trained):
+        self.folder, self.levels, self.tokens = trained.folder, trained.levels, trained.tokens
+        self.shards = len(trained.words)
+        self.base = np.concatenate(([0], np.cumsum(trained.words)))
         self.vocabulary = int(self.base[-1])
-        self.tokens = int(sum(np.load(f"{folder}/{s}-1-tokens.npy")[0] for s in range(shards)))
-        self.next = [[Level(f"{folder}/{s}-{k}") for s in range(shards)] for k in range(2, levels + 1)]
+        #: The first block of level 3 of each shard.
+        self.block = _blocks(trained.pairs)
+
+    def level(self, k: int, number: int) -> Level:
+        return Level(f"{self.folder}/{k}-{number}")
 
     def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, -1 if unknown; counts) of word hashes."""
         ids, counts = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
         shard = (hashes % U(self.shards)).astype(np.int64)
-        for s in range(self.shards):
-            at = np.flatnonzero(shard == s)
-            if len(at):
-                i = self.hashes[s].find(hashes[at])
-                ok = i >= 0
-                counts[at[ok]] = self.counts[s][i[ok]]
-                ids[at[ok]] = i[ok] + self.base[s]
+        for s, at in _by(shard):
+            held = _mapped(f"{self.folder}/1-{s}")
+            i = EliasFano.of(held, "words").find(hashes[at])
+            ok = i >= 0
+            counts[at[ok]] = held["counts"][i[ok]]
+            ids[at[ok]] = i[ok] + self.base[s]
         return ids, counts
 
     def bigrams(self, first: np.ndarray, second: np.ndarray):
         """Of pairs of ids (both known): shard, index or -1, probability, weight of the first word."""
         shard = np.searchsorted(self.base, first, "right") - 1
         index, p, b = np.full(len(first), -1, np.int64), np.zeros(len(first)), np.ones(len(first))
-        for s in range(self.shards):
-            at = np.flatnonzero(shard == s)
-            if len(at):
-                level = self.next[0][s]
-                c = first[at] - self.base[s]
-                i = level.find(c, second[at])
-                b[at] = _restore(level.weight[c])
-                ok = i >= 0
-                index[at[ok]] = i[ok]
-                p[at[ok]] = _restore(level.prob[i[ok]])
+        for s, at in _by(shard):
+            level = self.level(2, s)
+            c = first[at] - self.base[s]
+            i = level.find(c, second[at])
+            b[at] = _restore(level.weight[c])
+            ok = i >= 0
+            index[at[ok]] = i[ok]
+            p[at[ok]] = _restore(level.prob[i[ok]])
         return shard, index, p, b
 
     def trigrams(self, shard: np.ndarray, bigram: np.ndarray, third: np.ndarray):
-        """Of known bigrams (shard, index) and ids: probability, weight of the bigram."""
+        """Of known bigrams (shard, index; in order) and ids: probability, weight of the bigram."""
         p, b = np.zeros(len(third)), np.ones(len(third))
-        for s in range(self.shards):
-            at = np.flatnonzero(shard == s)
-            if len(at):
-                level = self.next[1][s]
-                i = level.find(bigram[at], third[at])
-                b[at] = _restore(level.weight[bigram[at]])
-                ok = i >= 0
-                p[at[ok]] = _restore(level.prob[i[ok]])
+        block, inner = self.block[shard] + bigram // PAIRS, bigram % PAIRS
+        for number, at in _by(block):
+            level = self.level(3, number)
+            i = level.find(inner[at], third[at])
+            b[at] = _restore(level.weight[inner[at]])
+            ok = i >= 0
+            p[at[ok]] = _restore(level.prob[i[ok]])
         return p, b
 
 
-_models: dict[tuple, Model] = {}
+def _by(x: np.ndarray):
+    """(value, places) of each value, in order."""
+    order = np.argsort(x, kind="stable")
+    head = np.flatnonzero(np.concatenate((np.ones(min(1, len(x)), bool), np.diff(x[order]) != 0)))
+    for a, b in zip(head.tolist(), [*head[1:].tolist(), len(x)]):
+        yield int(x[order[a]]), order[a:b]
 
 
-def model(folder: str, shards: int, levels: int) -> Model:
-    key = (folder, shards, levels)
-    if key not in _models:
-        _models.clear()
-        _models[key] = Model(*key)
-    return _models[key]
+def _blocks(pairs: np.ndarray) -> np.ndarray:
+    """The first block of level 3 of each shard, and the number of blocks."""
+    return np.concatenate(([0], np.cumsum(np.maximum(1, -(-pairs // PAIRS))))).astype(np.int64)
 
 
 def _numbering() -> defaultdict:
@@ -357,58 +407,80 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[head], np.add.reduceat(counts, head) if len(head) else counts
 
 
-def _count(docs: DataFrame, shards: int, ngrams, build) -> DataFrame:
+def _narrow(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.uint32 if x.max(initial=0) < 1 << 32 else np.uint64)
+
+
+def _squeeze(x: np.ndarray) -> bytes:
+    """Numbers under 2^32, by bytes of like weight, compressed."""
+    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def _stretch(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs (text) -> the pieces of texts, a row each: token numbers, ends of texts, hashes of the words."""
+
+    def run(batches):
+        for b in batches:
+            for tokens, ends, hashes in pieces(b.column(0).cast(pa.binary()).to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array([_squeeze(tokens)], pa.binary()), pa.array([_squeeze(ends)], pa.binary()), pa.array([hashes.tobytes()], pa.binary())], ["tokens", "ends", "hashes"])
+
+    return docs.select("text").mapInArrow(run, "tokens binary, ends binary, hashes binary")
+
+
+def _count(cut: DataFrame, shards: int, ngrams, build) -> np.ndarray:
     """ngrams(tokens, ends, hashes) -> (shard, keys, counts) of a piece; build(shard, keys, counts)
-    writes a level and returns its size."""
+    writes a level's file and returns what is collected by shard."""
 
     def gather(batches):
         held: list[tuple] = []
         size = 0
-
         for b in batches:
-            for piece in pieces(b.column(0).cast(pa.binary()).to_pylist()):
-                held.append(ngrams(*piece))
+            for tokens, ends, hashes in zip(*b.columns):
+                held.append(ngrams(_stretch(tokens.as_py()), _stretch(ends.as_py()), np.frombuffer(hashes.as_py(), np.uint64)))
                 size += len(held[-1][0])
-                if size > 4_000_000:
-                    yield from _runs_of(held, shards)
+                if size > HELD:
+                    yield from _runs_of(held)
                     held, size = [], 0
         if held:
-            yield from _runs_of(held, shards)
+            yield from _runs_of(held)
 
     def merge(batches):
-        runs: dict[int, list[bytes]] = {}
+        runs: dict[int, list[tuple]] = {}
         for b in batches:
-            for s, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                runs.setdefault(s, []).append(data)
+            for s, data in zip(b.column(0).to_pylist(), b.column(1)):
+                own = runs.setdefault(s, [])
+                own.append(_unpack(data.as_py()))
+                # what has been summed waits until as much has come again
+                if len(own) > 1 and sum(len(x[0]) for x in own[1:]) > max(HELD, len(own[0][0])):
+                    own[:] = [_summed(*map(np.concatenate, zip(*own)))]
         for s in sorted(runs):
-            parts = [_unpack(x) for x in runs.pop(s)]
-            keys, counts = _summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([build(s, keys, counts)], pa.int64())], ["shard", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([build(s, *_summed(*map(np.concatenate, zip(*runs.pop(s)))))], pa.list_(pa.int64()))], ["shard", "n"])
 
-    sent = docs.select("text").mapInArrow(gather, "shard int, run binary")
-    every = docs.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"), F.lit(_pack(np.zeros(0, np.uint64), np.zeros(0, np.int64))).alias("run"))
-    return sent.union(every).repartition(shards, "shard").mapInArrow(merge, "shard int, n long")
+    sent = cut.mapInArrow(gather, "shard int, run binary")
+    every = cut.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"), F.lit(_pack(np.zeros(0, np.uint64), np.zeros(0, np.int64))).alias("run"))
+    done = written(sent.union(every).repartitionById(shards, F.col("shard")).mapInArrow(merge, "shard int, n array<long>"), "lm-level")
+    return np.array([r.n for r in done.orderBy("shard").collect()], np.int64)
 
 
-def _runs_of(held: list[tuple], shards: int):
+def _runs_of(held: list[tuple]):
     shard, keys, counts = (np.concatenate(x) for x in zip(*held))
-    got = []
-    order = np.argsort(shard, kind="stable")
-    cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-    for s in range(shards):
-        at = order[cuts[s]:cuts[s + 1]]
-        if len(at):
-            got.append((s, _pack(*_summed(keys[at], counts[at]))))
+    got = [(s, _pack(*_summed(keys[at], counts[at]))) for s, at in _by(shard)]
     yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.binary())], ["shard", "run"])
 
 
-def train(docs: DataFrame, min_count: int = MIN_COUNT, shard_text: int = SHARD_TEXT) -> tuple[str, int, int]:
-    """docs (text) -> (folder, shards, levels) of a written model."""
+def train(docs: DataFrame, min_count: int = MIN_COUNT, shard_text: int = SHARD_TEXT) -> Trained:
+    """docs (text) -> a written model."""
     spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // shard_text))
     folder = local_path(scratch(spark, "lm"))
+    cut = written(numbered(docs), "lm-tokens", "uncompressed")
 
     def words(tokens, ends, hashes):
         return (hashes % U(shards)).astype(np.int64), hashes, np.bincount(tokens, minlength=len(hashes))
@@ -416,17 +488,17 @@ def train(docs: DataFrame, min_count: int = MIN_COUNT, shard_text: int = SHARD_T
     def build_words(s, keys, counts):
         ensure_dir(folder)
         keys, counts = keys[counts > 0], counts[counts > 0]
-        EliasFano.build(keys, 1 << 64).save(f"{folder}/{s}-1")
-        _save(f"{folder}/{s}-1-count.npy", counts.astype(np.uint32 if counts.max(initial=0) < 1 << 32 else np.uint64))
-        _save(f"{folder}/{s}-1-tokens.npy", np.array([counts.sum()], np.int64))
-        return len(keys)
+        _save(f"{folder}/1-{s}", {**EliasFano.build(keys, 1 << 64).parts("words"), "counts": _narrow(counts)})
+        return [len(keys), int(counts.sum())]
 
-    written(_count(docs, shards, words, build_words), "lm-1")
+    sizes = _count(cut, shards, words, build_words)
+    if sizes[:, 0].sum() >= 1 << 32:
+        raise ValueError("more than 2^32 distinct words")
+    first = Trained(folder, 1, int(sizes[:, 1].sum()), sizes[:, 0], np.zeros(shards, np.int64))
+    shared = spark.sparkContext.broadcast(first)  # a few numbers a shard
 
     def pairs(tokens, ends, hashes):
-        own = model(folder, shards, 1)
-        if own.vocabulary >= 1 << 32:
-            raise ValueError("more than 2^32 distinct words")
+        own = Model(shared.value)
         ids = own.words(hashes)[0][tokens]
         inner = np.ones(len(ids), bool)
         inner[ends - 1] = False
@@ -435,17 +507,21 @@ def train(docs: DataFrame, min_count: int = MIN_COUNT, shard_text: int = SHARD_T
         return np.searchsorted(own.base, (key >> U(32)).astype(np.int64), "right") - 1, key, n
 
     def build_pairs(s, keys, counts):
-        own = model(folder, shards, 1)
         keep = counts >= min_count
         keys, counts = keys[keep], counts[keep]
-        Level.build(f"{folder}/{s}-2", len(own.counts[s]), (keys >> U(32)).astype(np.int64) - own.base[s], (keys & U(0xFFFFFFFF)).astype(np.int64), counts, np.asarray(own.counts[s]).astype(np.float64), own.vocabulary)
-        _save(f"{folder}/{s}-2-count.npy", counts)
-        return len(keys)
+        if len(keys) >= 1 << 32:
+            raise ValueError("a shard has more than 2^32 bigrams; take a smaller shard_text")
+        total = _mapped(f"{folder}/1-{s}")["counts"].astype(np.float64)
+        base = int(shared.value.words[:s].sum())
+        Level.build(f"{folder}/2-{s}", len(total), (keys >> U(32)).astype(np.int64) - base, (keys & U(0xFFFFFFFF)).astype(np.int64), counts, total, True)
+        return [len(keys)]
 
-    written(_count(docs, shards, pairs, build_pairs), "lm-2")
+    second = first._replace(levels=2, pairs=_count(cut, shards, pairs, build_pairs)[:, 0])
+    told = spark.sparkContext.broadcast(second)
+    block = _blocks(second.pairs)
 
     def triples(tokens, ends, hashes):
-        own = model(folder, shards, 2)
+        own = Model(told.value)
         ids = own.words(hashes)[0]
         rank = _ranks(ids)[tokens]
         inner = np.ones(len(tokens), bool)
@@ -456,25 +532,26 @@ def train(docs: DataFrame, min_count: int = MIN_COUNT, shard_text: int = SHARD_T
         at, pair = at[order], np.cumsum(head) - 1
         one = at[head]
         shard, index, _, _ = own.bigrams(ids[tokens[one]], ids[tokens[one + 1]])
-        if (index >= 1 << 32).any():
-            raise ValueError("a shard has more than 2^32 bigrams; take a smaller shard_text")
         ok = index[pair] >= 0
         at, pair = at[ok], pair[ok]
         # known bigrams are numbered as their shards and indexes go
         order, head = _by_pair(pair, rank[at + 2], len(one), len(ids))
         first = np.flatnonzero(head)
         at, pair = at[order[first]], pair[order[first]]
-        return shard[pair], (index[pair].astype(np.uint64) << U(32)) | ids[tokens[at + 2]].astype(np.uint64), np.diff(np.append(first, len(order)))
+        return own.block[shard[pair]] + index[pair] // PAIRS, ((index[pair] % PAIRS).astype(np.uint64) << U(32)) | ids[tokens[at + 2]].astype(np.uint64), np.diff(np.append(first, len(order)))
 
-    def build_triples(s, keys, counts):
+    def build_triples(n, keys, counts):
         keep = counts >= min_count
         keys, counts = keys[keep], counts[keep]
-        total = np.load(f"{folder}/{s}-2-count.npy").astype(np.float64)
-        Level.build(f"{folder}/{s}-3", len(total), (keys >> U(32)).astype(np.int64), (keys & U(0xFFFFFFFF)).astype(np.int64), counts, total, 0)
-        return len(keys)
+        own = _blocks(told.value.pairs)
+        s = int(np.searchsorted(own, n, "right")) - 1
+        at = (n - int(own[s])) * PAIRS
+        total = Level(f"{folder}/2-{s}").counts[at:at + PAIRS].astype(np.float64)
+        Level.build(f"{folder}/3-{n}", len(total), (keys >> U(32)).astype(np.int64), (keys & U(0xFFFFFFFF)).astype(np.int64), counts, total)
+        return [len(keys)]
 
-    written(_count(docs, shards, triples, build_triples), "lm-3")
-    return folder, shards, 3
+    _count(cut, int(block[-1]), triples, build_triples)
+    return second._replace(levels=3)
 
 
 def score_piece(own: Model, tokens: np.ndarray, ends: np.ndarray, hashes: np.ndarray):
@@ -509,13 +586,14 @@ def score_piece(own: Model, tokens: np.ndarray, ends: np.ndarray, hashes: np.nda
     return known, base_score, np.bincount(text, np.log10(p), minlength=len(ends))
 
 
-def score(docs: DataFrame, trained: tuple[str, int, int]) -> DataFrame:
+def score(docs: DataFrame, trained: Trained) -> DataFrame:
     """docs (doc_id, held_out, text) -> with n_tokens, n_known, train_tokens, base_score, score."""
+    shared = docs.sparkSession.sparkContext.broadcast(trained)
 
     def run(batches):
         own = None
         for b in batches:
-            own = own or model(*trained)
+            own = own or Model(shared.value)
             row = 0
             for tokens, ends, hashes in pieces(b.column(2).cast(pa.binary()).to_pylist()):
                 known, base, full = score_piece(own, tokens, ends, hashes)

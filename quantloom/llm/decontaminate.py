@@ -9,19 +9,22 @@ Smith-Waterman over words, unless too few of its words are there, and the pair i
 alignment's score reaches the item's threshold (``asked``) of a full copy's.
 
 What the seeds can miss: copies with so many inserted words that no three words in a row and none of
-the rare pairs are left together.
+the rare pairs are left together.  An item of more than ``LONG`` words is searched by its parts of that
+many words, each an item of its own; the best part found is given, with its own score and place.
 
 Items are the query set; they are handled in blocks of bounded size, each broadcast, against all
 documents.  Documents are never shuffled: both passes are one scan; only counts are.
 
 Defined results: null and empty texts, and items without a word, match nothing; repeated rows of either
 table are each reported; null ids are kept; empty tables give an empty result; other columns are
-ignored; of windows that score alike, the first in the document is given.
+ignored; of windows that score alike, the first in the document is given.  A document and an item are one
+row of the result, however often the one holds the other.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +46,8 @@ THRESHOLD = 0.5
 MATCH, MISS, GAP = 2, -1, -1
 #: Words of items in a block.
 BLOCK_WORDS = 2_000_000
+#: Longer items are searched by parts.
+LONG = 2_000
 
 
 def cut(text: str) -> list[str]:
@@ -96,11 +101,16 @@ class Items:
     def __init__(self, rows: list[tuple], threshold: float = THRESHOLD):
         self.vocab: dict[str, int] = {}
         self.ids, self.words = [], []
-        for item_id, text in rows:
+        #: Which row of the block each item is of: repeated rows and parts are told apart by it.
+        self.row = []
+        for row, (item_id, text) in enumerate(rows):
             w = cut(text or "")
-            if w:
+            parts = -(-len(w) // LONG)
+            edges = [k * len(w) // parts for k in range(parts + 1)] if w else []
+            for a, b in zip(edges, edges[1:]):
                 self.ids.append(item_id)
-                self.words.append(np.array([self.vocab.setdefault(x, len(self.vocab)) for x in w], np.int64))
+                self.row.append(row)
+                self.words.append(np.array([self.vocab.setdefault(x, len(self.vocab)) for x in w[a:b]], np.int64))
         self.size = np.array([len(w) for w in self.words], np.int64)
         self.need = [asked(len(w), threshold) for w in self.words]
         #: Words that a document can have between those of an item, at most.
@@ -118,18 +128,20 @@ class Items:
 
     @staticmethod
     def grams(w: np.ndarray, n: int) -> np.ndarray:
-        """n-gram keys by word ids (under 2^21 - 1), other for each n; -1 where a word is no item's."""
+        """n-gram hashes of word ids, not negative; -1 where a word is no item's.  N-grams that share a
+        hash by chance are aligned in vain."""
         if len(w) < n:
             return np.zeros(0, np.int64)
         parts = [w[i:len(w) - n + 1 + i] for i in range(n)]
-        key = parts[0] + 1
-        for p in parts[1:]:
-            key = (key << 21) | (p + 1)
-        return np.where(np.minimum.reduce(parts) < 0, -1, key)
+        key = np.full(len(parts[0]), n, np.uint64)
+        for p in parts:
+            key = (key ^ p.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(29)
+        return np.where(np.minimum.reduce(parts) < 0, -1, (key >> np.uint64(1)).astype(np.int64))
 
     def read(self, text: str) -> np.ndarray:
-        get = self.vocab.get
-        return np.array([get(x, -1) for x in cut(text)], np.int64)
+        w = cut(text)
+        return np.fromiter(map(self.vocab.get, w, repeat(-1)), np.int64, len(w))
 
     def choose(self, df: dict[int, int]) -> None:
         """Take the seeds, sorted by key."""
@@ -172,7 +184,7 @@ class Items:
         item, diag = item[order], diag[order]
         # seeds of an item whose diagonals lie within a third of its length belong to one window
         edge = np.flatnonzero((item[1:] != item[:-1]) | (diag[1:] - diag[:-1] > self.size[item[1:]] // 3)) + 1
-        found: dict[int, tuple] = {}
+        found: dict[int, tuple] = {}  # by row of the block
         for a, b in zip(np.concatenate(([0], edge)).tolist(), np.append(edge, len(item)).tolist()):
             i = int(item[a])
             m, room, x = int(self.size[i]), int(self.room[i]), self.words[i]
@@ -184,9 +196,9 @@ class Items:
                     continue
                 score, s, e = smith_waterman(x, window)
                 score = score / (MATCH * m)
-                if score >= self.need[i] - 1e-9 and score > found.get(i, (0,))[0]:
-                    found[i] = (score, start + s, start + e)
-        return [(self.ids[i], *x) for i, x in sorted(found.items())]
+                if score >= self.need[i] - 1e-9 and score > found.get(self.row[i], (0,))[0]:
+                    found[self.row[i]] = (score, start + s, start + e, self.ids[i])
+        return [(x[3], *x[:3]) for _, x in sorted(found.items())]
 
 
 def blocks(benchmark: DataFrame):
@@ -213,9 +225,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
         items = Items(part, threshold)
         if not items.words:
             continue
-        if len(items.vocab) >= (1 << 21) - 1:
-            raise ValueError("a block of items has too many distinct words")
-        plain = spark.sparkContext.broadcast(items)  # at most BLOCK_WORDS words
+        plain = spark.sparkContext.broadcast(items)  # BLOCK_WORDS words and one item's
 
         def count(batches, plain=plain):
             own = plain.value

@@ -2,9 +2,11 @@
 
 Features are indicators of the byte n-grams (1 to 3 bytes, hashed to a fixed space) and of word
 bigram repeats that a text holds.  Their class log-count ratios come from every labelled training
-row; indicators are scaled by these ratios and a linear hinge-loss model is fitted to them by dual
-coordinate descent.  The fit takes a sample of about ``fit_rows`` rows, chosen by a hash of the id;
-counts and scores cover all rows.
+row, smoothed by one in each class; a feature that fewer than ``LEAST`` training rows hold is given the
+ratio 0, as its sign would be chance.  Indicators are scaled by these ratios and a linear hinge-loss model
+is fitted to them by dual coordinate descent.  The fit takes a sample of about ``fit_rows`` rows, chosen by
+a hash of id, label and features, in which rows alike in all three count once, so that the sample stays
+bounded however often an id or a text repeats; counts and scores cover all rows.
 
 Plan: labels join compressed texts once (training rows only; labels grow with the corpus, so neither
 side is broadcast) -> one Arrow pass counts features by class, summed
@@ -33,6 +35,8 @@ BITS = 18
 DIM = 1 << BITS
 #: About as many labelled rows are used in the fit (not in the counts).
 FIT_ROWS = 8000
+#: Training rows that must hold a feature for its ratio to count.
+LEAST = 3
 #: Score from which a document is predicted to be of label 1.
 THRESHOLD = 0.3
 LINE = re.compile(rb"[^\n]+")
@@ -148,10 +152,11 @@ def train(labelled: DataFrame, fit_rows: int = FIT_ROWS):
     # of Bernoulli features: the odds of the smoothed shares of documents that hold each
     p, q = (counts[1] + 1) / (n[1] + 2), (counts[0] + 1) / (n[0] + 2)
     scale = np.log(p / q)
-    scale[(counts.sum(0) < 3)] = 0.0
+    scale[counts.sum(0) < LEAST] = 0.0
     scale[0] = 1.0
     share = min(1.0, fit_rows / n.sum())
-    sample = rows.filter(F.pmod(F.xxhash64("doc_id", "y"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    drawn = rows.withColumn("h", F.xxhash64("ids")).filter(F.pmod(F.xxhash64("doc_id", "y", "h"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    sample = drawn.groupBy("doc_id", "y", "h").agg(F.first("ids").alias("ids"))
 
     def fit(batches):
         x, y = [], []

@@ -38,6 +38,8 @@ UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3
 PLAIN = re.compile(r"[^\W_]+")
 WORD = re.compile(rf"[{UNSPACED}]|[^\W_{UNSPACED}]+")
 ANY_UNSPACED = re.compile(f"[{UNSPACED}]")
+#: In ASCII, what is no letter or digit is a blank.
+BLANKS = "".join(chr(c) if chr(c).isalnum() else " " for c in range(128))
 #: Items of fewer words are asked for a copy with at most one edit, those under ``TINY`` for a full one.
 MIN_WORDS = 8
 TINY = 4
@@ -53,7 +55,9 @@ LONG = 2_000
 def cut(text: str) -> list[str]:
     """The words of a text, in lower case."""
     text = text.lower()
-    return (PLAIN if text.isascii() or not ANY_UNSPACED.search(text) else WORD).findall(text)
+    if text.isascii():
+        return text.translate(BLANKS).split()
+    return (WORD if ANY_UNSPACED.search(text) else PLAIN).findall(text)
 
 
 def asked(m: int, threshold: float) -> float:
@@ -127,17 +131,26 @@ class Items:
         return np.repeat(np.arange(len(grams)), [len(g) for g in grams]), np.concatenate([np.arange(len(g)) for g in grams]), np.concatenate(grams)
 
     @staticmethod
-    def grams(w: np.ndarray, n: int) -> np.ndarray:
-        """n-gram hashes of word ids, not negative; -1 where a word is no item's.  N-grams that share a
-        hash by chance are aligned in vain."""
+    def places(w: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where all of n words in a row are words of items, and the n-grams' hashes (not negative).
+        N-grams that share a hash by chance are aligned in vain."""
         if len(w) < n:
-            return np.zeros(0, np.int64)
-        parts = [w[i:len(w) - n + 1 + i] for i in range(n)]
-        key = np.full(len(parts[0]), n, np.uint64)
-        for p in parts:
-            key = (key ^ p.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            return (np.zeros(0, np.int64),) * 2
+        known, size = w >= 0, len(w) - n + 1
+        ok = known[:size]
+        for i in range(1, n):
+            ok = ok & known[i:size + i]
+        at = np.flatnonzero(ok)
+        key = np.full(len(at), n, np.uint64)
+        for i in range(n):
+            key = (key ^ w[at + i].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
             key ^= key >> np.uint64(29)
-        return np.where(np.minimum.reduce(parts) < 0, -1, (key >> np.uint64(1)).astype(np.int64))
+        return at, (key >> np.uint64(1)).astype(np.int64)
+
+    @classmethod
+    def grams(cls, w: np.ndarray, n: int) -> np.ndarray:
+        """n-gram hashes of an item's words."""
+        return cls.places(w, n)[1]
 
     def read(self, text: str) -> np.ndarray:
         w = cut(text)
@@ -166,11 +179,9 @@ class Items:
         w = self.read(text)
         places, at = [], []
         for n in self.lengths:
-            g = self.grams(w, n)
-            hit = np.flatnonzero(g >= 0)
-            i = np.searchsorted(self.keys, g[hit])
-            ok = np.flatnonzero(i < len(self.keys))
-            ok = ok[self.keys[i[ok]] == g[hit[ok]]]
+            hit, g = self.places(w, n)
+            i = np.minimum(np.searchsorted(self.keys, g), max(0, len(self.keys) - 1))
+            ok = np.flatnonzero(self.keys[i] == g) if len(self.keys) else i[:0]
             places.append(hit[ok])
             at.append(i[ok])
         if not any(map(len, places)):
@@ -185,6 +196,7 @@ class Items:
         # seeds of an item whose diagonals lie within a third of its length belong to one window
         edge = np.flatnonzero((item[1:] != item[:-1]) | (diag[1:] - diag[:-1] > self.size[item[1:]] // 3)) + 1
         found: dict[int, tuple] = {}  # by row of the block
+        here = np.zeros(len(self.vocab), bool)
         for a, b in zip(np.concatenate(([0], edge)).tolist(), np.append(edge, len(item)).tolist()):
             i = int(item[a])
             m, room, x = int(self.size[i]), int(self.room[i]), self.words[i]
@@ -192,7 +204,11 @@ class Items:
             for start in range(first, last, 4096):  # bounded rows, overlapping by an item's span
                 window = w[start:min(last, start + 4096 + 2 * m)]
                 # matches are at most the item's words that are there at all
-                if MATCH * int(np.isin(x, window).sum()) < self.need[i] * MATCH * m - 1e-9:
+                there = window[window >= 0]
+                here[there] = True
+                shared = int(np.count_nonzero(here[x]))
+                here[there] = False
+                if MATCH * shared < self.need[i] * MATCH * m - 1e-9:
                     continue
                 score, s, e = smith_waterman(x, window)
                 score = score / (MATCH * m)
@@ -232,7 +248,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
             total = np.zeros(len(own.distinct), np.int64)
             for b in batches:
                 for text in b.column(0).to_pylist():
-                    g = np.unique(own.grams(own.read(text), 2)) if len(total) else own.distinct
+                    g = np.unique(own.places(own.read(text), 2)[1]) if len(total) else own.distinct
                     at = np.searchsorted(own.distinct, g)
                     ok = np.flatnonzero(at < len(total))
                     total[at[ok[own.distinct[at[ok]] == g[ok]]]] += 1

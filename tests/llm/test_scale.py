@@ -287,3 +287,10 @@ def test_warc_digests_and_many_ranges(spark):
         assert r.payload_digest == base64.b32encode(hashlib.sha1(p).digest()).decode() and r.payload_bytes == len(p)
         assert (r.record_type, r.refers_to) == (("response", None) if top[p] == k else ("revisit", top[p]))
         assert r.html == (p.decode() if top[p] == k else None)
+
+
+def test_decontaminate_cuts_ascii_like_other_text():
+    rng = random.Random(18)
+    for _ in range(300):
+        t = "".join(chr(rng.randrange(128)) for _ in range(40))
+        assert decontaminate.cut(t) == decontaminate.PLAIN.findall(t.lower())

@@ -6,6 +6,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def as_of_few(left: DataFrame, right: DataFrame, left_time: str, right_time: str) -> DataFrame:
+    """as_of without keys, for a right side of a row a time (regimes: a few hundred a year): each holds
+    until the next one, and the intervals are broadcast, so left rows stay where they are."""
+    gain = right.columns
+    held = right.filter(F.col(right_time).isNotNull()).withColumn("_until", F.lead(right_time).over(Window.orderBy(right_time)))
+    held = held.select(*[F.col(c).alias(f"_r_{c}") for c in gain], F.col(right_time).alias("_from"), "_until")
+    holds = (F.col(left_time) >= F.col("_from")) & (F.col("_until").isNull() | (F.col(left_time) < F.col("_until")))
+    out = left.join(F.broadcast(held), holds, "left")
+    return out.select(*left.columns, *[F.col(f"_r_{c}").alias(c if c not in left.columns else f"{c}_right") for c in gain])
+
+
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, ties: list[str] = ()) -> DataFrame:
     """Each left row with the latest right row of its keys at or before its time.
 

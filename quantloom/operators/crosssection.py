@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from ..functions.columns import average_rank, clip, div
 
 
-def pipeline(d: DataFrame, value: str, date: str = "date", sector: str = "sector", low: float = 0.05, high: float = 0.95, sign: int = 1) -> DataFrame:
-    """Missing dropped, winsorised, z-scored, made neutral by sector, rank-normalised, directed: per date."""
+def pipeline(d: DataFrame, value: str, date: str = "date", sector: str = "sector", low: float = 0.05, high: float = 0.95, sign: int = 1, fill: float | None = None) -> DataFrame:
+    """Missing dropped (or filled), winsorised, z-scored, made neutral by sector, rank-normalised, directed: per date."""
     w = Window.partitionBy(date)
-    d = d.filter(F.col(value).isNotNull())
-    d = d.withColumn("winsorized", F.least(F.greatest(F.col(value), F.percentile(value, F.lit(low)).over(w)), F.percentile(value, F.lit(high)).over(w)))
+    d = d.withColumn("filled", F.col(value) if fill is None else F.coalesce(value, F.lit(float(fill)))).filter("filled is not null")
+    d = d.withColumn("winsorized", F.least(F.greatest(F.col("filled"), F.percentile("filled", F.lit(low)).over(w)), F.percentile("filled", F.lit(high)).over(w)))
     std = F.stddev_samp("winsorized").over(w)
     d = d.withColumn("zscore", F.coalesce(F.when(std > 0, F.try_divide(F.col("winsorized") - F.avg("winsorized").over(w), std)), F.lit(0.0)))
     d = d.withColumn("sector", F.coalesce(F.col(sector), F.lit("Unknown")))
@@ -21,6 +21,12 @@ def pipeline(d: DataFrame, value: str, date: str = "date", sector: str = "sector
     return d.withColumn("score", F.when(n <= 1, 0.0).otherwise((average_rank("neutral", date) / n - 0.5) * 2) * sign)
 
 
+def summary_columns(value: str, prefix: str) -> list:
+    """Count, missing, mean, deviation and range of a column, as aggregates."""
+    c = F.col(value)
+    return [F.count(c).alias(f"{prefix}_count"), F.count_if(c.isNull()).alias(f"{prefix}_missing"), F.avg(c).alias(f"{prefix}_mean"), F.stddev_samp(c).alias(f"{prefix}_std"), F.min(c).alias(f"{prefix}_min"), F.max(c).alias(f"{prefix}_max")]
+
+
 def combine_rank(d: DataFrame, value: str, date: str = "date", higher: bool = True) -> DataFrame:
     """(average rank - 1) / (n - 1); constant or single: 0.5."""
     w = Window.partitionBy(date)
@@ -63,4 +69,4 @@ def equal_weights(d: DataFrame, date: str = "date", cash: float = 0.0) -> DataFr
     return d.withColumn("weight", F.lit(1 - cash) / F.count("*").over(Window.partitionBy(date)))
 
 
-__all__ = ["clip", "combine_rank", "combine_z", "composite", "equal_weights", "pipeline", "target_weights"]
+__all__ = ["clip", "combine_rank", "combine_z", "composite", "equal_weights", "pipeline", "summary_columns", "target_weights"]

@@ -124,8 +124,10 @@ def constrain_weights(weights: DataFrame, max_position: float, max_sector: float
     return d.select("symbol", "sector", F.bround("w", 6).alias("weight")).filter("weight > 0")
 
 
-def optimise(cov_rows: DataFrame, mode: str) -> DataFrame:
-    """(run, a, b, cov) -> (run, symbol, weight) by minimum variance or risk parity; a matrix a run."""
+def optimise(cov_rows: DataFrame, mode: str, rounds: int = 250) -> DataFrame:
+    """(run, a, b, cov) -> (run, symbol, weight): equal, risk_adjusted, min_variance or risk_parity; a matrix a run."""
+    if mode not in ("equal", "risk_adjusted", "min_variance", "risk_parity"):
+        raise ValueError(f"unknown mode {mode}")
     import numpy as np
     import pandas as pd
 
@@ -136,9 +138,12 @@ def optimise(cov_rows: DataFrame, mode: str) -> DataFrame:
             raw = np.linalg.pinv(c + 1e-8 * np.eye(n)) @ np.ones(n)
             w = np.clip(raw / raw.sum(), 0, None)
             w = w / w.sum() if w.sum() > 0 else np.full(n, 1 / n)
+        elif mode == "risk_adjusted":
+            w = 1 / np.maximum(np.sqrt(np.maximum(np.diag(c), 0)), 1e-4)
+            w = w / w.sum()
         else:
             w = np.full(n, 1 / n)
-            for _ in range(250):
+            for _ in range(rounds if mode == "risk_parity" else 0):
                 share = w * (c @ w)
                 share = share / share.sum()
                 w = w * (1 / n / np.maximum(share, 1e-8)) ** 0.35
@@ -245,15 +250,15 @@ def simulate(targets: DataFrame, prices: DataFrame, cash: float = 1_000_000.0, r
 
 def windows(start: dt.date, end: dt.date, train_days: int, test_days: int, purge: int = 0, embargo: int = 0) -> list[tuple]:
     """Rolling folds: (fold, train_start, train_end, test_start, test_end), in calendar days."""
-    out, at, day = [], start, dt.timedelta(days=1)
-    while True:
-        raw = at + day * (train_days - 1)
-        first = raw + day * (1 + embargo)
-        last = first + day * (test_days - 1)
-        if last > end:
-            return out
-        out.append((len(out), at, max(raw - day * purge, at), first, last))
-        at += day * test_days
+    span = train_days + embargo + test_days
+    folds = max(0, ((end - start).days + 1 - span) // test_days + 1)  # each fold starts test_days after the one before
+    on = lambda k, n: start + dt.timedelta(days=k * test_days + n)
+    return [(k, on(k, 0), on(k, max(0, train_days - 1 - purge)), on(k, train_days + embargo), on(k, span - 1)) for k in range(folds)]
+
+
+def auto_purge(purge: int, embargo: int, horizon: int) -> int:
+    """Without purge and embargo the factor's horizon is purged, so that no label reaches into the test."""
+    return horizon if purge == embargo == 0 else purge
 
 
 def fold_ic(ic: DataFrame, folds: DataFrame) -> DataFrame:

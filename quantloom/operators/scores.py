@@ -9,7 +9,7 @@ from ..functions.columns import div
 
 # Grade borders, the coverage below which nothing is graded, and warning borders.
 CANDIDATE, USABLE, LEAST_COVERAGE = 0.70, 0.55, 0.30
-FEW_RETURNS, MUCH_TURNOVER, DEEP_FALL, ONE_SYMBOL, LEG_RATIO = 30, 1.0, -0.2, 0.5, (0.2, 5.0)
+FEW_RETURNS, MUCH_TURNOVER, DEEP_FALL, ONE_SYMBOL, LEG_RATIO, MUCH_COST = 30, 1.0, -0.2, 0.5, (0.2, 5.0), 0.02
 
 
 def unit(c: Column) -> Column:
@@ -59,13 +59,15 @@ def grade(score: Column, coverage: Column) -> Column:
     )
 
 
-def warnings(n: Column, total: Column, sharpe: Column, drawdown: Column, turnover: Column, top: Column, long_side: Column, short_side: Column) -> Column:
+def warnings(n: Column, total: Column, sharpe: Column, drawdown: Column, turnover: Column, top: Column, long_side: Column, short_side: Column, cost_drag: Column | None = None, excess: Column | None = None) -> Column:
     """Array of the codes that hold; a NULL metric warns of nothing."""
+    none = F.lit(None).cast("double")
+    cost_drag, excess = none if cost_drag is None else cost_drag, none if excess is None else excess
     ratio = F.abs(F.try_divide(long_side, short_side))
     codes = [
-        (n < FEW_RETURNS, "LOW_OBSERVATION_COUNT"), (turnover > MUCH_TURNOVER, "HIGH_TURNOVER"),
+        (n < FEW_RETURNS, "LOW_OBSERVATION_COUNT"), (turnover > MUCH_TURNOVER, "HIGH_TURNOVER"), (F.abs(cost_drag) > MUCH_COST, "HIGH_COST_DRAG"),
         ((total < 0) & (sharpe > 0), "NEGATIVE_COMPOUND_POSITIVE_SHARPE"), (drawdown < DEEP_FALL, "LARGE_DRAWDOWN"),
-        (drawdown <= -1, "CAPITAL_WIPEOUT_OR_MARGIN_LOSS"), (div(top, F.abs(total)) > ONE_SYMBOL, "SYMBOL_CONCENTRATION"),
+        (drawdown <= -1, "CAPITAL_WIPEOUT_OR_MARGIN_LOSS"), (excess < 0, "BENCHMARK_UNDERPERFORMANCE"), (div(top, F.abs(total)) > ONE_SYMBOL, "SYMBOL_CONCENTRATION"),
         ((ratio > LEG_RATIO[1]) | (ratio < LEG_RATIO[0]), "LONG_SHORT_IMBALANCE"),
     ]
     return F.array_compact(F.array(*[F.when(holds, code) for holds, code in codes]))
@@ -85,3 +87,104 @@ def fill_batches(orders: DataFrame, slices: int, fill_ratio: float) -> DataFrame
     d = orders.select("*", batch.alias("b")).select(*orders.columns, "b.*")
     twap = F.floor(n / slices) + (k <= n % slices).cast("int")
     return d.withColumn("fill", F.when(F.col("mode") == "twap", twap).when(F.col("mode") == "partial_fill", F.floor(n * F.lit(fill_ratio))).otherwise(n).cast("long"))
+
+
+def steps(value: Column, borders: list[tuple[float, float]]) -> Column:
+    """Points of the first border that the value exceeds (borders fall); 0 below all and for NULL."""
+    out = F.when(value > borders[0][0], borders[0][1])
+    for border, points in borders[1:]:
+        out = out.when(value > border, points)
+    return F.coalesce(out, F.lit(0.0))
+
+
+def scorecard(m: dict[str, Column]) -> dict[str, Column]:
+    """Five component scores of a factor from 0 to 100, their weighted sum, and PASS, WATCH, REJECT or ERROR.
+
+    ``m``: ic, rank_ic, icir, positive, cumulative, mean_spread, sharpe, fall, hit, turnover, n_obs,
+    n_warnings, fallback.  A missing metric adds nothing.  Borders and weights are fixed values.
+    """
+    zero, one = F.lit(0.0), F.lit(1.0)
+    held = lambda c: F.coalesce(c, zero)
+    best = F.greatest(F.abs(m["ic"]), F.abs(m["rank_ic"]))  # of those that are known
+    hits = F.least(F.greatest(m["positive"] - 0.45, zero) / 0.15, one) * 20
+    ic = F.when(best.isNull(), 0.0).otherwise(F.least(F.least(best / 0.04, one) * 50 + held(F.least(m["icir"] / 0.5, one) * 30) + held(hits), F.lit(100.0)))
+    gain = steps(m["cumulative"], [(3.0, 30.0), (1.0, 20.0), (0.5, 10.0), (0.1, 5.0)]) + steps(m["mean_spread"], [(0.02, 20.0), (0.01, 15.0), (0.005, 10.0), (0.001, 5.0)]) + steps(m["sharpe"], [(1.5, 50.0), (1.0, 40.0), (0.5, 30.0), (0.2, 20.0), (0.0, 10.0)])
+    scaled = F.abs(m["cumulative"]) > 0.01
+    relative = F.when(scaled, m["fall"] / F.abs(m["cumulative"]))
+    fall = F.when(relative.isNotNull(), (F.greatest(F.lit(-1.0), F.least(relative, zero)) + 1) * 30).when(m["fall"].isNotNull(), (F.greatest(F.lit(-0.5), F.least(m["fall"], zero)) / 0.5 + 1) * 30)
+    risk = F.greatest(F.least(50 + held(fall) + held(F.least(F.greatest(m["hit"] - 0.45, zero) / 0.15, one) * 20), F.lit(100.0)), zero)
+    cost = F.when(m["turnover"].isNull(), 50.0).otherwise((1 - F.greatest(zero, F.least(m["turnover"], one))) * 100)
+    w = m["n_warnings"]
+    count = F.when(m["n_obs"] >= 500, 20).when(m["n_obs"] >= 100, 10).otherwise(0)
+    penalty = F.when(w > 5, 30).when(w > 2, 20).when(w > 0, 10).otherwise(0) + F.when(m["fallback"], 20).otherwise(0)
+    quality = F.when(F.coalesce(m["n_obs"], F.lit(0)) == 0, 0.0).otherwise(F.greatest(F.least((60 + count - penalty).cast("double"), F.lit(100.0)), zero))
+    score = ic * 0.30 + gain * 0.30 + risk * 0.20 + cost * 0.10 + quality * 0.10
+    rules = [
+        (m["n_obs"] == 0, "ERROR", "no observations"), (relative < -1, "REJECT", "spread drawdown exceeds cumulative spread"), (F.abs(m["ic"]) < 0.005, "REJECT", "near-zero IC"),
+        (m["turnover"] > 2, "REJECT", "excessive turnover"), ((score >= 70) & ~m["fallback"], "PASS", "strong signal"), (score >= 50, "WATCH", "moderate signal"),
+    ]
+    chain = lambda at, rest: F.coalesce(*[F.when(r[0], r[at]) for r in rules], F.lit(rest))
+    one_place = lambda c: F.bround(c, 1)
+    return {"ic_score": one_place(ic), "return_score": one_place(gain), "risk_score": one_place(risk), "cost_score": one_place(cost), "quality_score": one_place(quality), "score": one_place(score), "status": chain(1, "REJECT"), "reason": chain(2, "weak signal")}
+
+
+def audit_status(score: Column) -> Column:
+    return F.when(score >= 60, "pass").when(score >= 30, "warn").otherwise("fail")
+
+
+def universe_score(mean: Column, std: Column, positive: Column, n: Column) -> Column:
+    """From the Sharpe ratios of several universes: steadiness and share above zero; a steady loser gets 30 at most."""
+    steady = F.when(F.abs(mean) < 1e-9, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.abs(std / mean))))
+    whole = steady * 60 + positive * 40
+    return F.when(n < 2, 50.0).otherwise(F.bround(F.when((mean <= 0) | (positive < 0.5), F.least(whole, F.lit(30.0))).otherwise(whole), 2))
+
+
+def cost_score(net_sharpe: Column, net_return: Column, gross_sharpe: Column, gross_return: Column) -> Column:
+    """What a factor keeps of its Sharpe ratio and return at a realistic cost."""
+    size = F.greatest(F.abs(F.when((gross_sharpe.isNull()) | (gross_sharpe == 0), 1.0).otherwise(gross_sharpe)), F.lit(0.01))
+    kept = F.when(net_sharpe > 0, F.least(net_sharpe / size * 100, F.lit(100.0))).otherwise(0.0)
+    survival = F.when(gross_return > 1e-9, F.greatest(F.lit(0.0), F.least(F.lit(1.0), net_return / gross_return))).otherwise(0.0)
+    return F.when(gross_return.isNull(), 50.0).otherwise(F.bround(F.greatest(F.lit(0.0), F.least(kept * 0.6 + F.coalesce(survival, F.lit(0.0)) * 40, F.lit(100.0))), 2))
+
+
+def turnover_score(annual: Column) -> Column:
+    """100 without turnover, falling in straight pieces to 0 at ten times a year."""
+    line = F.when(annual <= 0, 100.0).when(annual <= 1, 100 - annual * 20).when(annual <= 3, 80 - (annual - 1) * 15).when(annual <= 5, 50 - (annual - 3) * 10).otherwise(F.greatest(F.lit(0.0), 30 - (annual - 5) * 6))
+    return F.when(annual.isNull(), 50.0).otherwise(F.bround(line, 2))
+
+
+def decile_score(corr: Column, spread: Column, n: Column) -> Column:
+    """Size of the rank correlation of deciles and returns, more if the spread agrees; an inverse one gets 40 at most."""
+    agrees = (F.abs(spread) > 0.001) & (F.signum(spread) == F.signum(corr))
+    whole = F.least(F.abs(corr) * 100 + F.when(agrees, 10.0).otherwise(0.0), F.lit(100.0))
+    return F.when(corr.isNull() | (n < 5), 50.0).otherwise(F.bround(F.when(corr < 0, F.least(whole, F.lit(40.0))).otherwise(whole), 2))
+
+
+def decay_score(half_life: Column, short_ic: Column, long_ic: Column, n: Column) -> Column:
+    """Bands of the half-life; without one, what of the short horizon's IC the long one keeps."""
+    h = half_life
+    band = F.when(h >= 40, 100.0).when(h >= 20, 70 + (h - 20) / 20 * 30).when(h >= 10, 40 + (h - 10) / 10 * 30).when(h >= 5, 20 + (h - 5) / 5 * 20).otherwise(F.greatest(F.lit(0.0), h / 5 * 20))
+    kept = F.when(F.abs(short_ic) > 1e-9, F.least(F.lit(100.0), F.abs(long_ic) / F.abs(short_ic) * 100))
+    return F.when(n < 2, 50.0).otherwise(F.bround(F.when(h.isNotNull(), band).otherwise(F.coalesce(kept, F.lit(50.0))), 2))
+
+
+#: Weights of the audit's components.
+AUDIT = {"fold_consistency": 0.20, "universe_stability": 0.15, "cost_robustness": 0.20, "turnover_quality": 0.15, "decile_monotonicity": 0.15, "ic_persistence": 0.15}
+
+
+def audit_score(parts: dict[str, Column]) -> Column:
+    """Weighted mean of the components that are there."""
+    there = sum((F.when(c.isNotNull(), AUDIT[k]).otherwise(0.0) for k, c in parts.items()), F.lit(0.0))
+    total = sum((F.coalesce(c, F.lit(0.0)) * AUDIT[k] for k, c in parts.items()), F.lit(0.0))
+    return F.bround(F.greatest(F.lit(0.0), F.least(F.coalesce(div(total, there), F.lit(0.0)), F.lit(100.0))), 2)
+
+
+def stability_label(score: Column, stable: float = 0.70, moderate: float = 0.40, missing: str = "unknown") -> Column:
+    return F.when(score.isNull(), missing).when(score >= stable, "stable").when(score >= moderate, "moderate").otherwise("unstable")
+
+
+def readiness(universe: Column, with_data: Column, history: Column, sectors: Column, ready: Column) -> Column:
+    """0 to 100 from the size of a universe, its price coverage, mean history, sectors and factor-ready symbols."""
+    share = lambda c, points: F.floor(F.coalesce(F.try_divide(c, universe), F.lit(0.0)) * points)
+    whole = F.least(universe, F.lit(20)) + share(with_data, 25) + F.floor(F.least(history / 252, F.lit(1.0)) * 20) + F.least(sectors * 3, F.lit(15)) + share(ready, 20)
+    return F.least(F.lit(100), F.greatest(F.lit(0), whole)).cast("int")

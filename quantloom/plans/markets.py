@@ -8,10 +8,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import backtest, crosssection, evaluate, markets
-from ..operators.asof import as_of
+from ..operators.asof import as_of_few
 from ..sources import panel
 from ..sources.panel import BARS, FUND, SECTORS
-from .research import ASSIGN, CORR, FACTORS, IC, OBS, PER, R, R9, _composite, _rounded, assigned, bars, obs
+from .research import ASSIGN, IC, OBS, PER, R, R9, _composite, _rounded, assigned, bars, obs
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -68,16 +68,16 @@ FBR = f"with {OBS('momentum_20d', [20])}, bench as (select date, avg(close) as c
 
 @query("regime_asof_join", f"with {BENCH}, {FEAT}, sig as (select distinct date + 3 as date from bars) select s.date, r.date as regime_date, r.regime from sig s asof left join reg r on s.date >= r.date")
 def regime_asof_join(spark, d):
-    sig = bars(spark, d).select(F.date_add("date", 3).alias("date")).distinct().withColumn("k", F.lit(1))
-    r = regimes(spark, d).select(F.lit(1).alias("k"), F.col("date").alias("regime_date"), "regime")
-    return as_of(sig, r, ["k"], "date", "regime_date").select("date", "regime_date", "regime")
+    sig = bars(spark, d).select(F.date_add("date", 3).alias("date")).distinct()
+    r = regimes(spark, d).select(F.col("date").alias("regime_date"), "regime")
+    return as_of_few(sig, r, "date", "regime_date").select("date", "regime_date", "regime")
 
 
 @query("factor_by_regime", f"{FBR}, j as (select regime, ic, rank_ic from ic join reg on ic.signal_date = reg.date) select regime, {R('avg(ic)')} as ic_mean, {R('avg(rank_ic)')} as rank_ic_mean, {R('avg(rank_ic) / nullif(stddev_samp(rank_ic), 0)')} as icir, count(ic) as n_dates from j group by 1 having count(ic) >= 2")
 def factor_by_regime(spark, d):
-    ic = evaluate.daily_ic(obs(spark, d, "momentum_20d", [20])).withColumn("k", F.lit(1))
-    r = regimes(spark, d).select(F.lit(1).alias("k"), F.col("date").alias("regime_date"), "regime")
-    j = as_of(ic, r, ["k"], "signal_date", "regime_date")
+    ic = evaluate.daily_ic(obs(spark, d, "momentum_20d", [20]))
+    r = regimes(spark, d).select(F.col("date").alias("regime_date"), "regime")
+    j = as_of_few(ic, r, "signal_date", "regime_date")
     std = F.stddev_samp("rank_ic")
     out = j.groupBy("regime").agg(F.avg("ic").alias("ic_mean"), F.avg("rank_ic").alias("rank_ic_mean"), F.when(std > 0, F.try_divide(F.avg("rank_ic"), std)).alias("icir"), F.count("ic").alias("n_dates"))
     return _rounded(out.filter("n_dates >= 2"), "regime")
@@ -286,25 +286,3 @@ def strategy_rolling(spark, d):
 def strategy_contributions(spark, d):
     a = assigned(spark, d).withColumn("m", F.count("*").over(Window.partitionBy("signal_date", "quantile"))).filter("quantile in (1, 5)")
     return _rounded(a.groupBy("symbol").agg(F.sum(F.when(F.col("quantile") == 5, F.col("future_return") / F.col("m")).otherwise(-F.col("future_return") / F.col("m"))).alias("contribution"), F.count("*").alias("n_periods")), "symbol")
-
-
-@query("factor_rank_store", f"""with {BARS}, {FACTORS}, o as (select f, value, signal_date, future_return from (
- select 'momentum_20d' as f, momentum_20d as value, date as signal_date, lead(close, 20) over (partition by symbol order by date) / close - 1 as future_return from fac
- union all select 'reversal_5d', reversal_5d, date, lead(close, 20) over (partition by symbol order by date) / close - 1 from fac
- union all select 'low_volatility_score', low_volatility_score, date, lead(close, 20) over (partition by symbol order by date) / close - 1 from fac) where value is not null and future_return is not null),
-ic as (select f, signal_date, {CORR.format(x='value', y='future_return')} as ic from o group by 1, 2),
-s as (select f, avg(ic) as m, avg(ic) / nullif(stddev_samp(ic), 0) as icir, count(ic) as n from ic group by 1)
-select f as factor_name, {R('m')} as ic_mean, {R('(0.35 * greatest(0, least(icir, 1)) + 0.30 * 0 + 0.25 * 0 + 0.10 * 0.5) * 100')} as health, cast(row_number() over (order by m desc, f) as integer) as rank, n as n_dates from s""")
-def factor_rank_store(spark, d):
-    from .research import factor_frame
-
-    names = ["momentum_20d", "reversal_5d", "low_volatility_score"]
-    f = factor_frame(spark, d, names)
-    legs = [evaluate.observations(f, n, [20]).withColumn("factor_name", F.lit(n)) for n in names]
-    o = legs[0].union(legs[1]).union(legs[2])
-    ic = o.groupBy("factor_name", "signal_date").agg(evaluate.correlation("value", "future_return").alias("ic"))
-    std = F.stddev_samp("ic")
-    s = ic.groupBy("factor_name").agg(F.avg("ic").alias("ic_mean"), F.when(std > 0, F.try_divide(F.avg("ic"), std)).alias("icir"), F.count("ic").alias("n_dates"))
-    none = F.lit(None).cast("double")
-    s = s.withColumn("health", markets.health_score(F.col("icir"), none, none, none)).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("ic_mean"), "factor_name")))
-    return _rounded(s.drop("icir"), "factor_name")

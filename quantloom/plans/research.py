@@ -123,7 +123,7 @@ def _price_query(name):
 for _f in PRICE:
     _price_query(_f.name)
 
-MONTHS = "sig as (select symbol, max(date) as date from bars group by symbol, date_trunc('month', date))"
+MONTHS = "sig as (select symbol, date from bars)"
 ASOF = f"""{BARS}, {FUND}, {MONTHS},
 known as (select s.symbol, s.date, f.* exclude (symbol) from sig s asof left join fund f on s.symbol = f.symbol and s.date >= f.report_date)"""
 YIELD = lambda c: f"case when {c} > 0 then 1 / {c} end"
@@ -141,9 +141,8 @@ FF = f"""ff as (select *, {MEAN(['fundamental_value_score', 'fundamental_quality
 
 
 def known(spark, d):
-    """Each symbol's last bar of a month with the fundamentals known by then."""
-    sig = bars(spark, d).groupBy("symbol", F.trunc("date", "MM").alias("m")).agg(F.max("date").alias("date")).select("symbol", "date")
-    return as_of(sig, panel.fundamentals(spark, d), ["symbol"], "date", "report_date", ["fiscal_period_end"])
+    """Each bar with the fundamentals known by then."""
+    return as_of(bars(spark, d).select("symbol", "date"), panel.fundamentals(spark, d), ["symbol"], "date", "report_date", ["fiscal_period_end"])
 
 
 @query("asof_fundamentals", f"with {ASOF} select symbol, date, report_date, fiscal_period_end, {R('pe_ratio')} as pe_ratio from known")

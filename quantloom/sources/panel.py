@@ -121,10 +121,27 @@ def mock(spark: SparkSession, symbols: list[str], days: int = 30) -> DataFrame:
     return dates.select(F.explode(F.array(*map(F.lit, symbols))).alias("symbol"), "date", close.alias("open"), close.alias("high"), close.alias("low"), close.alias("close"), close.alias("adj_close"), F.lit(1000).cast("long").alias("volume"))
 
 
+def latest_dates(bars: DataFrame, universe: DataFrame) -> DataFrame:
+    """The last date of each symbol of the universe; NULL where there is none."""
+    return universe.select("symbol").distinct().join(bars.groupBy("symbol").agg(F.max("date").alias("last_date")), "symbol", "left")
+
+
+def bounds(bars: DataFrame) -> DataFrame:
+    """First and last date and the number of trading days: a single row."""
+    return bars.agg(F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.count_distinct("date").alias("trading_days"))
+
+
+def resume(stored: DataFrame, fetched: DataFrame) -> DataFrame:
+    """Fetched rows after each symbol's last stored date: what an incremental refresh adds."""
+    last = stored.groupBy("symbol").agg(F.max("date").alias("_last"))
+    return fetched.join(last, "symbol", "left").filter(F.col("_last").isNull() | (F.col("date") > F.col("_last"))).drop("_last")
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of both, the new one where keys meet."""
+    """Rows of both, the new one where keys meet; of new rows of one key the largest by their other columns."""
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    w = Window.partitionBy(*keys).orderBy(F.col("_new").desc())
+    rest = [F.col(c).desc_nulls_last() for c in old.columns if c not in keys]
+    w = Window.partitionBy(*keys).orderBy(F.col("_new").desc(), *rest)
     return both.withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k", "_new")
 
 

@@ -19,7 +19,7 @@ def bars(spark, n=140, shock_from=None):
     rows = []
     for i, s in enumerate(["AAA", "BBB", "CCC"]):
         for k, day in enumerate(days(n)):
-            c = 80 + 11 * i + k * (0.18 + 0.14 * i) + k * (k // 25) * 0.015 * i + ((k % 9) - 4) * 0.03 * (i + 1)
+            c = (40 + 25 * i) * math.exp(0.001 * (i - 1) * k) * (1 + 0.03 * math.sin(k / (4.0 + i)) + 0.004 * math.cos(1.7 * k + i))
             if shock_from is not None and k >= shock_from:
                 c *= 3
             rows.append((s, day, float(c)))

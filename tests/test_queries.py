@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 
 DATA = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events".split()
-SOME = ["flagship_ic", "factor_momentum_60d", "asof_fundamentals", "quintile_returns", "backtest_turnover", "regime_classify", "alpha_targets", "research_ranking", "return_quality", "strategy_warnings", "execution_batches"]
+SOME = ["flagship_ic", "factor_momentum_60d", "asof_fundamentals", "quintile_returns", "backtest_turnover", "regime_classify", "alpha_targets", "research_ranking", "return_quality", "strategy_warnings", "execution_batches", "universe_filter", "alpha_eligibility", "multi_factor_scores", "factor_scorecard", "store_rank", "rebalance_plan", "fundamental_merge", "event_bars"]
 
 
 def test_entry_has_rows(spark):

@@ -21,9 +21,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, released
 
-MEMO = 300_000
+MEMO = 150_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -138,6 +138,11 @@ class Codec:
                 token = last
         return out
 
+    def forget(self) -> None:
+        """Empty the memos: a worker idles between tasks, and other stages need the memory."""
+        self.memo.clear()
+        self.fits.clear()
+
     def decode(self, ids) -> bytes:
         return b"".join([self.tokens[i] for i in ids])
 
@@ -189,9 +194,11 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool =
                 cols.append(pa.array([own.encode(t) for t in texts], pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names)
+        if own:
+            own.forget()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(released(run), schema)
 
 
 def op7_bpe(spark, sf_dir):

@@ -7,10 +7,12 @@ machine, a temporary folder is made and set.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +49,23 @@ def local_path(uri: str) -> str:
     return uri
 
 
+def released(run):
+    """A task's function that ends by giving freed memory back to the system.
+
+    Python workers outlive their tasks, and what allocators keep for later adds up over a job of many stages.
+    """
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, released
 
 #: Scripts without blanks: Thai, Lao, Myanmar, Khmer, kana, Han.
 UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U000323af"
@@ -256,7 +256,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
             yield pa.RecordBatch.from_arrays([pa.array(own.distinct[at]), pa.array(total[at])], ["gram", "df"])
 
         # at most one row an n-gram of the block
-        df = dict(map(tuple, rows.select("text").mapInArrow(count, "gram long, df long").groupBy("gram").agg(F.sum("df")).collect()))
+        df = dict(map(tuple, rows.select("text").mapInArrow(released(count), "gram long, df long").groupBy("gram").agg(F.sum("df")).collect()))
         items.choose(df)
         seeded = spark.sparkContext.broadcast(items)
 
@@ -268,7 +268,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "item_id", "score", "start_word", "end_word"])
 
-        out = out.union(rows.mapInArrow(align, schema))
+        out = out.union(rows.mapInArrow(released(align), schema))
     return out
 
 

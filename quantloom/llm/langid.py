@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, remainder
+from .common import documents, released, remainder
 
 DIM = 512
 #: Texts bundled together by one matrix product, and the trigrams that it takes at once.
@@ -142,7 +142,7 @@ def prototypes(labelled: DataFrame, dim: int = DIM) -> tuple[list[str], np.ndarr
             yield pa.RecordBatch.from_arrays([pa.array([lang] * dim), pa.array(np.arange(dim, dtype=np.int32)), pa.array(v)], ["lang", "k", "v"])
 
     # whole numbers: the sum is the same in any order
-    got = labelled.select("lang", "text").mapInArrow(run, "lang string, k int, v long").groupBy("lang", "k").agg(F.sum("v").alias("v")).toPandas()
+    got = labelled.select("lang", "text").mapInArrow(released(run), "lang string, k int, v long").groupBy("lang", "k").agg(F.sum("v").alias("v")).toPandas()
     names = sorted(set(got.lang))
     table = np.zeros((len(names), dim))
     table[got.lang.map({x: i for i, x in enumerate(names)}).to_numpy(int), got.k.to_numpy()] = got.v
@@ -171,7 +171,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
             lang, score = tell(b.column(2).to_pylist(), names, table)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return docs.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return docs.mapInArrow(released(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, model: tuple[list[str], np.ndarray], least: float = MIN_COSINE) -> DataFrame:
@@ -186,7 +186,7 @@ def keep_known(docs: DataFrame, model: tuple[list[str], np.ndarray], least: floa
             lang, score = tell(b.column(at).to_pylist(), names, table)
             yield b.filter(pa.array([x != "und" and s >= least for x, s in zip(lang, score)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
 
 
 def split(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

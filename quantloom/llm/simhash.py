@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, documents, written
+from .common import connected_components, documents, released, written
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: A block value with more distinct fingerprints than this is dealt on by parts of the other bits.
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
             fps = np.fromiter((fingerprint(t or b"", width, seed) for t in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(released(run), "doc_id long, fp long")
 
 
 def trie_join(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: np.ndarray, radius: int, found) -> None:
@@ -247,7 +247,7 @@ def links(fps: DataFrame, radius: int = 3, hot_block: int = HOT_BLOCK) -> DataFr
         dealt = marked.filter("hot").select("fp", "path", "key")
     for part in done:
         dealt = dealt.select("path", "value", "fp").union(part)
-    return dealt.select("path", "value", "fp").repartition("path", "value").mapInArrow(lambda it: _join_blocks(it, radius), "u long, v long")
+    return dealt.select("path", "value", "fp").repartition("path", "value").mapInArrow(released(lambda it: _join_blocks(it, radius)), "u long, v long")
 
 
 def groups(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, written
+from .common import documents, released, written
 
 SPAN = 200
 GRAM = 64
@@ -124,7 +124,7 @@ def anchors(docs: DataFrame, span: int = SPAN) -> DataFrame:
             if part:
                 yield emit(b.columns, part, span)
 
-    return docs.select("r1", "r2", "text").mapInArrow(run, "r1 long, r2 long, fp long, sh long, a long, m int")
+    return docs.select("r1", "r2", "text").mapInArrow(released(run), "r1 long, r2 long, fp long, sh long, a long, m int")
 
 
 def suffix_array(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -279,7 +279,7 @@ def shard(segments: DataFrame, span: int = SPAN, shard_bytes: int = SHARD_BYTES)
         if chunk:
             yield solve(chunk, number)
 
-    return segments.mapInArrow(run, SHARDED)
+    return segments.mapInArrow(released(run), SHARDED)
 
 
 def _merge(batches):
@@ -337,7 +337,7 @@ def _packed(rows: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([z.compress(t) for t in b.column(b.num_columns - 1).cast(pa.binary()).to_pylist()], pa.binary())], [*b.schema.names[:-1], "z"])
 
-    return rows.select("doc_id", "r1", "r2", "text").mapInArrow(run, "doc_id long, r1 long, r2 long, z binary")
+    return rows.select("doc_id", "r1", "r2", "text").mapInArrow(released(run), "doc_id long, r1 long, r2 long, z binary")
 
 
 def repeated_ranges(docs: DataFrame, span: int = SPAN, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -368,9 +368,9 @@ def repeated_ranges(docs: DataFrame, span: int = SPAN, shard_bytes: int = SHARD_
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
 
-    segments = written(_packed(docs).join(wanted, ["r1", "r2"]).select("z", "xs").mapInArrow(cut, "fp long, sh long, c long, n long, seg binary"), "segments")
+    segments = written(_packed(docs).join(wanted, ["r1", "r2"]).select("z", "xs").mapInArrow(released(cut), "fp long, sh long, c long, n long, seg binary"), "segments")
     sharded = written(shard(segments.repartitionByRange("fp", "sh").sortWithinPartitions("fp", "sh"), span, shard_bytes), "sharded")
-    crossing = sharded.filter("kind = 1").select("fp", "part", "keys", "shs", "starts").repartition("fp", "part").sortWithinPartitions("fp", "part").mapInArrow(_merge, "fp long, sh long, s int, e int")
+    crossing = sharded.filter("kind = 1").select("fp", "part", "keys", "shs", "starts").repartition("fp", "part").sortWithinPartitions("fp", "part").mapInArrow(released(_merge), "fp long, sh long, s int, e int")
     # a row a segment (its at most span windows bound the set), so a segment's rows do not multiply below
     both = sharded.filter("kind = 0").select("fp", "sh", "s", "e").union(crossing)
     ranges = written(both.groupBy("fp", "sh").agg(F.collect_set(F.struct("s", "e")).alias("xs")), "ranges")
@@ -421,7 +421,7 @@ def dedup(docs: DataFrame, span: int = SPAN, shard_bytes: int = SHARD_BYTES) ->
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([[{"s": s, "e": e} for s, e in g[1]] for g in got], kind), pa.array([g[2] for g in got], pa.binary())], ["doc_id", "n_bytes", "removed", "kept"])
 
     joined = _packed(rows).join(spans, ["r1", "r2"], "left").select("doc_id", "z", "spans")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, removed array<struct<s:long,e:long>>, kept binary")
+    return joined.mapInArrow(released(run), "doc_id long, n_bytes long, removed array<struct<s:long,e:long>>, kept binary")
 
 
 def cut_documents(docs: DataFrame, columns: list[str], span: int = SPAN) -> DataFrame:
@@ -450,9 +450,9 @@ def cut_documents(docs: DataFrame, columns: list[str], span: int = SPAN) -> Data
                 yield out.filter(keep)
 
     rest = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in full.drop("r1", "r2", "text").schema)
-    packed = full.mapInArrow(pack, f"{rest}r1 long, r2 long, z binary")
+    packed = full.mapInArrow(released(pack), f"{rest}r1 long, r2 long, z binary")
     joined = packed.join(spans, ["r1", "r2"], "left").select("doc_id", *others, "z", "spans")
-    return joined.mapInArrow(run, f"{rest}text string, n_chars long").select(*columns)
+    return joined.mapInArrow(released(run), f"{rest}text string, n_chars long").select(*columns)
 
 
 def op4_suffix(spark, sf_dir):

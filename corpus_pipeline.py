@@ -15,13 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.llm import bpe, decontaminate, langid, simhash, suffix
-from quantloom.llm.common import documents, scratch, written
+from quantloom.llm.common import bounded_batches, documents, scratch, written
 
 COLUMNS = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
 ORACLE_SQL = None
 
 
 def _columns(docs: DataFrame) -> DataFrame:
+    bounded_batches(docs.sparkSession)
     return docs.select(*[F.col(c).cast(t).alias(c) for c, t in COLUMNS.items()])
 
 

@@ -66,7 +66,18 @@ def released(run):
     return wrapped
 
 
+#: Bytes of an Arrow batch between the JVM and a Python worker; rows alone would let long texts fill both.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by bytes, unless the session has a bound of its own."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(name, spark.conf.get(name, str(BATCH_BYTES)))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

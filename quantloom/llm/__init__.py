@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import bpe, decontaminate, knn, langid, licenses, lm, quality, simhash, suffix, warc
+    from . import bpe, decontaminate, fim, knn, langid, licenses, lm, quality, simhash, suffix, warc
 
     return {
         "op1_quality": quality.op1_quality,
@@ -17,10 +17,11 @@ def queries() -> dict:
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_lm": lm.op9_lm,
         "op10_warc": warc.op10_warc,
+        "op11_fim": fim.op11_fim,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import knn, licenses
+    from . import fim, knn, licenses
 
-    return {"op2_topk": knn.OP2_SQL, "op3_licenses": licenses.op3_sql()}
+    return {"op2_topk": knn.OP2_SQL, "op3_licenses": licenses.op3_sql(), "op11_fim": fim.OP11_SQL}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import bpe, decontaminate, fim, knn, langid, licenses, lm, quality, simhash, suffix, warc
+    from . import bpe, decontaminate, fim, knn, langid, licenses, lm, minhash, quality, simhash, suffix, warc
 
     return {
         "op1_quality": quality.op1_quality,
@@ -18,10 +18,11 @@ def queries() -> dict:
         "op9_lm": lm.op9_lm,
         "op10_warc": warc.op10_warc,
         "op11_fim": fim.op11_fim,
+        "op12_minhash": minhash.op12_minhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import fim, knn, licenses
+    from . import fim, knn, licenses, minhash
 
-    return {"op2_topk": knn.OP2_SQL, "op3_licenses": licenses.op3_sql(), "op11_fim": fim.OP11_SQL}
+    return {"op2_topk": knn.OP2_SQL, "op3_licenses": licenses.op3_sql(), "op11_fim": fim.OP11_SQL, "op12_minhash": minhash.OP12_SQL}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import bpe, decontaminate, fim, knn, langid, licenses, lm, minhash, quality, simhash, suffix, warc
+    from . import bpe, decontaminate, fim, knn, langid, licenses, lm, merkle, minhash, quality, simhash, suffix, warc
 
     return {
         "op1_quality": quality.op1_quality,
@@ -19,10 +19,11 @@ def queries() -> dict:
         "op10_warc": warc.op10_warc,
         "op11_fim": fim.op11_fim,
         "op12_minhash": minhash.op12_minhash,
+        "op13_merkle": merkle.op13_merkle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import fim, knn, licenses, minhash
+    from . import fim, knn, licenses, merkle, minhash
 
-    return {"op2_topk": knn.OP2_SQL, "op3_licenses": licenses.op3_sql(), "op11_fim": fim.OP11_SQL, "op12_minhash": minhash.OP12_SQL}
+    return {"op2_topk": knn.OP2_SQL, "op3_licenses": licenses.op3_sql(), "op11_fim": fim.OP11_SQL, "op12_minhash": minhash.OP12_SQL, "op13_merkle": merkle.OP13_SQL}

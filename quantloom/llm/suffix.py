@@ -170,8 +170,8 @@ def common_prefixes(b: np.ndarray, sa: np.ndarray, rank: np.ndarray, begins: np.
     n = len(b)
     padded = np.concatenate((b, np.zeros(cap + 16, np.uint8)))
     word = np.zeros(n + cap + 8, np.uint64)
-    for k in range(8):
-        word = (word << U(8)) | padded[k:k + len(word)].astype(np.uint64)
+    for k in range(8):  # the first byte lowest
+        word |= padded[k:k + len(word)].astype(np.uint64) << U(8 * k)
     before = np.where(rank > 0, sa[rank - 1], -1)
     out = np.zeros(n, np.int32)
     order = np.argsort(-sizes, kind="stable")
@@ -186,11 +186,9 @@ def common_prefixes(b: np.ndarray, sa: np.ndarray, rank: np.ndarray, begins: np.
         go = np.flatnonzero(j >= 0)
         while len(go):
             x = word[i[go] + h[go]] ^ word[j[go] + h[go]]
-            same = x == 0
-            # the highest differing bit tells how many bytes agree
-            more = np.where(same, 8, (63 - np.floor(np.log2(np.maximum(x, U(1)).astype(np.float64))).astype(np.int64)) // 8)
-            h[go] += more
-            go = go[same & (h[go] < cap)]
+            # the bits below the lowest differing one tell how many bytes agree; all 64 where none differs
+            h[go] += np.bitwise_count((x & -x) - U(1)) >> 3
+            go = go[(x == 0) & (h[go] < cap)]
         # text beyond the end equals nothing
         np.minimum(h, np.minimum(cap, n - np.maximum(i, j)), out=h)
         out[i] = h

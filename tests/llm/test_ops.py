@@ -310,3 +310,28 @@ def test_licenses_full_texts_and_paragraphs(spark):
     got = {(r.doc_id, r.license) for r in licenses.scan(documents(spark, list(texts.items()))).collect()}
     assert got == {(1, "MIT"), (2, "MIT"), (3, "MIT"), (4, "BSD-3-Clause"), (5, "BSD-3-Clause"), (6, "Apache-2.0")}
     assert all(len(g) < 266 for _, g in licenses.template_sets(licenses.TEMPLATES))
+
+
+@pytest.mark.parametrize("at", range(9))
+def test_prefixes_end_at_complementary_bytes(at):
+    # what follows the shared part differs in every bit: no float may stand between the words and the count
+    for a, b in ((b"\xc3\xa9" * 8, b"<V" * 8), (b"\xff" * 16, b"\0" * 16), (b"\x80" + b"\0" * 15, b"\x7f" + b"\xff" * 15), (b"\0" * 8 + b"\1" * 8, b"\xff" * 7 + b"\xfe" * 9)):
+        shared = bytes(random.Random(at).randrange(256) for _ in range(200 + at))
+        got = suffix.repeated_starts([shared + a, shared + b], 200)
+        assert [np.flatnonzero(g[:at + 2]).tolist() for g in got] == [list(range(at + 1))] * 2
+
+
+def test_suffix_over_characters_of_many_bytes(spark):
+    rng = random.Random(12)
+    shared = ["".join(rng.choice("aé日\U0001f600<V\xff") for _ in range(n)) for n in (80, 120, 201)]
+    tails = ["\xe9\xe9\xe9\xe9", "<V<V<V<V", "\U0001f600\U0001f600", "日本", "~~~~", "\x7f\x7f\x7f"]
+    rows = []
+    for k in range(120):
+        rows.append((k, prose(k, 4) + shared[k % 3] + tails[k % 6] + prose(k + 500, rng.randint(0, 30))))
+    windows = collections.Counter(t.encode()[i:i + 200] for _, t in rows for i in range(len(t.encode()) - 199))
+    want = {}
+    for k, t in rows:
+        t = t.encode()
+        gone = {i + j for i in range(len(t) - 199) if windows[t[i:i + 200]] > 1 for j in range(200)}
+        want[k] = bytes(c for i, c in enumerate(t) if i not in gone)
+    assert {r.doc_id: bytes(r.kept) for r in suffix.dedup(documents(spark, rows)).collect()} == want and any(len(want[k]) < len(t.encode()) for k, t in rows)

@@ -8,16 +8,22 @@ distinct ``width``-word shingles (with fewer words: of the whole sequence).  The
 Plan
   sets        one Arrow pass gives size, set digest and sketch of every row (no shuffle, a table is written);
               rows with one set are one representative from here on, so exact copies never meet in a list.
-  lists       sketch values are counted (partial sums first) and those of one document alone go; two linked
+  sketches    sketch values are counted (partial sums first) and those of one document alone go; two linked
               sketches share at least ``shared_least`` values, so of each sketch all but the ``shared_least`` - 1
-              most frequent values are enough to meet (prefix filter).  What half the corpus has in common
-              thus builds no list, unless it is nearly all of a text.
-  rounds      a list's pairs are never listed.  A round picks centres in each list (the documents whose
-              values are the most frequent, one for each of a number of hash classes) and pairs every
-              member with them.  Lists whose members are all in one component are settled and go; centres
-              that have met all members leave their list; the number of classes grows eightfold.  A group
-              of near copies settles around its base in the first round; at the latest, when each member
-              has a class of its own, every pair has been met.  No list, partner or candidate is capped.
+              most frequent values are enough to meet (prefix filter).  Documents none of whose values is
+              left have no partner; the others are live, and their whole sets are made.
+  lists       the same with the whole sets of the live ones, where the bound is exact: a set meets others in the
+              lists of its n - ceil(n * percent) + 1 rarest values, each with its place in the set's order
+              of rarity.  Two sets whose first common value is at places i and j share at most min(na - i,
+              nb - j); pairs that this keeps under the threshold are none.  What half the corpus has in
+              common builds no list, unless it is nearly all of a text.
+  centres     a list's pairs are not listed.  First the centres of each list (the sets whose values are the most
+              frequent, then also one for each of eight hash classes) are paired with the members, and each
+              member tries the centre that it shares the most lists with: a group of near copies becomes one
+              component around its base.
+  blocks      then pairs in different components that the bounds of size and place leave are found in each
+              list, by arrays, in blocks: longer lists are cut, and each pair of blocks is a unit of work.
+              No list, partner or candidate is capped.
   filter      the k smallest values of both sketches together are a sample of the union: a pair stays if
               ``shared_least`` of them are in both sets.  Where the union is not larger than k this is exact.
   verify      pairs that stay meet the whole sets of both and are linked by sizes of intersection and union.
@@ -53,8 +59,12 @@ WIDTH = 3
 PERCENT = 85
 #: The chance that the filter loses a pair at exactly the threshold; less above it.
 LOSS = 1e-12
-#: Centres a list gets more of, from round to round.
-GROWTH = 8
+#: Hash classes that give a list a centre each, by round.
+CLASSES = (1, 8)
+#: Members of a list that one unit of work compares with each other, or with as many others.
+BLOCK = 8192
+#: Pairs that leave a task at once, about.
+HELD = 1 << 16
 
 
 def shingle_set(text: bytes, width: int = WIDTH, seed: int = 42) -> np.ndarray:
@@ -118,43 +128,117 @@ def whole_sets(texts: DataFrame, width: int = WIDTH) -> DataFrame:
     return texts.select("row", "text").mapInArrow(released(run), "row long, whole array<long>")
 
 
-def inverted_lists(reps: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """(row, n, sketch) -> (v, row, n, score): every two linked rows are in a list v together.
+def _by_rarity(sets: DataFrame, places, size, name: str) -> DataFrame:
+    """(row, n, values) -> (row, n, score, own, alone): the values that others have too, rarest first, as far as ``places``.
 
-    A linked pair shares at least ``need`` values of its sketches, so it shares one of the size - need + 1
-    rarest of either; values are ordered by the number of rows that have them, then by themselves.
+    ``alone`` counts the values that no other row has: they are rarer, take the first places and need no list.
     """
+    values = sets.select("row", F.explode("values").alias("v"))
+    # written, as other small sides below: Spark splits a hot value only where a join reads a table
+    often = written(values.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1"), name)
+    shared = values.join(often, "v").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("own"))
+    score = F.aggregate("own", F.lit(0).cast("long"), lambda total, x: total + x.df)
+    alone = (size - F.size("own")).cast("int")
+    shared = shared.join(sets.select("row", "n", places.cast("int").alias("places"), size.alias("size")), "row").withColumn("size", size)
+    return shared.select("row", "n", score.alias("score"), F.slice("own.v", 1, F.greatest(F.col("places") - alone, F.lit(0))).alias("own"), alone.alias("alone")).filter(F.size("own") > 0)
+
+
+def live_rows(reps: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
+    """(row, n, sketch) -> the rows whose sketch can meet another's."""
     least = shared_least(k, percent)
     need = F.ceil(F.col("n") * percent / 100)
     # a partner may be larger by 100 / percent: only if it still fits a sketch are all shared values seen
     need = F.when(F.col("n") * 100 <= k * percent, need).otherwise(F.least(need, F.lit(least)))
-    # values with a count of one are the rarest: they fill the first places and need no row
-    places = (F.least(F.col("n"), F.lit(k)) - need + 1).cast("int")
-    values = reps.select("row", F.explode("sketch").alias("v"))
-    # written, as other small sides below: Spark splits a hot value only where a join reads a table
-    often = written(values.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1"), "minhash-often")
-    shared = values.join(often, "v").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("own"))
-    shared = shared.join(reps.select("row", "n", places.alias("places")), "row")
-    score = F.aggregate("own", F.lit(0).cast("long"), lambda total, x: total + x.df)
-    left = F.col("places") - (F.least(F.col("n"), F.lit(k)) - F.size("own")).cast("int")
-    return shared.select("row", "n", score.alias("score"), F.slice("own", 1, F.greatest(left, F.lit(0))).alias("own")).select("row", "n", "score", F.explode("own.v").alias("v"))
-
-
-def _met(members: DataFrame, classes: int, best: bool, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b, na, nb), a < b, of each list's centres with its members; and the centres (v, row)."""
-    rank = F.struct("score", "row", "n", "root")
-    centres = written(members.groupBy("v", F.pmod(F.xxhash64("row"), F.lit(classes)).alias("class")).agg(F.max(rank).alias("c")).select("v", "c"), "minhash-centres")
-    pairs = members.join(centres, "v").filter("root <> c.root")
-    pairs = pairs.filter(F.least("n", "c.n") * 100 >= F.greatest("n", "c.n") * percent)
-    if best:
-        # each member's most telling centre: the one that it shares the most lists with
-        counted = pairs.groupBy(F.col("row").alias("b"), F.col("c.row").alias("a")).agg(F.count("*").alias("lists"), F.max("c.score").alias("score"), F.max("n").alias("nb"), F.max("c.n").alias("na"))
-        pairs = counted.groupBy("b").agg(F.max(F.struct("lists", "score", "a", "na", "nb")).alias("x")).select(F.col("x.a").alias("a"), "b", F.col("x.na").alias("na"), F.col("x.nb").alias("nb"))
-    else:
-        pairs = pairs.select(F.col("c.row").alias("a"), F.col("row").alias("b"), F.col("c.n").alias("na"), F.col("n").alias("nb"))
-    turned = F.col("a") > F.col("b")
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(turned, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(turned, F.col("na")).otherwise(F.col("nb")).alias("nb"))
-    return pairs.distinct(), centres.select("v", F.col("c.row").alias("row"))
+    size = F.least(F.col("n"), F.lit(k))
+    return _by_rarity(reps.select("row", "n", F.col("sketch").alias("values")), size - need + 1, size, "minhash-often").select("row")
+
+
+def inverted_lists(wholes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(row, whole) -> (v, row, n, at, score): two linked rows meet in the list of their first common value, ``at`` its place."""
+    sets = wholes.select("row", F.size("whole").cast("long").alias("n"), F.col("whole").alias("values"))
+    own = _by_rarity(sets, F.col("n") - F.ceil(F.col("n") * percent / 100) + 1, F.col("n"), "minhash-often-whole")
+    return own.select("row", "n", "score", "alone", F.posexplode("own").alias("k", "v")).select("v", "row", "n", (F.col("alone") + F.col("k")).cast("long").alias("at"), "score")
+
+
+def _in_reach(na, ia, nb, ib, percent: int):
+    """Whether sets of these sizes whose first common value has these places can be linked."""
+    most = F.least(na - ia, nb - ib)
+    return most * 100 >= (na + nb - most) * percent
+
+
+def centre_pairs(members: DataFrame, classes: int, percent: int) -> DataFrame:
+    """(a, b, na, nb), a < b: each member of a list in more than one component with the centre it shares the most lists with."""
+    rank = F.struct("score", "row", "n", "at", "root")
+    centres = members.groupBy("v", F.pmod(F.xxhash64("row"), F.lit(classes)).alias("class")).agg(F.max(rank).alias("c")).select("v", "c")
+    pairs = members.join(written(centres, "minhash-centres"), "v").filter("root <> c.root")
+    pairs = pairs.filter(_in_reach(F.col("n"), F.col("at"), F.col("c.n"), F.col("c.at"), percent))
+    counted = pairs.groupBy(F.col("row").alias("b"), F.col("c.row").alias("a")).agg(F.count("*").alias("lists"), F.max("c.score").alias("score"), F.max("n").alias("nb"), F.max("c.n").alias("na"))
+    best = counted.groupBy("b").agg(F.max(F.struct("lists", "score", "a", "na", "nb")).alias("x"))
+    turned = F.col("x.a") > F.col("b")
+    out = best.select(F.least("x.a", "b").alias("a"), F.greatest("x.a", "b").alias("b"), F.when(turned, F.col("x.nb")).otherwise(F.col("x.na")).alias("na"), F.when(turned, F.col("x.na")).otherwise(F.col("x.nb")).alias("nb"))
+    return out.distinct()
+
+
+def _pairs_in(t: pa.Table, percent: int):
+    """Rows sorted by (v, cell, n) -> arrays (a, b, na, nb) of pairs of one list that the bounds leave, a part at a time."""
+    v, cell, side, row, n, at, root = (t[c].to_numpy() for c in ("v", "cell", "side", "row", "n", "at", "root"))
+    one_block = t["one_block"].to_numpy(zero_copy_only=False)
+    held, count = [], 0
+    i = np.arange(len(v))
+    for d in range(1, len(v)):
+        i = i[i + d < len(v)]
+        j = i + d
+        # rows go by size: once a partner is too large, all later ones are
+        i = i[(v[i] == v[j]) & (cell[i] == cell[j]) & (n[i] * 100 >= n[j] * percent)]
+        if not len(i):
+            break
+        j = i + d
+        most = np.minimum(n[i] - at[i], n[j] - at[j])
+        ok = (root[i] != root[j]) & (one_block[i] | (side[i] != side[j])) & (most * 100 >= (n[i] + n[j] - most) * percent)
+        if ok.any():
+            x, y = i[ok], j[ok]
+            x, y = np.where(row[x] < row[y], x, y), np.where(row[x] < row[y], y, x)
+            held.append((row[x], row[y], n[x], n[y]))
+            count += len(x)
+            if count > HELD:
+                yield [np.concatenate(c) for c in zip(*held)]
+                held, count = [], 0
+    if held:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
+def block_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b, na, nb), a < b: all pairs of a list in different components that can be linked."""
+
+    def run(batches):
+        names = ["a", "b", "na", "nb"]
+        kept = []
+
+        def out(t):
+            for part in _pairs_in(t.combine_chunks(), percent):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in part], names)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            kept.append(b)
+            t = pa.Table.from_batches(kept)
+            v, cell = t["v"].to_numpy(), t["cell"].to_numpy()
+            cut = int(np.flatnonzero((v != v[-1]) | (cell != cell[-1]))[-1:].max(initial=-1)) + 1  # the last unit may go on
+            if cut:
+                yield from out(t.slice(0, cut))
+                kept = t.slice(cut).combine_chunks().to_batches()
+        if kept:
+            yield from out(pa.Table.from_batches(kept))
+
+    lengths = written(members.groupBy("v").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks")), "minhash-blocks")
+    # lists of one block, nearly all, need no copy of their rows
+    side = F.pmod(F.xxhash64("row"), F.col("blocks"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    units = members.join(lengths, "v").withColumn("side", side).withColumn("other", other)
+    units = units.withColumn("cell", F.least("side", "other") * F.col("blocks") + F.greatest("side", "other"))
+    units = units.select("v", "cell", "side", (F.col("side") == F.col("other")).alias("one_block"), "row", "n", "at", "root").repartition("v", "cell").sortWithinPartitions("v", "cell", "n")
+    return units.mapInArrow(released(run), "a long, b long, na long, nb long").distinct()
 
 
 def _with(pairs: DataFrame, side: str, table: DataFrame, column: str) -> DataFrame:
@@ -180,31 +264,27 @@ def verified(pairs: DataFrame, wholes: DataFrame, percent: int = PERCENT) -> Dat
     return both.filter(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def links(reps: DataFrame, lists: DataFrame, wholes: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
+def links(reps: DataFrame, wholes: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     """(node, root) of every row that is linked with another; see the module's plan."""
     spark = reps.sparkSession
+    lists = written(inverted_lists(wholes, percent), "minhash-lists")
     found = spark.createDataFrame([], "u long, v long")
     roots = spark.createDataFrame([], "node long, root long")
     tried = spark.createDataFrame([], "a long, b long")
-    classes, best = 1, True
-    while True:
+    for classes in (*CLASSES, None):
         members = lists.join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
-        open_ = written(members.groupBy("v").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("v"), "minhash-unsettled")
-        members = written(members.join(open_, "v", "left_semi").select("v", "row", "n", "score", "root"), "minhash-open")
-        if not members.head(1):
-            return roots
-        pairs, centres = _met(members, classes, best, percent)
+        unsettled = written(members.groupBy("v").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("v"), "minhash-unsettled")
+        members = written(members.join(unsettled, "v", "left_semi").select("v", "row", "n", "at", "score", "root"), "minhash-open")
+        pairs = centre_pairs(members, classes, percent) if classes else block_pairs(members, percent)
         pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "minhash-pairs")
-        new = written(verified(likely(pairs, reps, k, percent), wholes, percent), "minhash-links")
+        if not pairs.head(1):
+            continue
         tried = tried.union(pairs.select("a", "b"))
+        new = written(verified(likely(pairs, reps, k, percent), wholes, percent), "minhash-links")
         if new.head(1):
             found = found.union(new)
             roots = written(connected_components(found), "minhash-roots")
-        lists = members.drop("root")
-        if not best:  # centres have met all that is left of their lists
-            lists = lists.join(centres, ["v", "row"], "left_anti")
-            classes *= GROWTH
-        best = False
+    return roots
 
 
 def groups(docs: DataFrame, width: int = WIDTH, k: int = K, percent: int = PERCENT) -> DataFrame:
@@ -213,13 +293,12 @@ def groups(docs: DataFrame, width: int = WIDTH, k: int = K, percent: int = PERCE
     full = own.filter("n > 0")
     named = written(full.groupBy("digest").agg(F.min("row").alias("row"), F.min("doc_id").alias("least")), "minhash-sets")
     reps = written(full.join(named.select("row"), "row", "left_semi").select("row", "text_key", "n", "sketch"), "minhash-reps")
-    lists = written(inverted_lists(reps, k, percent), "minhash-lists")
-    # whole sets of those that are in a list, from one of the texts that have the representative's key
-    live = reps.select("row", "text_key").join(lists.select("row").distinct(), "row", "left_semi")
+    # whole sets of those that can meet others, from one of the texts that have the representative's key
+    live = written(reps.select("row", "text_key").join(live_rows(reps, k, percent), "row", "left_semi"), "minhash-live")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     texts = docs.select(F.unhex(F.md5(text)).alias("text_key"), text.alias("text")).join(live, "text_key")
     wholes = written(whole_sets(texts.dropDuplicates(["row"]), width), "minhash-wholes")
-    roots = links(reps, lists, wholes, k, percent)
+    roots = links(reps, wholes, k, percent)
     rooted = named.join(roots, named.row == roots.node, "left").select("digest", "least", F.coalesce("root", "row").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     table = written(rooted.join(least, "root").select("digest", "component_id"), "minhash-groups")

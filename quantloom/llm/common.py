@@ -11,6 +11,7 @@ import ctypes
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +41,21 @@ def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession):
+    """Queries run within give their shuffle files back when they end, not when the driver collects garbage.
+
+    For steps whose results are written and read again: nothing that ended is asked for a second time.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def local_path(uri: str) -> str:
     """A ``file:`` URI as a path; other schemes are refused, since Python workers open these files."""
     if uri.startswith("file:"):

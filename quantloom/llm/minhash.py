@@ -51,7 +51,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, documents, released, written
+from .common import connected_components, documents, released, shuffles_freed, written
 from .simhash import WORD
 
 K = 96
@@ -289,6 +289,17 @@ def links(reps: DataFrame, wholes: DataFrame, k: int = K, percent: int = PERCENT
 
 def groups(docs: DataFrame, width: int = WIDTH, k: int = K, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs."""
+    with shuffles_freed(docs.sparkSession):
+        own, table = _grouped(docs, width, k, percent)
+    # a set that very many rows have is split on the side of the rows
+    out = own.select("doc_id", "n", "digest").join(table, "digest", "left")
+    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _grouped(docs: DataFrame, width: int, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Every row (doc_id, n, digest, ...) and every set's component (digest, component_id), both written."""
     own = written(sketches(docs, width, k).withColumn("row", F.monotonically_increasing_id()), "minhash-own")
     full = own.filter("n > 0")
     named = written(full.groupBy("digest").agg(F.min("row").alias("row"), F.min("doc_id").alias("least")), "minhash-sets")
@@ -301,12 +312,7 @@ def groups(docs: DataFrame, width: int = WIDTH, k: int = K, percent: int = PERCE
     roots = links(reps, wholes, k, percent)
     rooted = named.join(roots, named.row == roots.node, "left").select("digest", "least", F.coalesce("root", "row").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    table = written(rooted.join(least, "root").select("digest", "component_id"), "minhash-groups")
-    # a set that very many rows have is split on the side of the rows
-    out = own.select("doc_id", "n", "digest").join(table, "digest", "left")
-    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return own, written(rooted.join(least, "root").select("digest", "component_id"), "minhash-groups")
 
 
 OP12_SQL = """

@@ -311,7 +311,7 @@ def _grouped(docs: DataFrame, width: int, k: int, percent: int) -> tuple[DataFra
     wholes = written(whole_sets(texts.dropDuplicates(["row"]), width), "minhash-wholes")
     roots = links(reps, wholes, k, percent)
     rooted = named.join(roots, named.row == roots.node, "left").select("digest", "least", F.coalesce("root", "row").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "minhash-names")
     return own, written(rooted.join(least, "root").select("digest", "component_id"), "minhash-groups")
 
 

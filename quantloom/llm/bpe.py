@@ -16,6 +16,7 @@ import base64
 import hashlib
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -158,12 +159,12 @@ class Codec:
     def encode(self, text: str) -> list[int]:
         return [i for p in self.pattern.findall(text) for i in self.encode_piece(p.encode("utf-8"))]
 
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, hash of the ids, hash of the bytes that they decode to."""
+    def digest(self, text: str) -> tuple[int, str, str, bytes]:
+        """Number of ids, hash of the ids, hash of the bytes that they decode to, the ids as decimal text."""
         memo, slow = self.memo, self._piece
         got = [memo.get(p) or slow(p) for p in self.pattern.findall(text)]
-        ids = hashlib.sha256(b" ".join([g[1] for g in got])).hexdigest()
-        return sum([g[0] for g in got]), ids, hashlib.sha256(b"".join([g[2] for g in got])).hexdigest()
+        ids = b" ".join([g[1] for g in got])
+        return sum([g[0] for g in got]), hashlib.sha256(ids).hexdigest(), hashlib.sha256(b"".join([g[2] for g in got])).hexdigest(), ids
 
 
 _codecs: dict[tuple, Codec] = {}
@@ -177,8 +178,8 @@ def codec(ranks: dict[bytes, int], pattern: str, key) -> Codec:
     return _codecs[key]
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids]); the vocabulary's size bounds the broadcast."""
+def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool = False, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids]) and the ``extra`` columns of docs; the vocabulary's size bounds the broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
     key = (path, pattern)
 
@@ -187,18 +188,22 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool =
         for b in batches:
             own = own or codec(shared.value, pattern, key)
             texts = [t or "" for t in b.column(1).to_pylist()]
-            got = [own.digest(t) for t in texts]
-            cols = [b.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.string()), pa.array([g[2] for g in got], pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            got = [own.digest(t) if with_ids else own.digest(t)[:3] for t in texts]
+            cols = [*b.columns[2:], b.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.string()), pa.array([g[2] for g in got], pa.string())]
+            names = [*extra, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                cols.append(pa.array([own.encode(t) for t in texts], pa.list_(pa.int32())))
+                ids = np.fromstring(b" ".join([g[3] for g in got]), np.int32, sep=" ")
+                ends = np.cumsum([0, *(g[0] for g in got)], dtype=np.int32)
+                cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names)
         if own:
             own.forget()
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(released(run), schema)
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    schema = "".join(f"`{c}` {kinds[c]}, " for c in extra) + "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra).mapInArrow(released(run), schema)
+    return out.select("doc_id", *extra, *[c for c in out.columns if c != "doc_id" and c not in extra])
 
 
 def op7_bpe(spark, sf_dir):

@@ -21,6 +21,21 @@ def test_stages_over_odd_rows(spark, tmp_path):
     assert ids[1] == [1, 6, 7, None]
     assert ids[3] == ids[4]
     assert 6 not in ids[4] and {7, None} <= set(ids[4])
+    # the ids are those of the library, over the texts that the fourth stage left
+    import base64
+    import hashlib
+
+    import public_tokenizers as P
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    left = spark.read.parquet(str(tmp_path / cp.STAGES[3][0])).collect()
+    want = sorted(((r.doc_id, r.lang, r.source, enc.encode_ordinary(r.text)) for r in left), key=str)
+    got = docs.collect()
+    assert sorted(((r.doc_id, r.lang, r.source, r.ids) for r in got), key=str) == want
+    for r in got:
+        assert r.n_tokens == len(r.ids) and r.ids_sha256 == hashlib.sha256(" ".join(map(str, r.ids)).encode()).hexdigest()
 
 
 def test_null_and_shared_ids_are_rows_of_their_own(spark, tmp_path):

@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages, each written as Parquet and reread as the next one's documents.
 
 Stages keep the columns of ``documents`` (doc_id, text, lang, source, n_chars), but for the last,
-which returns the encoded documents.  SQL can express none of the stages, so ORACLE_SQL is None and
+which returns each document's token ids with its doc_id, lang and source.  SQL can express none of the stages, so ORACLE_SQL is None and
 tests/llm compares the stages with brute force.
 
 Defined results: an input without rows gives no rows; null texts have no letter and go in the first
@@ -71,10 +71,10 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of what is left, checked by decoding."""
+    """What is left as token ids (doc_id, lang, source, n_tokens, digests, ids), with the digest of their decoding."""
     import public_tokenizers
 
-    return bpe.encode_documents(_columns(docs), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.encode_documents(_columns(docs), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True, extra=("lang", "source"))
 
 
 STAGES = [

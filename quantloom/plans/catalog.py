@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import extended, markets, ranking, research
+from . import extended, markets, ranking, research, stored
 
 
 def queries() -> dict:
-    return {**research.Q, **markets.Q, **ranking.Q, **extended.Q}
+    return {**research.Q, **markets.Q, **ranking.Q, **extended.Q, **stored.Q}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**research.SQL, **markets.SQL, **ranking.SQL, **extended.SQL}
+    return {**research.SQL, **markets.SQL, **ranking.SQL, **extended.SQL, **stored.SQL}

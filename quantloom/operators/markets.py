@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import clip, div
 from .factors import by_symbol
+from .tiles import covariance_tiles
 
 #: Trading days a year.
 DAYS = 252.0
@@ -102,9 +103,7 @@ def aligned_returns(bars: DataFrame) -> DataFrame:
 
 def covariance(returns: DataFrame, shrink: float = 0.0) -> DataFrame:
     """(a, b, cov) of aligned returns; off-diagonal entries times 1 - shrink."""
-    x = returns.select("date", F.col("symbol").alias("a"), F.col("ret").alias("x"))
-    y = returns.select("date", F.col("symbol").alias("b"), F.col("ret").alias("y"))
-    c = x.join(y, "date").groupBy("a", "b").agg(F.covar_samp("x", "y").alias("cov"))
+    c = covariance_tiles(returns, "ret").select("a", "b", "cov")
     return c.withColumn("cov", F.when(F.col("a") == F.col("b"), F.col("cov")).otherwise(F.col("cov") * (1 - shrink)))
 
 

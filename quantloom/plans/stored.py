@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import r6
+from ..functions.columns import correlation, r6
+from ..operators.buckets import as_of_in_buckets, price_factors_in_buckets
+from ..operators.factors import PRICE, by_symbol
+from ..operators.tiles import covariance_tiles
+from ..operators.wide import wide_quantiles, wide_ranks
 from ..sources import panel
 from ..sources.matrices import MatrixCache
 from ..sources.panel import BARS
-from ..sources.tables import KeyedTable, fresh
-from .research import FACTORS, R
+from ..sources.tables import KeyedTable, fresh, kept
+from .research import ASOF, FACTORS, R
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -67,3 +71,64 @@ def store_upsert_runs(spark, d):
     table.upsert(second, "second")
     table.upsert(bars.select(*row(F.when(F.month("date") == 3, 3).otherwise(0), 0.5, 2)), "third")
     return table.read().select("symbol", "date", "revision", r6("close").alias("close"), "volume")
+
+
+NAMES = [f.name for f in PRICE]
+
+
+@query("factors_in_buckets", f"with {BARS}, {FACTORS} select symbol, date, {', '.join(f'{R(n)} as {n}' for n in NAMES)} from fac")
+def factors_in_buckets(spark, d):
+    """All price factors of all bars, a task a symbol and year instead of a symbol."""
+    out = price_factors_in_buckets(panel.clean(panel.bars(spark, d)), days=366)
+    return out.select("symbol", "date", *[r6(n).alias(n) for n in NAMES])
+
+
+@query("asof_in_buckets", f"with {ASOF} select symbol, date, report_date, fiscal_period_end, {R('pe_ratio')} as pe_ratio, {R('roe')} as roe from known")
+def asof_in_buckets(spark, d):
+    """The last statement known at each bar, carried from year to year."""
+    bars = panel.clean(panel.bars(spark, d)).select("symbol", "date")
+    out = as_of_in_buckets(bars, panel.fundamentals(spark, d), ["symbol"], "date", "report_date", ["fiscal_period_end"], days=366)
+    return out.select("symbol", "date", "report_date", "fiscal_period_end", r6("pe_ratio").alias("pe_ratio"), r6("roe").alias("roe"))
+
+
+@query("covariance_tiles", """with m as (
+  select l_suppkey as symbol, cast(date_trunc('month', l_shipdate) as date) as date, sum(l_extendedprice) / sum(l_quantity) as close from lineitem group by 1, 2
+), r as (
+  select symbol, date, close / lag(close) over (partition by symbol order by date) - 1 as ret from m
+), a as (select * from r where ret is not null)
+select cast(x.symbol as varchar) as a, cast(y.symbol as varchar) as b, count(*) as n, cast(round_even(covar_samp(x.ret, y.ret), 6) as double) as cov
+from a x join a y on x.date = y.date group by 1, 2""")
+def covariance_tiles_of_suppliers(spark, d):
+    """Covariances of the monthly returns of all suppliers, over the months that two of them share."""
+    bars = panel.clean(panel.bars(spark, d, "l_suppkey", "month"))
+    ret = F.col("close") / F.lag("close").over(by_symbol()) - 1
+    out = covariance_tiles(bars.withColumn("ret", ret).filter("ret is not null"), "ret")
+    return out.select("a", "b", "n", r6("cov").alias("cov"))
+
+
+SUPPLIERS = """sp as (
+  select cast(l_suppkey as varchar) as symbol, cast(date_trunc('month', l_shipdate) as date) as date, sum(l_extendedprice) / sum(l_quantity) as close from lineitem group by 1, 2
+), so as (
+  select symbol, date, close / lag(close, 3) over w - 1 as value, lead(close) over w / close - 1 as future_return from sp window w as (partition by symbol order by date)
+), obs as (select * from so where value is not null and future_return is not null)"""
+
+
+@query("rank_ic_wide", f"""with {SUPPLIERS}, rk as (
+  select date, rank() over (partition by date order by value) + (count(*) over (partition by date, value) - 1) / 2.0 as rv,
+         rank() over (partition by date order by future_return) + (count(*) over (partition by date, future_return) - 1) / 2.0 as rr from obs)
+select date, {R('covar_samp(rv, rr) / nullif(stddev_samp(rv) * stddev_samp(rr), 0)')} as rank_ic, count(*) as n from rk group by 1""")
+def rank_ic_wide(spark, d):
+    """Rank correlation of three-month momentum and the next return over all suppliers, a date in many tasks."""
+    bars = panel.clean(panel.bars(spark, d, "l_suppkey", "month"))
+    value, ahead = F.col("close") / F.lag("close", 3).over(by_symbol()) - 1, F.lead("close").over(by_symbol()) / F.col("close") - 1
+    obs = kept(bars.select("symbol", "date", value.alias("value"), ahead.alias("future_return")).filter("value is not null and future_return is not null"), "wide-obs")
+    ranked = wide_ranks(wide_ranks(obs, ["date"], "value", "rv"), ["date"], "future_return", "rr")
+    return ranked.groupBy("date").agg(r6(correlation("rv", "rr")).alias("rank_ic"), F.count("*").alias("n"))
+
+
+@query("quantiles_wide", f"select l_returnflag, l_linestatus, {', '.join(R(f'quantile_cont(l_extendedprice / l_quantity, {p})') + f' as q{k}' for k, p in enumerate((0.01, 0.05, 0.5, 0.95, 0.99)))} from lineitem group by 1, 2")
+def quantiles_wide(spark, d):
+    """Bounds of unit prices by flag and status: a few groups that hold all rows, none in one task."""
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").select("l_returnflag", "l_linestatus", (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
+    out = wide_quantiles(rows, ["l_returnflag", "l_linestatus"], "price", [0.01, 0.05, 0.5, 0.95, 0.99])
+    return out.select("l_returnflag", "l_linestatus", *[r6(f"q{k}").alias(f"q{k}") for k in range(5)])

@@ -133,3 +133,10 @@ class KeyedTable:
         done = self.manifest.commit(generation, {"buckets": self.buckets, "schema": schema, "paths": paths}, run)
         return {"written": len(touched), "generation": done, "repeated": False}
 
+
+
+def kept(rows: DataFrame, name: str) -> DataFrame:
+    """Rows written to the shared folder and read again: made once, whatever the number of uses."""
+    at = fresh(rows.sparkSession, name)
+    rows.write.parquet(at)
+    return rows.sparkSession.read.schema(rows.schema).parquet(at)

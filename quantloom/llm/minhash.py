@@ -246,9 +246,9 @@ def _with(pairs: DataFrame, side: str, table: DataFrame, column: str) -> DataFra
     return pairs.join(table.select(F.col("row").alias(side), F.col(column).alias(column + side)), side)
 
 
-def likely(pairs: DataFrame, reps: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
+def likely(pairs: DataFrame, own: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     """Pairs whose union sketch lets them be linked."""
-    both = _with(_with(pairs, "a", reps, "sketch"), "b", reps, "sketch")
+    both = _with(_with(pairs, "a", own, "sketch"), "b", own, "sketch")
     union = F.array_sort(F.array_union("sketcha", "sketchb"))
     both = both.withColumn("sample", F.slice(union, 1, k))
     # where the sample is smaller than k, both sets are whole in it; then the least count is that of the threshold
@@ -264,9 +264,9 @@ def verified(pairs: DataFrame, wholes: DataFrame, percent: int = PERCENT) -> Dat
     return both.filter(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def links(reps: DataFrame, wholes: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """(node, root) of every row that is linked with another; see the module's plan."""
-    spark = reps.sparkSession
+def links(own: DataFrame, wholes: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
+    """(node, root) of every row that is linked with another; see the module's plan.  ``own`` has the sketches by row."""
+    spark = own.sparkSession
     lists = written(inverted_lists(wholes, percent), "minhash-lists")
     found = spark.createDataFrame([], "u long, v long")
     roots = spark.createDataFrame([], "node long, root long")
@@ -280,7 +280,7 @@ def links(reps: DataFrame, wholes: DataFrame, k: int = K, percent: int = PERCENT
         if not pairs.head(1):
             continue
         tried = tried.union(pairs.select("a", "b"))
-        new = written(verified(likely(pairs, reps, k, percent), wholes, percent), "minhash-links")
+        new = written(verified(likely(pairs, own, k, percent), wholes, percent), "minhash-links")
         if new.head(1):
             found = found.union(new)
             roots = written(connected_components(found), "minhash-roots")
@@ -303,13 +303,13 @@ def _grouped(docs: DataFrame, width: int, k: int, percent: int) -> tuple[DataFra
     own = written(sketches(docs, width, k).withColumn("row", F.monotonically_increasing_id()), "minhash-own")
     full = own.filter("n > 0")
     named = written(full.groupBy("digest").agg(F.min("row").alias("row"), F.min("doc_id").alias("least")), "minhash-sets")
-    reps = written(full.join(named.select("row"), "row", "left_semi").select("row", "text_key", "n", "sketch"), "minhash-reps")
+    reps = full.join(named.select("row"), "row", "left_semi").select("row", "text_key", "n", "sketch")  # not kept a second time
     # whole sets of those that can meet others, from one of the texts that have the representative's key
     live = written(reps.select("row", "text_key").join(live_rows(reps, k, percent), "row", "left_semi"), "minhash-live")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     texts = docs.select(F.unhex(F.md5(text)).alias("text_key"), text.alias("text")).join(live, "text_key")
     wholes = written(whole_sets(texts.dropDuplicates(["row"]), width), "minhash-wholes")
-    roots = links(reps, wholes, k, percent)
+    roots = links(own, wholes, k, percent)
     rooted = named.join(roots, named.row == roots.node, "left").select("digest", "least", F.coalesce("root", "row").alias("root"))
     least = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "minhash-names")
     return own, written(rooted.join(least, "root").select("digest", "component_id"), "minhash-groups")

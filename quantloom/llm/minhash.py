@@ -132,15 +132,19 @@ def _by_rarity(sets: DataFrame, places, size, name: str) -> DataFrame:
     """(row, n, values) -> (row, n, score, own, alone): the values that others have too, rarest first, as far as ``places``.
 
     ``alone`` counts the values that no other row has: they are rarer, take the first places and need no list.
+    A value goes by one number that puts the rarer first: 5 bits for the power of two that the rows with it
+    reach, 58 bits of the hash.
     """
     values = sets.select("row", F.explode("values").alias("v"))
+    often = values.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
     # written, as other small sides below: Spark splits a hot value only where a join reads a table
-    often = written(values.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1"), name)
-    shared = values.join(often, "v").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("own"))
-    score = F.aggregate("own", F.lit(0).cast("long"), lambda total, x: total + x.df)
+    often = written(often.select("v", F.least(F.length(F.bin("df")) - 1, F.lit(31)).cast("long").alias("power")), name)
+    key = F.shiftleft("power", 58).bitwiseOR(F.shiftrightunsigned("v", 6))
+    shared = values.join(often, "v").groupBy("row").agg(F.sort_array(F.collect_list(key)).alias("own"))
+    score = F.aggregate("own", F.lit(0.0), lambda total, x: total + F.pow(F.lit(2.0), F.shiftrightunsigned(x, 58)))
     alone = (size - F.size("own")).cast("int")
     shared = shared.join(sets.select("row", "n", places.cast("int").alias("places"), size.alias("size")), "row").withColumn("size", size)
-    return shared.select("row", "n", score.alias("score"), F.slice("own.v", 1, F.greatest(F.col("places") - alone, F.lit(0))).alias("own"), alone.alias("alone")).filter(F.size("own") > 0)
+    return shared.select("row", "n", score.alias("score"), F.slice("own", 1, F.greatest(F.col("places") - alone, F.lit(0))).alias("own"), alone.alias("alone")).filter(F.size("own") > 0)
 
 
 def live_rows(reps: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:

@@ -6,8 +6,8 @@ adjacent tokens could not have come out of the merges; that test is memoised, an
 remembers dead ends, so each position is left for good after a bounded number of tries.
 
 Defined results: a null text is the empty text (no ids, the hash of nothing); row order, repeated
-rows and other columns do not matter; an empty table gives an empty result.  The memo of pieces is
-bounded and is emptied when full; that changes speed only.
+rows and other columns do not matter; an empty table gives an empty result.  The memos of pieces are
+bounded, and the older half goes when they are full; that changes speed only.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import documents, released
 
-MEMO = 150_000
+#: Pieces that a memo holds; there are two, the older one of which is dropped when the other is full.
+MEMO = 75_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -74,6 +75,7 @@ class Codec:
             self.shorter[r] = next((ranks[b[:k]] for k in range(len(b) - 1, 0, -1) if ranks.get(b[:k]) in usable), None)
         self.fits: dict[tuple[int, int], bool] = {}
         self.memo: dict[str, tuple[int, bytes, bytes]] = {}
+        self.older: dict[str, tuple[int, bytes, bytes]] = {}
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether the merges keep the border between two adjacent tokens; memoised."""
@@ -141,18 +143,20 @@ class Codec:
 
     def forget(self) -> None:
         """Empty the memos: a worker idles between tasks, and other stages need the memory."""
-        self.memo.clear()
+        self.memo, self.older = {}, {}
         self.fits.clear()
 
     def decode(self, ids) -> bytes:
         return b"".join([self.tokens[i] for i in ids])
 
     def _piece(self, piece: str) -> tuple[int, bytes, bytes]:
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        ids = self.encode_piece(piece.encode("utf-8"))
-        got = (len(ids), " ".join(map(str, ids)).encode(), self.decode(ids))
+        got = self.older.get(piece)
+        if got is None:
+            ids = self.encode_piece(piece.encode("utf-8"))
+            got = (len(ids), " ".join(map(str, ids)).encode(), self.decode(ids))
         if len(piece) < 100:
+            if len(self.memo) >= MEMO:  # what is used again comes back from the older one
+                self.memo, self.older = {}, self.memo
             self.memo[piece] = got
         return got
 

@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 from .common import documents, released
 
 #: Pieces that a memo holds; there are two, the older one of which is dropped when the other is full.
-MEMO = 75_000
+MEMO = 120_000
+#: Pairs of tokens whose compatibility is remembered.
+FITS = 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -81,7 +83,7 @@ class Codec:
         """Whether the merges keep the border between two adjacent tokens; memoised."""
         known = self.fits.get((left, right))
         if known is None:
-            if len(self.fits) > MEMO:
+            if len(self.fits) > FITS:
                 self.fits.clear()
             known = self.fits[(left, right)] = self._compatible(left, right)
         return known

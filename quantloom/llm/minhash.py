@@ -43,7 +43,7 @@ from __future__ import annotations
 import hashlib
 from functools import lru_cache
 from itertools import repeat
-from math import comb
+from math import comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -128,19 +128,27 @@ def whole_sets(texts: DataFrame, width: int = WIDTH) -> DataFrame:
     return texts.select("row", "text").mapInArrow(released(run), "row long, whole array<long>")
 
 
-def _by_rarity(sets: DataFrame, places, size, name: str) -> DataFrame:
+def _size_class(n, percent: int):
+    """Bit of a set's size, one of 64: sizes of linked sets are in the same class or in neighbouring ones."""
+    return F.pmod(F.floor(F.log(n.cast("double")) / (log(100 / percent) * 1.01)), F.lit(64)).cast("int")
+
+
+def _by_rarity(sets: DataFrame, places, size, percent: int, name: str) -> DataFrame:
     """(row, n, values) -> (row, n, score, own, alone): the values that others have too, rarest first, as far as ``places``.
 
-    ``alone`` counts the values that no other row has: they are rarer, take the first places and need no list.
-    A value goes by one number that puts the rarer first: 5 bits for the power of two that the rows with it
-    reach, 58 bits of the hash.
+    Others are those whose size is near enough: a value counts if a neighbouring class of sizes has it, or any
+    class twice.  ``alone`` counts the values that no such row has: they take the first places and need no
+    list.  A value goes by one number that puts the rarer first: 5 bits for the power of two that the rows
+    with it reach, 58 bits of the hash.
     """
-    values = sets.select("row", F.explode("values").alias("v"))
-    often = values.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
+    values = sets.select("row", _size_class(F.col("n"), percent).alias("class"), F.explode("values").alias("v"))
+    often = values.groupBy("v").agg(F.count("*").alias("df"), F.bit_or(F.expr("shiftleft(1L, class)")).alias("classes")).filter("df > 1")
     # written, as other small sides below: Spark splits a hot value only where a join reads a table
-    often = written(often.select("v", F.least(F.length(F.bin("df")) - 1, F.lit(31)).cast("long").alias("power")), name)
+    twice = F.col("df") > F.bit_count("classes")
+    often = written(often.select("v", F.least(F.length(F.bin("df")) - 1, F.lit(31)).cast("long").alias("power"), "classes", twice.alias("twice")), name)
+    near = F.expr("(classes & (shiftleft(1L, pmod(class + 1, 64)) | shiftleft(1L, pmod(class - 1, 64)))) <> 0")
     key = F.shiftleft("power", 58).bitwiseOR(F.shiftrightunsigned("v", 6))
-    shared = values.join(often, "v").groupBy("row").agg(F.sort_array(F.collect_list(key)).alias("own"))
+    shared = values.join(often, "v").filter(F.col("twice") | near).groupBy("row").agg(F.sort_array(F.collect_list(key)).alias("own"))
     score = F.aggregate("own", F.lit(0.0), lambda total, x: total + F.pow(F.lit(2.0), F.shiftrightunsigned(x, 58)))
     alone = (size - F.size("own")).cast("int")
     shared = shared.join(sets.select("row", "n", places.cast("int").alias("places"), size.alias("size")), "row").withColumn("size", size)
@@ -154,13 +162,13 @@ def live_rows(reps: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     # a partner may be larger by 100 / percent: only if it still fits a sketch are all shared values seen
     need = F.when(F.col("n") * 100 <= k * percent, need).otherwise(F.least(need, F.lit(least)))
     size = F.least(F.col("n"), F.lit(k))
-    return _by_rarity(reps.select("row", "n", F.col("sketch").alias("values")), size - need + 1, size, "minhash-often").select("row")
+    return _by_rarity(reps.select("row", "n", F.col("sketch").alias("values")), size - need + 1, size, percent, "minhash-often").select("row")
 
 
 def inverted_lists(wholes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(row, whole) -> (v, row, n, at, score): two linked rows meet in the list of their first common value, ``at`` its place."""
     sets = wholes.select("row", F.size("whole").cast("long").alias("n"), F.col("whole").alias("values"))
-    own = _by_rarity(sets, F.col("n") - F.ceil(F.col("n") * percent / 100) + 1, F.col("n"), "minhash-often-whole")
+    own = _by_rarity(sets, F.col("n") - F.ceil(F.col("n") * percent / 100) + 1, F.col("n"), percent, "minhash-often-whole")
     return own.select("row", "n", "score", "alone", F.posexplode("own").alias("k", "v")).select("v", "row", "n", (F.col("alone") + F.col("k")).cast("long").alias("at"), "score")
 
 

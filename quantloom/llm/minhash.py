@@ -140,7 +140,8 @@ def _by_rarity(sets: DataFrame, places, size, name: str) -> DataFrame:
     # written, as other small sides below: Spark splits a hot value only where a join reads a table
     often = written(often.select("v", F.least(F.length(F.bin("df")) - 1, F.lit(31)).cast("long").alias("power")), name)
     key = F.shiftleft("power", 58).bitwiseOR(F.shiftrightunsigned("v", 6))
-    shared = values.join(often, "v").groupBy("row").agg(F.sort_array(F.collect_list(key)).alias("own"))
+    # it grows with the corpus: merged, not broadcast, at every size
+    shared = values.join(often.hint("merge"), "v").groupBy("row").agg(F.sort_array(F.collect_list(key)).alias("own"))
     score = F.aggregate("own", F.lit(0.0), lambda total, x: total + F.pow(F.lit(2.0), F.shiftrightunsigned(x, 58)))
     alone = (size - F.size("own")).cast("int")
     shared = shared.join(sets.select("row", "n", places.cast("int").alias("places"), size.alias("size")), "row").withColumn("size", size)

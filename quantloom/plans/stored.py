@@ -9,9 +9,9 @@ from ..operators.buckets import as_of_in_buckets, price_factors_in_buckets
 from ..operators.factors import PRICE, by_symbol
 from ..operators.tiles import covariance_tiles
 from ..operators.wide import wide_quantiles, wide_ranks
-from ..sources import panel
+from ..sources import panel, statements
 from ..sources.matrices import MatrixCache
-from ..sources.panel import BARS
+from ..sources.panel import BARS, FUND
 from ..sources.tables import KeyedTable, fresh, kept
 from .research import ASOF, FACTORS, R
 
@@ -132,3 +132,15 @@ def quantiles_wide(spark, d):
     rows = spark.read.parquet(f"{d}/lineitem.parquet").select("l_returnflag", "l_linestatus", (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
     out = wide_quantiles(rows, ["l_returnflag", "l_linestatus"], "price", [0.01, 0.05, 0.5, 0.95, 0.99])
     return out.select("l_returnflag", "l_linestatus", *[r6(f"q{k}").alias(f"q{k}") for k in range(5)])
+
+
+METRICS = ["pe_ratio", "pb_ratio", "ev_to_ebitda", "roe", "roa", "gross_margin", "net_margin", "debt_to_equity", "current_ratio", "quick_ratio", "revenue_growth", "eps_growth"]
+
+
+@query("statements_csv", f"with {FUND} select symbol, fiscal_period_end, report_date, fiscal_year, fiscal_quarter, 'USD' as currency, {', '.join(f'{R(c)} as {c}' for c in METRICS)} from (select * replace (upper(symbol) as symbol) from fund)")
+def statements_csv(spark, d):
+    """Metrics written as CSV and imported again: keys typed and upper-cased, empty cells NULL."""
+    at = fresh(spark, "metrics-csv")
+    panel.fundamentals(spark, d).withColumn("currency", F.lit("usd")).select(*statements.COMMON, *METRICS).write.option("header", True).csv(at)
+    out = statements.read_csv(spark, at, "metrics")["fundamental_metrics"]
+    return out.select(*statements.COMMON, *[r6(c).alias(c) for c in METRICS])

@@ -124,6 +124,10 @@ def test_statement_import(spark, tmp_path):
         statements.read_csv(spark, write("few.csv", "symbol,revenue\nA,1\n"), "income")
     with pytest.raises(ValueError, match="unsupported"):
         statements.read_csv(spark, good, "nothing")
+    odd = write("odd.csv", head.replace("pe_ratio", "market_cap,pe_ratoi") + "A,2023-12-31,2024-02-01,2023,Q4,USD,metrics,,5,6\n")
+    with pytest.raises(ValueError, match="unknown columns: pe_ratoi"):
+        statements.read_csv(spark, odd)
+    assert statements.read_csv(spark, odd, ignore_unknown=True)["fundamental_metrics"].first().market_cap == 5.0
 
 
 def test_merge_keeps_the_later_report(spark):

@@ -1,8 +1,8 @@
 """Shared pieces of the training-data operators: scratch tables, text access, graph components.
 
 Everything that must outlive one job goes to the folder named by ``spark.checkpoint.dir``
-(shared by driver and executors).  Only where that setting is absent, as in unit tests on one
-machine, a temporary folder is made and set.
+(shared by driver and executors).  Only where that setting is absent and the session is local, as in
+unit tests, a temporary folder is made and set; on a cluster its absence is an error.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
         return at.rstrip("/")
     at = spark.sparkContext.getCheckpointDir()
     if not at:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quantloom-"))
         at = spark.sparkContext.getCheckpointDir()
     return at.rstrip("/")

@@ -7,17 +7,23 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import r6
 from ..operators import evaluate, gates
 from ..operators.asof import as_of_few
-from ..sources import strategies
-from ..sources.tables import fresh
+from ..operators.factors import REGISTRY, price_factors
+from ..operators.runs import Run
+from ..sources import panel, strategies
+from ..sources.dimension import SymbolDimension
+from ..sources.ordered import read_ordered, write_ordered
+from ..sources.panel import SECTORS
+from ..sources.tables import fresh, kept
 from .extended import DAILY, REG, all_obs
 from .markets import regimes
 from .ranking import RANKED
-from .research import BARS
+from .research import BARS, OBS, R, obs
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -36,13 +42,6 @@ NAMES = [*RANKED[:4], "unheard_of"]
 LIMITS = {"maximum_parameter_count": 9, "maximum_turnover": 1.17, "maximum_cost_drag": 0.041, "minimum_factor_history_count": 3, "minimum_icir": 0.1}
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """Written to the shared folder and read again: computed once, whatever reads it."""
-    at = fresh(df.sparkSession, name)
-    df.write.parquet(at)
-    return df.sparkSession.read.parquet(at)
-
-
 def strategy_files(spark, d) -> DataFrame:
     """(file, text): lines stand where they are in every file, so that SQL can name them."""
     names = ", ".join(f"'{n}'" for n in NAMES)
@@ -173,3 +172,81 @@ select strategy, ['PASS', 'SKIPPED', 'WARNING', 'FAIL', 'REJECTED'][worst + 1] a
 def strategy_status(spark, d):
     m = strategy_metrics(spark, d)
     return gates.overall(gates.gate_results(m, gates.findings(m, gates.rules(spark, LIMITS))))
+
+
+@query("validation_run", f"""with dl as ({DAILY}), e as (select factor_name as factor, avg(ic) as ic, avg(rank_ic) as rank_ic, count(ic) as n_dates from dl group by 1),
+y as (select factor_name as factor, year(signal_date) as yr, avg(rank_ic) as r from dl group by 1, 2), s as (select factor, avg(cast(round_even(r, 12) > 0 as double)) as positive, min(r) as worst from y group by 1)
+select factor, {R('ic')} as ic, {R('rank_ic')} as rank_ic, n_dates, {R('positive')} as positive_years, {R('worst')} as worst_year, case when factor = '{RANKED[2]}' then 2 else 1 end as attempts, cast(row_number() over (order by round_even(rank_ic, 6) desc, factor) as integer) as place from e join s using (factor)""")
+def validation_run(spark, d):
+    """Broken off twice, by a task that fails and by a caller who goes away, and taken up again: as if never broken."""
+    bars, root = kept(panel.clean(panel.bars(spark, d)).select("symbol", "date", "close"), "run-bars"), fresh(spark, "validation")
+
+    def daily(name, source=None):
+        values = price_factors(source or bars, [name])
+        return evaluate.daily_ic(evaluate.observations(values, name, [20], REGISTRY[name].sign))
+
+    def broken():
+        return daily(RANKED[2], spark.read.parquet(f"{root}/nothing-is-here"))
+
+    first = Run(spark, root)
+    first.work("daily", {n: (lambda n=n: daily(n)) for n in RANKED if n != RANKED[2]} | {RANKED[2]: broken}, workers=2)
+    run = Run(spark, root)  # whoever takes it up knows the folder alone
+    run.work("daily", {n: (lambda n=n: daily(n)) for n in RANKED}, workers=2)
+
+    def yearly(name):
+        y = run.results("daily").filter(F.col("task") == name).groupBy(F.year("signal_date").alias("yr")).agg(F.avg("rank_ic").alias("r"))
+        return y.agg(F.avg((F.bround("r", 12) > 0).cast("double")).alias("positive"), F.min("r").alias("worst"))
+
+    run.work("years", {n: (lambda n=n: yearly(n)) for n in RANKED[:3]}, workers=2)
+    run = Run(spark, root)
+    run.work("years", {n: (lambda n=n: yearly(n)) for n in RANKED}, workers=2)
+    e = run.results("daily").groupBy(F.col("task").alias("factor")).agg(F.avg("ic").alias("ic"), F.avg("rank_ic").alias("rank_ic"), F.count("ic").alias("n_dates"))
+    y = run.results("years").select(F.col("task").alias("factor"), r6("positive").alias("positive_years"), r6("worst").alias("worst_year"))
+    tries = run.state().filter("phase = 'daily'").select(F.col("task").alias("factor"), "attempts")
+    place = F.row_number().over(Window.orderBy(F.desc(F.bround("rank_ic", 6)), "factor"))  # a row a factor
+    return e.join(y, "factor").join(tries, "factor").select("factor", r6("ic").alias("ic"), r6("rank_ic").alias("rank_ic"), "n_dates", "positive_years", "worst_year", "attempts", place.alias("place"))
+
+
+@query("matrix_ordered", f"with {OBS('momentum_20d', [5, 20, 60])} select row_number() over (order by signal_date, symbol, horizon) - 1 as position, signal_date, symbol, horizon, {R('value')} as value, {R('future_return')} as future_return from obs")
+def matrix_ordered(spark, d):
+    """Observations written by date, symbol and horizon in files of one order, and read again with their places."""
+    at = fresh(spark, "ordered")
+    write_ordered(obs(spark, d, "momentum_20d", [5, 20, 60]), ["signal_date", "symbol", "horizon"], at, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return read_ordered(spark, at).select("position", "signal_date", "symbol", "horizon", r6("value").alias("value"), r6("future_return").alias("future_return"))
+
+
+MOVED = "symbol in ('Brand#11', 'Brand#23', 'Brand#34', 'Brand#42', 'Brand#55')"
+DIM = f"""v as (select upper(symbol) as symbol, date '1992-01-01' as valid_from, sector from sectors union all select upper(symbol), date '1996-01-01', 'MOVED' from sectors where {MOVED}),
+w as (select *, lead(valid_from) over (partition by symbol order by valid_from) - 1 as valid_to from v)"""
+
+
+def dimension(spark, d) -> SymbolDimension:
+    """Sectors from 1992 on; in 1996 some symbols change theirs, and the others are told anew without a change."""
+    dim, s = SymbolDimension(spark, fresh(spark, "dimension"), ["sector", "asset_type"], buckets=8), panel.sectors(spark, d)
+    kind = F.when(F.expr(MOVED), "FUND").otherwise("STOCK").alias("asset_type")
+    dim.upsert(s.select("symbol", F.lit("1992-01-01").alias("valid_from"), "sector", kind), "first")
+    later = s.select("symbol", F.lit("1996-01-01").alias("valid_from"), F.when(F.expr(MOVED), "MOVED").otherwise(F.col("sector")).alias("sector"), kind)
+    dim.upsert(later, "second")
+    dim.upsert(later, "second")
+    return dim
+
+
+@query("symbol_versions", f"with {SECTORS}, {DIM} select symbol, valid_from, cast(valid_to as date) as valid_to, sector from w")
+def symbol_versions(spark, d):
+    return dimension(spark, d).versions().select("symbol", "valid_from", "valid_to", "sector")
+
+
+@query("symbols_by_sector", f"with {SECTORS}, {DIM}, a as (select date '1995-12-31' as day union all select date '1996-01-01') select day, symbol, sector from a join w on valid_from <= day and (valid_to is null or valid_to >= day) where sector = 'MOVED' or sector = 'PROMO'")
+def symbols_by_sector(spark, d):
+    """Two sectors on the days before and after the change."""
+    dim = dimension(spark, d)
+    of = lambda day, sector: dim.by("sector", sector, day).select(F.lit(day).cast("date").alias("day"), "symbol", "sector")
+    return reduce(DataFrame.unionByName, [of(day, sector) for day in ("1995-12-31", "1996-01-01") for sector in ("moved", "Promo")])
+
+
+@query("sector_closes_as_of", f"""with {BARS}, {SECTORS}, {DIM} select w.sector as sector, cast(year(b.date) as integer) as yr, count(*) as n, {R('avg(b.close)')} as close
+from bars b join w on upper(b.symbol) = w.symbol and b.date >= w.valid_from and (w.valid_to is null or b.date <= w.valid_to) group by 1, 2""")
+def sector_closes_as_of(spark, d):
+    """Mean close by the sector that a symbol had at the time."""
+    rows = dimension(spark, d).attach(panel.bars(spark, d).select("symbol", "date", "close"))
+    return rows.groupBy("sector", F.year("date").alias("yr")).agg(F.count("*").alias("n"), r6(F.avg("close")).alias("close"))

@@ -20,7 +20,9 @@ from ..sources.dimension import SymbolDimension
 from ..sources.ordered import read_ordered, write_ordered
 from ..sources.panel import SECTORS
 from ..sources.tables import fresh, kept
+from ..streaming.restatements import merge_stream, restated
 from .extended import DAILY, REG, all_obs
+from .extended import SQL as EXTENDED
 from .markets import regimes
 from .ranking import RANKED
 from .research import BARS, OBS, R, obs
@@ -250,3 +252,19 @@ def sector_closes_as_of(spark, d):
     """Mean close by the sector that a symbol had at the time."""
     rows = dimension(spark, d).attach(panel.bars(spark, d).select("symbol", "date", "close"))
     return rows.groupBy("sector", F.year("date").alias("yr")).agg(F.count("*").alias("n"), r6(F.avg("close")).alias("close"))
+
+
+@query("restated_stream", EXTENDED["fundamental_merge"])
+def restated_stream(spark, d):
+    """The table of ``fundamental_merge`` from a stream in which restatements come before what they restate, and once more from the start."""
+    f = panel.fundamentals(spark, d).select("symbol", "fiscal_period_end", "fiscal_quarter", "report_date", "revenue", "fiscal_year")
+    new = f.filter("fiscal_year >= 1996").withColumn("report_date", F.date_add("report_date", F.when(F.col("fiscal_quarter") == "Q1", -10).otherwise(10))).withColumn("revenue", -F.col("revenue"))
+    at, keys = fresh(spark, "statements"), ["symbol", "fiscal_period_end", "fiscal_quarter"]
+    for side, arrived in ((new, 2), (f.filter("fiscal_year < 1997"), 1)):
+        side.drop("fiscal_year").withColumn("arrived", F.lit(arrived)).repartition(2, "symbol").write.mode("append").parquet(f"{at}/in")
+    table = restated(spark, f"{at}/table", 8, keys)
+    schema = spark.read.parquet(f"{at}/in").schema
+    for checkpoint in ("checkpoint", "lost-and-begun-anew"):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/in")
+        merge_stream(stream, table, f"{at}/{checkpoint}").awaitTermination()
+    return table.read().select("symbol", "fiscal_period_end", "fiscal_quarter", "report_date", r6("revenue").alias("revenue"))

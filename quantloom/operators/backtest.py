@@ -35,6 +35,26 @@ def turnover(assigned: DataFrame, q: int, by: list[str] = ()) -> DataFrame:
     return dates.join(change, [*by, "k"], "left").select(*by, "signal_date", F.when(F.col("k") > 1, F.coalesce("turnover", F.lit(0.0))).alias("turnover"))
 
 
+def legs(assigned: DataFrame, q: int, by: list[str] = ()) -> DataFrame:
+    """A row a signal date with all a report holds of the period: symbols and weights of both legs, exposures,
+    the mean return of each quantile, leg returns and turnover.
+
+    Weights are even, negative in the short leg.  Lists and maps are as long as the legs, by what a report is;
+    where those are not wanted, ``periods`` carries counts alone.  An empty quantile has a NULL mean.
+    """
+    side = lambda k: F.array_sort(F.collect_list(F.when(F.col("quantile") == k, F.col("symbol"))))
+    means = F.map_from_arrays(F.array(*[F.lit(f"q{k}") for k in range(1, q + 1)]), F.array(*[F.avg(F.when(F.col("quantile") == k, F.col("future_return"))) for k in range(1, q + 1)]))
+    d = assigned.groupBy(*by, "signal_date").agg(F.max("future_date").alias("future_date"), side(q).alias("long_symbols"), side(1).alias("short_symbols"), means.alias("quantile_returns"))
+    even = lambda c, sign: F.map_from_arrays(c, F.transform(c, lambda _: F.lit(float(sign)) / F.size(c)))
+    d = d.withColumn("long_weights", even("long_symbols", 1)).withColumn("short_weights", even("short_symbols", -1))
+    total = lambda c: F.aggregate(F.map_values(c), F.lit(0.0), lambda a, w: a + w)
+    d = d.withColumn("long_weight_sum", total("long_weights")).withColumn("short_weight_sum", total("short_weights"))
+    d = d.withColumn("net_exposure", F.col("long_weight_sum") + F.col("short_weight_sum")).withColumn("gross_exposure", F.col("long_weight_sum") - F.col("short_weight_sum"))
+    d = d.withColumn("long_return", F.col("quantile_returns")[f"q{q}"]).withColumn("short_return", F.col("quantile_returns")["q1"])
+    d = d.withColumn("long_short_return", F.col("long_return") - F.col("short_return"))
+    return d.join(turnover(assigned, q, by), [*by, "signal_date"])
+
+
 def summary(per: DataFrame, horizon: int, by: list[str] = ()) -> DataFrame:
     """Of complete periods: mean, median, sum, hit rate, volatility, Sharpe-like, additive drawdown."""
     d = per.filter("long_short_return is not null")

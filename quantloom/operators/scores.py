@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import div
@@ -59,15 +59,41 @@ def grade(score: Column, coverage: Column) -> Column:
     )
 
 
-def warnings(n: Column, total: Column, sharpe: Column, drawdown: Column, turnover: Column, top: Column, long_side: Column, short_side: Column, cost_drag: Column | None = None, excess: Column | None = None) -> Column:
-    """Array of the codes that hold; a NULL metric warns of nothing."""
+def fold_sharpe(returns: DataFrame, folds: DataFrame, by: list[str]) -> DataFrame:
+    """(date, ret) keyed by ``by`` over test windows -> mean Sharpe ratio of the folds that have one, and how many have."""
+    std = F.stddev_samp("ret")
+    d = returns.filter("ret is not null").join(folds.select("fold", "test_start", "test_end"), F.col("date").between(F.col("test_start"), F.col("test_end")))
+    each = d.groupBy(*by, "fold").agg(F.when(std > 0, F.avg("ret") / std * F.sqrt(F.lit(252.0))).alias("sharpe"))
+    return each.groupBy(*by).agg(F.avg("sharpe").alias("walk_forward_sharpe"), F.count("sharpe").alias("n_folds"))
+
+
+def ranked_factors(metrics: DataFrame, folds: DataFrame) -> DataFrame:
+    """Metrics a factor and its folds -> score, grade, what blocks it, and its place.
+
+    A factor without folds is scored by the rest.  Equal scores stand in falling order of names, unscored ones last.
+    """
+    c = F.col
+    d = metrics.join(folds, "factor_name", "left").withColumn("confidence", confidence(c("coverage"), c("consistency"), c("n_dates")))
+    signed = [c(n) for n in ("ic", "rank_ic", "icir", "sharpe", "walk_forward_sharpe", "confidence")]
+    d = d.withColumn("rank_score", rank_score(signed, c("coverage"), c("fall")))
+    place = F.row_number().over(Window.partitionBy().orderBy(F.desc_nulls_last(F.bround("rank_score", 9)), F.desc("factor_name")))  # a row a factor
+    blocking = F.when(c("coverage") < LEAST_COVERAGE, "LOW_FACTOR_COVERAGE").otherwise("")
+    return d.select("factor_name", "ic", "rank_ic", "icir", "coverage", "cumulative", "sharpe", "fall", "walk_forward_sharpe", "confidence", "rank_score", F.coalesce("n_folds", F.lit(0)).alias("n_folds"), grade(c("rank_score"), c("coverage")).alias("grade"), blocking.alias("blocking"), place.alias("place"))
+
+
+def warnings(n: Column, total: Column, sharpe: Column, drawdown: Column, turnover: Column, top: Column | None, long_side: Column, short_side: Column, cost_drag: Column | None = None, excess: Column | None = None, top_share: Column | None = None) -> Column:
+    """Array of the codes that hold; a NULL metric warns of nothing.
+
+    ``top`` is the best symbol's contribution, held against the total; ``top_share`` its share where that is known.
+    """
     none = F.lit(None).cast("double")
     cost_drag, excess = none if cost_drag is None else cost_drag, none if excess is None else excess
+    top_share = div(top, F.abs(total)) if top_share is None else top_share
     ratio = F.abs(F.try_divide(long_side, short_side))
     codes = [
         (n < FEW_RETURNS, "LOW_OBSERVATION_COUNT"), (turnover > MUCH_TURNOVER, "HIGH_TURNOVER"), (F.abs(cost_drag) > MUCH_COST, "HIGH_COST_DRAG"),
         ((total < 0) & (sharpe > 0), "NEGATIVE_COMPOUND_POSITIVE_SHARPE"), (drawdown < DEEP_FALL, "LARGE_DRAWDOWN"),
-        (drawdown <= -1, "CAPITAL_WIPEOUT_OR_MARGIN_LOSS"), (excess < 0, "BENCHMARK_UNDERPERFORMANCE"), (div(top, F.abs(total)) > ONE_SYMBOL, "SYMBOL_CONCENTRATION"),
+        (drawdown <= -1, "CAPITAL_WIPEOUT_OR_MARGIN_LOSS"), (excess < 0, "BENCHMARK_UNDERPERFORMANCE"), (top_share > ONE_SYMBOL, "SYMBOL_CONCENTRATION"),
         ((ratio > LEG_RATIO[1]) | (ratio < LEG_RATIO[0]), "LONG_SHORT_IMBALANCE"),
     ]
     return F.array_compact(F.array(*[F.when(holds, code) for holds, code in codes]))

@@ -6,6 +6,7 @@ row.  All are higher-is-better except volatility_20d.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -39,6 +40,30 @@ FUNDAMENTAL = [Factor(n, f, 20) for n, f in [
     ("debt_to_equity_factor", "health"), ("current_ratio_factor", "health"), ("quick_ratio_factor", "health"), ("fundamental_health_score", "health"), ("fundamental_composite_score", "composite"),
 ]]
 REGISTRY = {f.name: f for f in PRICE + FUNDAMENTAL}
+_added: dict[str, Callable[[], Column]] = {}
+
+
+def register(factor: Factor, build: Callable[[], Column], replace: bool = False) -> None:
+    """Make a price factor of one's own known to every step that takes a factor by name.
+
+    ``build`` gives a column over the columns of the bars and ``ret``, the return since the row before; windows
+    are ``by_symbol()``, which all factors share.  A name of the library's own is refused; one added before, unless ``replace``.
+    """
+    name = factor.name.strip()
+    if name != factor.name.lower() or not name.isidentifier():
+        raise ValueError(f"{factor.name!r} is no lower-case name")
+    if factor.sign not in (1, -1) or factor.lookback < 0:
+        raise ValueError(f"{name}: sign is 1 or -1, lookback not below 0")
+    if name in REGISTRY and not (replace and name in _added):
+        raise ValueError(f"factor {name} is known already")
+    REGISTRY[name], _added[name] = factor, build
+
+
+def unregister(name: str) -> None:
+    """Forget an added factor; the library's own stay."""
+    if name not in _added:
+        raise ValueError(f"{name} is no added factor")
+    del _added[name], REGISTRY[name]
 
 
 def lag_return(n: int) -> Column:
@@ -46,7 +71,7 @@ def lag_return(n: int) -> Column:
 
 
 def price_factors(bars: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """bars (symbol, date, close > 0) -> with one column a factor; all windows share one shuffle."""
+    """bars (symbol, date, close > 0) -> with one column a factor, added ones too; all windows share one shuffle."""
     names = names or [f.name for f in PRICE]
     d = bars.withColumn("ret", lag_return(1))
     vol20 = full_frame(F.stddev_samp("ret"), "ret", 20, by_symbol())
@@ -71,6 +96,7 @@ def price_factors(bars: DataFrame, names: list[str] | None = None) -> DataFrame:
         "growth_price_proxy": lambda: F.when(have60, 0.35 * m20 + 0.45 * m60 + 0.20 * up),
         "quality_price_proxy": lambda: F.when(have60 & (std60 > 0), div(mean60, std60) + F.avg("pos").over(frame60) + fall),
         "value_price_proxy": lambda: F.when(std60 > 0, div(-lag_return(120), std60)),
+        **_added,
     }
     return d.select("symbol", "date", "close", *[build[n]().alias(n) for n in names])
 

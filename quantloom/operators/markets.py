@@ -107,6 +107,27 @@ def covariance(returns: DataFrame, shrink: float = 0.0) -> DataFrame:
     return c.withColumn("cov", F.when(F.col("a") == F.col("b"), F.col("cov")).otherwise(F.col("cov") * (1 - shrink)))
 
 
+def recent_covariance(bars: DataFrame, end: str, lookback: int = 252, shrink: float = 0.4) -> DataFrame:
+    """(a, b, cov) of each symbol's last ``lookback`` returns up to ``end``, over the dates that all of them have.
+
+    Bars of three times as many calendar days are looked at; a symbol with fewer than a third of ``lookback``
+    rows or returns is left out.  Alignment by all dates, with gaps dropped, gives the same rows and so needs no
+    second path.  Without a date in common, or with one alone, there is no covariance.
+    """
+    least = lookback // 3
+    last = F.lit(end).cast("date")
+    d = bars.filter(F.col("close").isNotNull() & F.col("date").between(F.date_sub(last, 3 * lookback), last)).select("symbol", "date", "close")
+    own = Window.partitionBy("symbol")
+    d = d.withColumn("n", F.count("*").over(own)).filter(F.col("n") >= least)
+    d = d.withColumn("ret", div(F.col("close"), F.lag("close", 1).over(by_symbol())) - 1).filter("ret is not null")
+    d = d.withColumn("k", F.row_number().over(own.orderBy(F.desc("date")))).filter(F.col("k") <= lookback)
+    d = d.withColumn("n", F.count("*").over(own)).filter(F.col("n") >= least).select("symbol", "date", "ret")
+    every = d.select(F.count_distinct("symbol").alias("n_all"))  # a single row
+    here = F.count("*").over(Window.partitionBy("date"))
+    d = d.withColumn("here", here).join(F.broadcast(every), F.lit(True)).filter("here = n_all").select("symbol", "date", "ret")
+    return covariance(d, shrink)
+
+
 def inverse_volatility(returns: DataFrame, cash: float = 0.0) -> DataFrame:
     v = returns.groupBy("symbol").agg(F.stddev_samp("ret").alias("vol"))
     v = v.withColumn("inv", F.when(F.col("vol") > 0, 1 / F.col("vol")).otherwise(1.0))

@@ -73,7 +73,7 @@ def alpha_rows(bars: DataFrame, short: int = 20, long: int = 60) -> DataFrame:
 
 def next_date(bars: DataFrame, selected: DataFrame, as_of: str) -> DataFrame:
     """The first date after ``as_of`` by which all selected symbols trade again: a single row."""
-    d = bars.filter(F.col("date") > F.lit(as_of).cast("date")).join(F.broadcast(selected.select("symbol")), "symbol", "left_semi")
+    d = bars.filter(F.col("date") > F.lit(as_of).cast("date")).join(selected.select("symbol"), "symbol", "left_semi")
     return d.groupBy("symbol").agg(F.min("date").alias("first")).agg(F.max("first").alias("execution_date"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import alpha, backtest, evaluation, multifactor, scores, series
+from ..operators import alpha, backtest, evaluation, markets, multifactor, scores, series
 from ..operators.factors import REGISTRY
 from ..sources import panel, reports
 from ..sources.panel import BARS
@@ -219,3 +219,24 @@ def alpha_modes(spark, d):
     plain = factor_frame(spark, d, ["momentum_20d"]).select("date", "symbol", F.bround("momentum_20d", 9).alias("momentum_20d"))
     values = plain.join(multi, ["date", "symbol"], "left").join(mixed, ["date", "symbol"], "left")
     return alpha.targets(alpha.scored(values, MODES), 5, 0.3, 0.05).select("run", "date", "symbol", "ranking_factor", "rank", "weight")
+
+
+# histories ---------------------------------------------------------------------------------------
+
+
+@query("history_normalised", f"""with {BARS}, t as (select symbol, date, case when volume % 7 = 0 then 'n/a' when volume % 7 = 1 then null when volume % 7 = 2 then '-1.5' when volume % 7 = 3 then ' 0 ' else cast(volume as varchar) end as close from bars)
+select symbol, count(*) as n, count(*) filter (c <= 0) as n_not_above_zero, sum(c) as total from (select symbol, try_cast(trim(close) as double) as c from t) where c is not null group by 1""")
+def history_normalised(spark, d):
+    """Closes that come as text: what is no number goes, zero and less stay."""
+    rest = F.col("volume") % 7
+    text = F.when(rest == 0, "n/a").when(rest == 1, None).when(rest == 2, "-1.5").when(rest == 3, " 0 ").otherwise(F.col("volume").cast("string"))
+    h = panel.numeric_history(panel.bars(spark, d).select("symbol", "date", text.alias("close")))
+    return h.groupBy("symbol").agg(F.count("*").alias("n"), F.count_if(F.col("close") <= 0).alias("n_not_above_zero"), F.sum("close").alias("total"))
+
+
+@query("covariance_recent", f"""with {BARS}, h as (select symbol, date, close, count(*) over (partition by symbol) as n from bars where date between date '2000-12-31' - 756 and date '2000-12-31'), r as (select symbol, date, close / lag(close) over (partition by symbol order by date) - 1 as ret from h where n >= 84),
+t as (select *, count(*) over (partition by symbol) as n from (select * from r where ret is not null qualify row_number() over (partition by symbol order by date desc) <= 252)), u as (select * from t where n >= 84),
+al as (select * from u qualify count(*) over (partition by date) = (select count(distinct symbol) from u))
+select x.symbol as a, y.symbol as b, {R('covar_samp(x.ret, y.ret) * case when x.symbol = y.symbol then 1 else 0.6 end')} as cov from al x join al y using (date) group by 1, 2""")
+def covariance_recent(spark, d):
+    return _rounded(markets.recent_covariance(panel.bars(spark, d), "2000-12-31"), "a", "b")

@@ -84,9 +84,9 @@ def next_execution_date(spark, d):
     return universe.next_date(panel.bars(spark, d), chosen, "1996-03-01")
 
 
-@query("scope_symbols", f"with {BARS} select symbol, count(close) as n from bars where date < date '1996-12-01' group by 1 having count(close) >= 98")
+@query("scope_symbols", f"with {BARS} select symbol, count(close) as n from bars group by 1 having count(close) >= 98")
 def scope_symbols(spark, d):
-    return universe.enough_history(panel.bars(spark, d).filter("date < date'1996-12-01'"), 98)
+    return universe.enough_history(panel.bars(spark, d), 98)
 
 
 @query("universe_hash", f"with {BARS} select substr(sha256(string_agg(symbol, '|' order by symbol)), 1, 16) as universe_hash from (select distinct upper(symbol) as symbol from bars)")
@@ -257,18 +257,18 @@ q as (select symbol, date, least(greatest(v, quantile_cont(v, 0.05) over (partit
 z as (select *, coalesce((w - avg(w) over (partition by date)) / nullif(stddev_samp(w) over (partition by date), 0), 0.0) as z from q),
 nt as (select z.*, round_even(z - avg(z) over (partition by date, coalesce(sector, 'Unknown')), 12) as neutral from z left join sectors using (symbol)),
 n2 as (select symbol, date, {AVG_RANK.format(k='date', v='neutral')} as r, count(*) over (partition by date) as n, w from nt)
-select symbol, date, {R('case when n <= 1 then 0.0 else 0.0 - (r / n - 0.5) * 2 end')} as score from n2 where date >= date '1995-01-01'""")
+select symbol, date, {R('case when n <= 1 then 0.0 else 0.0 - (r / n - 0.5) * 2 end')} as score from n2""")
 def pipeline_scores(spark, d):
-    f = factor_frame(spark, d, ["volatility_20d"]).join(F.broadcast(panel.sectors(spark, d)), "symbol", "left")
+    f = factor_frame(spark, d, ["volatility_20d"]).join(panel.sectors(spark, d), "symbol", "left")
     p = crosssection.pipeline(f, "volatility_20d", sign=-1, fill=0.0)
-    return _rounded(p.filter("date >= date'1995-01-01'").select("symbol", "date", "score"), "symbol", "date")
+    return _rounded(p.select("symbol", "date", "score"), "symbol", "date")
 
 
 @query("pipeline_summary", f"""with {BARS}, {FACTORS}, q as (select date, momentum_20d as v, case when momentum_20d is not null then least(greatest(momentum_20d, quantile_cont(momentum_20d, 0.05) over (partition by date)), quantile_cont(momentum_20d, 0.95) over (partition by date)) end as w from fac)
 select date, count(v) as before_count, count(*) - count(v) as before_missing, {', '.join(f"{R(f'{f}(v)')} as before_{n}" for n, f in (('mean', 'avg'), ('std', 'stddev_samp'), ('min', 'min'), ('max', 'max')))},
  count(w) as after_count, cast(0 as bigint) as after_missing, {', '.join(f"{R(f'{f}(w)')} as after_{n}" for n, f in (('mean', 'avg'), ('std', 'stddev_samp'), ('min', 'min'), ('max', 'max')))} from q group by date""")
 def pipeline_summary(spark, d):
-    f = factor_frame(spark, d, ["momentum_20d"]).join(F.broadcast(panel.sectors(spark, d)), "symbol", "left")
+    f = factor_frame(spark, d, ["momentum_20d"]).join(panel.sectors(spark, d), "symbol", "left")
     before = f.groupBy("date").agg(*crosssection.summary_columns("momentum_20d", "before"))
     after = crosssection.pipeline(f, "momentum_20d").groupBy("date").agg(*crosssection.summary_columns("winsorized", "after"))
     return _rounded(before.join(after, "date", "left").na.fill(0, ["after_count", "after_missing"]), "date")
@@ -364,7 +364,7 @@ def stability_universe(spark, d):
 
 def sized_summary(spark, d) -> DataFrame:
     u = bars(spark, d).select("symbol").distinct().withColumn("ord", F.row_number().over(Window.orderBy("symbol")))  # a row a symbol
-    o = obs(spark, d, "momentum_20d", [20]).join(F.broadcast(u), "symbol").select("*", F.explode(F.filter(F.array(*map(F.lit, SIZES)), lambda s: s >= F.col("ord"))).alias("size"))
+    o = obs(spark, d, "momentum_20d", [20]).join(u, "symbol").select("*", F.explode(F.filter(F.array(*map(F.lit, SIZES)), lambda s: s >= F.col("ord"))).alias("size"))
     return backtest.summary(backtest.periods(backtest.assign_quantiles(o, 5, ["size"]), 5, ["size"]), 20, ["size"])
 
 
@@ -523,10 +523,10 @@ def regime_upsert(spark, d):
     return panel.upsert(r, r.filter("date >= date'1997-01-01'").withColumn("regime", F.lit("REVISED")), ["date"])
 
 
-@query("regime_warnings", f"""with {BENCH}, {FEAT}, n as (select regime, count(*) as n from reg where date < date '1996-06-01' group by 1), w as (select *, case when regime <> 'UNKNOWN' and n < 30 then 'WARN_LOW_REGIME_SAMPLE' when regime = 'UNKNOWN' and n * 1.0 / sum(n) over () > 0.2 then 'WARN_HIGH_UNKNOWN_REGIME_RATIO' end as code from n)
+@query("regime_warnings", f"""with {BENCH}, {FEAT}, n as (select regime, count(*) as n from reg group by 1), w as (select *, case when regime <> 'UNKNOWN' and n < 30 then 'WARN_LOW_REGIME_SAMPLE' when regime = 'UNKNOWN' and n * 1.0 / sum(n) over () > 0.2 then 'WARN_HIGH_UNKNOWN_REGIME_RATIO' end as code from n)
 select code, regime, n from w where code is not null""")
 def regime_warnings(spark, d):
-    n = regimes(spark, d).filter("date < date'1996-06-01'").groupBy("regime").agg(F.count("*").alias("n"))
+    n = regimes(spark, d).groupBy("regime").agg(F.count("*").alias("n"))
     return store.regime_warnings(n)
 
 
@@ -572,11 +572,11 @@ def strategy_rolling_20(spark, d):
     return _rounded(series.rolling(spread_series(spark, d), 20, True), "date")
 
 
-@query("strategy_calendar", f"""{SER}, thin as (select * from ser where month(date) <> 5), k as (select cast(unnest(generate_series(date_trunc('month', (select min(date) from thin)), date_trunc('month', (select max(date) from thin)), interval 1 month)) as date) as period),
-r as (select cast(date_trunc('month', date) as date) as period, product(1 + ret) - 1 as ret from thin group by 1), y as (select cast(date_trunc('year', date) as date) as period, product(1 + ret) - 1 as ret from thin group by 1)
+@query("strategy_calendar", f"""{SER}, k as (select cast(unnest(generate_series(date_trunc('month', (select min(date) from ser)), date_trunc('month', (select max(date) from ser)), interval 1 month)) as date) as period),
+r as (select cast(date_trunc('month', date) as date) as period, product(1 + ret) - 1 as ret from ser group by 1), y as (select cast(date_trunc('year', date) as date) as period, product(1 + ret) - 1 as ret from ser group by 1)
 select 'month' as unit, period, {R('coalesce(ret, 0)')} as ret from k left join r using (period) union all select 'year', period, {R('ret')} from y""")
 def strategy_calendar(spark, d):
-    r = spread_series(spark, d).filter("month(date) <> 5")
+    r = spread_series(spark, d)
     return _rounded(reduce(DataFrame.union, [series.calendar(r, u).select(F.lit(u).alias("unit"), "period", "ret") for u in ("month", "year")]), "unit", "period")
 
 
@@ -611,14 +611,14 @@ def strategy_costs(spark, d):
 
 # accounts ----------------------------------------------------------------------------------------
 
-HELD = "pos as (select symbol, cast(count(*) % 7 + 3 as double) as qty from bars where symbol < 'Brand#24' group by 1)"
+HELD = "pos as (select symbol, cast(count(*) % 7 as double) as qty from bars group by 1 having count(*) % 7 > 0)"
 TARGET = {"Brand#11": 0.30, "Brand#22": 0.25, "Brand#55": 0.35, "cash": 0.10}
 PLAN = f"""with {BARS}, {HELD}, px as (select symbol, coalesce(arg_max(close, date) filter (date <= date '{DAY}'), arg_max(close, date)) as price from bars group by 1),
 tg(symbol, target_weight) as (values {', '.join(f"('{s}', {w!r})" for s, w in TARGET.items() if s != 'cash')}), al as (select symbol, qty, price, qty * price as current_value from pos join px using (symbol)), tot as (select sum(current_value) + 5000.0 as total from al)"""
 
 
 def positions(spark, d):
-    return panel.bars(spark, d).filter("symbol < 'Brand#24'").groupBy("symbol").agg((F.count("*") % 7 + 3).cast("double").alias("qty"))
+    return panel.bars(spark, d).groupBy("symbol").agg((F.count("*") % 7).cast("double").alias("qty")).filter("qty > 0")
 
 
 @query("allocation_snapshot", f"{PLAN} select symbol, qty, {R('price')} as price, {R('current_value')} as current_value, {R('current_value / total')} as current_weight from al, tot union all select 'cash', 0.0, null, 5000.0, {R('5000.0 / total')} from tot")
@@ -733,7 +733,7 @@ select universe, with_data, cast(history as double) as history, sectors, ready,
 def data_readiness(spark, d):
     b = panel.bars(spark, d)
     u = b.select("symbol").distinct().union(spark.createDataFrame([("NOWHERE",)], "symbol string"))
-    n = u.join(b.groupBy("symbol").agg(F.count("*").alias("n")), "symbol", "left").join(F.broadcast(panel.sectors(spark, d)), "symbol", "left").na.fill(0, ["n"])
+    n = u.join(b.groupBy("symbol").agg(F.count("*").alias("n")), "symbol", "left").join(panel.sectors(spark, d), "symbol", "left").na.fill(0, ["n"])
     a = n.agg(F.count("*").alias("universe"), F.count_if(F.col("n") > 0).alias("with_data"), F.bround(F.avg("n"), 2).alias("history"), F.count_distinct("sector").alias("sectors"), F.count_if(F.col("n") >= 61).alias("ready"))
     return a.withColumn("score", scores.readiness(F.col("universe"), F.col("with_data"), F.col("history"), F.col("sectors"), F.col("ready")))
 

@@ -161,7 +161,7 @@ s2 as (select *, case when sum(w) over (partition by sector) > 0.3 then w * 0.3
 s3 as (select *, case when sum(w2) over () > 0.9 then w2 * 0.9 / sum(w2) over () else w2 end as w3 from s2)
 select symbol, sector, {R('w3')} as weight from s3""")
 def weights_constrained(spark, d):
-    w = markets.inverse_volatility(returns(spark, d)).join(F.broadcast(panel.sectors(spark, d)), "symbol")
+    w = markets.inverse_volatility(returns(spark, d)).join(panel.sectors(spark, d), "symbol")
     return markets.constrain_weights(w, 0.045, 0.3, 0.1)
 
 
@@ -187,7 +187,7 @@ m as (select max(pct) as single_pct, sum(pct) filter (k <= 5) as top5_pct, 100 -
 select {R('single_pct')} as single_pct, {R('top5_pct')} as top5_pct, {R('cash_pct')} as cash_pct, {R('sector_pct')} as sector_pct,
  cast(round_even(least(least(single_pct / 50, 1) * 35 + least(sector_pct / 75, 1) * 30 + least(top5_pct / 100, 1) * 20 + case when cash_pct < 5 then (5 - cash_pct) / 5 * 15 when cash_pct > 50 then least((cash_pct - 50) / 50, 1) * 15 else 0 end, 100), 2) as double) as score from m""")
 def risk_report(spark, d):
-    h = panel.bars(spark, d).join(F.broadcast(panel.sectors(spark, d)), "symbol").groupBy("symbol", "sector").agg(F.sum(F.col("volume") * F.col("close")).alias("value"))
+    h = panel.bars(spark, d).join(panel.sectors(spark, d), "symbol").groupBy("symbol", "sector").agg(F.sum(F.col("volume") * F.col("close")).alias("value"))
     return _rounded(markets.risk_report(h, 1_000_000.0))
 
 

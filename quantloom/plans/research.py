@@ -318,7 +318,7 @@ nt as (select z.*, coalesce(sector, 'Unknown') as sector, z - avg(z) over (parti
 
 @query("pipeline_stages", f"with {CS}, {PIPE} select symbol, date, sector, {R('w')} as winsorized, {R('z')} as zscore, {R('neutral')} as neutral from nt")
 def pipeline_stages(spark, d):
-    f = factor_frame(spark, d, ["momentum_20d"]).join(F.broadcast(panel.sectors(spark, d)), "symbol", "left")
+    f = factor_frame(spark, d, ["momentum_20d"]).join(panel.sectors(spark, d), "symbol", "left")
     p = crosssection.pipeline(f, "momentum_20d")
     return _rounded(p.select("symbol", "date", "sector", "winsorized", "zscore", "neutral"), "symbol", "date")
 

@@ -39,6 +39,15 @@ def clean(bars: DataFrame) -> DataFrame:
     return bars.filter((c > 0) & ~F.isnan(c) & (c < float("inf")))
 
 
+def numeric_history(bars: DataFrame) -> DataFrame:
+    """Rows whose close is a number, read from text where it has to be; unlike ``clean`` it keeps closes of zero and less.
+
+    Text that is no number, NULL and NaN go; infinite closes stay, as numbers.
+    """
+    d = bars.withColumn("close", F.col("close").try_cast("double"))
+    return d.filter(F.col("close").isNotNull() & ~F.isnan("close"))
+
+
 METRICS = ["pe_ratio", "pb_ratio", "ev_to_ebitda", "roe", "roa", "gross_margin", "net_margin", "revenue_growth", "eps_growth", "debt_to_equity", "current_ratio", "quick_ratio"]
 
 

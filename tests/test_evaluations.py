@@ -7,9 +7,10 @@ import random
 import statistics
 
 import pytest
+from pyspark.sql import functions as F
 
-from quantloom.operators import alpha, backtest, evaluation, scores
-from quantloom.sources import reports
+from quantloom.operators import alpha, backtest, evaluate, evaluation, factors, markets, scores, series, store
+from quantloom.sources import panel, reports
 from quantloom.sources.tables import kept
 
 DAY = dt.date(2020, 1, 1)
@@ -230,3 +231,59 @@ def test_fold_sharpe(spark):
     folds = spark.createDataFrame([(0, day(0), day(2)), (1, day(3), day(5)), (2, day(90), day(99))], "fold int, test_start date, test_end date")
     r = scores.fold_sharpe(d, folds, ["factor_name"]).first()
     assert r.n_folds == 1 and r.walk_forward_sharpe == pytest.approx(0.2 / 0.1 * 252**0.5)
+
+
+def test_calendar_without_a_month(spark):
+    d = spark.createDataFrame([("a", dt.date(2020, 1, 5), 0.1), ("a", dt.date(2020, 1, 9), 0.1), ("a", dt.date(2020, 4, 1), -0.5), ("b", dt.date(2020, 3, 1), 0.2)], "run string, date date, ret double")
+    got = sorted((r.run, r.period.month, round(r.ret, 6)) for r in evaluation.by_calendar(d, "month").collect())
+    assert got == [("a", 1, 0.21), ("a", 2, 0.0), ("a", 3, 0.0), ("a", 4, -0.5), ("b", 3, 0.2)]
+    assert sorted(round(r.ret, 6) for r in series.calendar(d.filter("run = 'a'"), "month").collect()) == [-0.5, 0.0, 0.0, 0.21]
+
+
+def test_few_days_of_a_regime_warn(spark):
+    d = spark.createDataFrame([("BULL", 29), ("BEAR", 30), ("UNKNOWN", 15)], "regime string, n long")
+    assert [(r.code, r.regime, r.n) for r in store.regime_warnings(d).orderBy("regime").collect()] == [("WARN_LOW_REGIME_SAMPLE", "BULL", 29), ("WARN_HIGH_UNKNOWN_REGIME_RATIO", "UNKNOWN", 15)]
+
+
+def test_own_factor(spark):
+    own = factors.Factor("range_3d", "volatility", 3, -1)
+    frame = lambda: factors.by_symbol().rowsBetween(-2, 0)
+    factors.register(own, lambda: F.max("high").over(frame()) / F.min("low").over(frame()) - 1)
+    try:
+        with pytest.raises(ValueError):
+            factors.register(own, lambda: F.lit(1.0))
+        bars = spark.createDataFrame([(s, day(k), 10.0 + k, 11.0 + k + (s == "B"), 9.0) for s in "AB" for k in range(8)], "symbol string, date date, close double, high double, low double")
+        d = factors.price_factors(bars, ["range_3d", "reversal_5d"])
+        assert {(r.symbol, round(r.range_3d, 6)) for r in d.filter(d.date == day(7)).collect()} == {("A", 1.0), ("B", round(19 / 9 - 1, 6))}
+        ic = evaluate.daily_ic(evaluate.observations(d, "range_3d", [1], factors.REGISTRY["range_3d"].sign))
+        assert ic.count() == 7
+    finally:
+        factors.unregister("range_3d")
+    assert "range_3d" not in factors.REGISTRY
+    for name, wrong in (("momentum_20d", own), ("No Name", own), ("x", factors.Factor("x", "f", 1, 2))):
+        with pytest.raises(ValueError):
+            factors.register(factors.Factor(name, "f", 1, wrong.sign), lambda: F.lit(1.0), replace=True)
+    with pytest.raises(ValueError):
+        factors.unregister("momentum_20d")
+
+
+def test_recent_covariance(spark):
+    r = random.Random(5)
+    days = [day(k) for k in range(40)]
+    closes = {s: {d: 100 * math.exp(r.gauss(0, 0.1)) for d in days if r.random() > 0.1} for s in "ABC"} | {"D": {d: 1.0 for d in days[-3:]}}
+    bars = spark.createDataFrame([(s, d, c) for s, m in closes.items() for d, c in m.items()] + [("A", day(99), 1.0), ("B", None, 2.0)], "symbol string, date date, close double")
+    got = {(x.a, x.b): x.cov for x in markets.recent_covariance(bars, str(days[-1]), lookback=15, shrink=0.25).collect()}
+    rets = {}
+    for s in "ABC":  # D is too short
+        ordered = sorted(closes[s])
+        rets[s] = dict([(b, closes[s][b] / closes[s][a] - 1) for a, b in zip(ordered, ordered[1:])][-15:])
+    common = sorted(set.intersection(*map(set, rets.values())))
+    assert len(common) > 2 and set(got) == {(a, b) for a in "ABC" for b in "ABC"}
+    for (a, b), cov in got.items():
+        want = statistics.covariance([rets[a][d] for d in common], [rets[b][d] for d in common])
+        assert cov == pytest.approx(want * (1 if a == b else 0.75))
+
+
+def test_history_of_text(spark):
+    d = spark.createDataFrame([("A", "1.5"), ("A", "-2"), ("A", "0"), ("A", "x"), ("A", None), ("A", "NaN"), ("A", "")], "symbol string, close string")
+    assert sorted(r.close for r in panel.numeric_history(d).collect()) == [-2.0, 0.0, 1.5]

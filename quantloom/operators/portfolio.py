@@ -15,27 +15,36 @@ def mark_prices(bars: DataFrame, day: str) -> DataFrame:
     return bars.groupBy("symbol").agg(F.coalesce(F.when(F.count_if(before) > 0, seen), F.max_by("close", "date")).alias("price"))
 
 
-def allocation(positions: DataFrame, prices: DataFrame, cash: float) -> DataFrame:
+def allocation(positions: DataFrame, prices: DataFrame, cash: float, cash_alone: bool = True) -> DataFrame:
     """positions (symbol, qty) -> (symbol, qty, price, current_value, current_weight), cash as a row of its own.
 
-    A position without a price has no value (NULL): callers check.
+    A position without a price has no value (NULL): callers check.  Without any position of value the total
+    is the cash, or, where not ``cash_alone``, there is none and weights are NULL.
     """
     d = positions.join(prices, "symbol", "left").select("symbol", F.col("qty").cast("double").alias("qty"), "price", (F.col("qty") * F.col("price")).alias("current_value"))
     one = positions.sparkSession.createDataFrame([("cash", 0.0, None, float(cash))], "symbol string, qty double, price double, current_value double")
-    total = F.sum("current_value").over(Window.partitionBy())  # a row a position
-    return d.union(one).withColumn("current_weight", F.coalesce(div(F.col("current_value"), total), F.lit(0.0)))
+    every = Window.partitionBy()  # a row a position
+    total = _total(F.sum("current_value").over(every), F.count("current_value").over(every), cash_alone)
+    return d.union(one).withColumn("current_weight", F.when(total.isNotNull(), F.coalesce(div(F.col("current_value"), total), F.lit(0.0))))
 
 
-def rebalance(positions: DataFrame, targets: DataFrame, prices: DataFrame, cash: float, rate: float = 0.001) -> DataFrame:
+def _total(worth, valued, cash_alone: bool):
+    """The worth of an allocation's rows, of which cash is one; see ``allocation``."""
+    return worth if cash_alone else F.when(valued > 1, worth)
+
+
+def rebalance(positions: DataFrame, targets: DataFrame, prices: DataFrame, cash: float, rate: float = 0.001, cash_alone: bool = True) -> DataFrame:
     """targets (symbol, target_weight) -> what to trade a symbol, in whole shares.
 
     Buys are sized so that their commission fits, sells by what is held.  Where that costs more than cash
-    and sells bring, all buys are scaled alike, to one share at least.
+    and sells bring, all buys are scaled alike, to one share at least.  Where there is no total (see
+    ``allocation``), weights, target values and differences are NULL and nothing is traded.
     """
-    held = allocation(positions, prices, cash)
-    total = held.agg(F.sum("current_value").alias("total_assets"))
+    held = allocation(positions, prices, cash, cash_alone)
+    total = held.agg(_total(F.sum("current_value"), F.count("current_value"), cash_alone).alias("total_assets"))
     d = held.filter("symbol <> 'cash'").select("symbol", "qty", "current_value", "current_weight").join(targets.filter("symbol <> 'cash'"), "symbol", "full").join(prices, "symbol", "left").join(F.broadcast(total), F.lit(True))
     d = d.na.fill(0.0, ["qty", "current_value", "current_weight", "target_weight"])
+    d = d.withColumn("current_weight", F.when(F.col("total_assets").isNotNull(), F.col("current_weight")))
     d = d.withColumn("target_value", F.col("total_assets") * F.col("target_weight")).withColumn("difference", F.col("target_value") - F.col("current_value"))
     p, gap = F.col("price"), F.col("difference")
     buy, sell = F.floor(gap / (p * (1 + rate))), F.least(F.floor("qty"), F.floor(F.abs(gap) / p))

@@ -220,3 +220,37 @@ def test_scorecard_and_warning_borders(spark):
     span = series.drawdown_span(spark.createDataFrame([(dt.date(2024, 1, k + 1), r) for k, r in enumerate([0.1, -0.2, 0.05, -0.1, 0.5])], "date date, ret double")).first()
     assert (span.drawdown_start, span.drawdown_end, span.drawdown_days) == (dt.date(2024, 1, 1), dt.date(2024, 1, 4), 3)
     assert panel.latest_dates(spark.createDataFrame([("A", dt.date(2024, 1, 1))], "symbol string, date date"), spark.createDataFrame([("A",), ("B",)], "symbol string")).filter("last_date is null").count() == 1
+
+
+def test_allocation_without_positions(spark):
+    none, px = spark.createDataFrame([], "symbol string, qty double"), spark.createDataFrame([("A", 10.0)], "symbol string, price double")
+    weights = lambda held, **kw: {r.symbol: r.current_weight for r in portfolio.allocation(held, px, 50.0, **kw).collect()}
+    assert weights(none) == {"cash": 1.0} and weights(none, cash_alone=False) == {"cash": None}
+    held = spark.createDataFrame([("A", 5.0), ("B", 1.0)], "symbol string, qty double")
+    assert weights(held) == weights(held, cash_alone=False) == {"A": 0.5, "B": 0.0, "cash": 0.5}
+    assert weights(held.filter("symbol = 'B'"), cash_alone=False) == {"B": None, "cash": None}
+
+
+def whole_weeks(path):
+    """A brand with a line in each of seven weeks: no position is left."""
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute("create table part as select 1::bigint as p_partkey, 'Brand#11' as p_brand")
+    con.execute("create table lineitem as select k::bigint as l_orderkey, 1::bigint as l_partkey, 1 as l_linenumber, 2.0::double as l_quantity, 90.0::double + k as l_extendedprice, timestamp '1996-01-01' + interval (k) week as l_shipdate from range(7) t(k)")
+    for t in ("part", "lineitem"):
+        con.execute(f"copy {t} to '{path}/{t}.parquet' (format parquet)")
+    return con
+
+
+def same_as_sql(spark, name, path):
+    import __spark_entry__ as entry
+
+    con = whole_weeks(path)
+    df = entry.queries()[name](spark, str(path))
+    text = lambda rows: sorted(tuple(str(x) for x in r) for r in rows)
+    want = con.execute(f"select {', '.join(df.columns)} from ({entry.oracle_sql()[name]})").fetchall()
+    assert want and text(df.collect()) == text(want)
+
+
+def test_allocation_snapshot_without_positions_is_as_in_sql(spark, tmp_path):
+    same_as_sql(spark, "allocation_snapshot", tmp_path)

@@ -1,10 +1,13 @@
-"""Covariances of many symbols by tiles: blocks of symbols times spans of dates, partial sums merged.
+"""Covariances of many symbols by tiles: blocks of symbols, each pair of blocks one product.
 
-Plan: values are centred by their symbol's mean (sums of products then cancel nothing) -> one matrix a
-block of symbols and span of dates, packed -> pairs of blocks meet by span (blocks with blocks, never
-symbols with symbols) -> a product of two matrices gives a tile's partial sums -> these are added up by
-tile, each task holding one tile.  Memory is bounded by BLOCK and SPAN whatever the number of symbols,
-and a span of dates is the unit of work, so few symbols with long histories spread as well.
+Plan: values are centred by their symbol's mean (sums of products then cancel nothing) and written -> one
+matrix a block of symbols, packed and written -> the blocks' table is paired with itself (a Cartesian product
+of its few partitions: blocks with blocks, never symbols with symbols) -> a product of two matrices gives a
+tile's covariances at once.  No partial sum is shuffled: what is written and shuffled are the values, once
+each, so disk grows with the input though the pairs grow with its square.
+
+A matrix has at most BLOCK symbols, and fewer where histories are longer than SPAN days, so that it stays
+at about BLOCK * SPAN cells; a task holds two of them and the sums of one tile.
 
 Pairs count the dates that both symbols have, so histories need not be aligned.  A pair without a date
 in common has no row, one with a single date has NULL.  Rows without symbol, date or value take no part.
@@ -17,95 +20,88 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Symbols of a block, about (they are dealt by hash), and days of a span.
-BLOCK, SPAN = 128, 512
+from ..sources.tables import kept
+
+#: Symbols of a block, about (they are dealt by hash), and days up to which a block has as many.
+BLOCK, SPAN = 256, 2048
+#: Partitions of the blocks' table (tasks: their square) and the blocks of one where there are more.
+PARTS, PART_BLOCKS = 24, 16
 SIDE = ("names", "days", "cells")
-PARTIAL = "x int, y int, xs array<string>, ys array<string>, n array<double>, sx array<double>, sy array<double>, sxy array<double>"
+PAIR = ["a", "b", "n", "cov"]
 
 
-def _column(values: list[np.ndarray], kind) -> pa.ListArray:
-    ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, object if kind == pa.string() else kind.to_pandas_dtype()), *values]), kind))
+def _matrix(block: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """Rows (block, symbol, day, x) of one block -> a row: names, days, cells by row, NaN where there is none."""
+    t = pa.Table.from_batches(parts).combine_chunks()
+    symbols = t["symbol"].combine_chunks().dictionary_encode()
+    days, j = np.unique(t["day"].to_numpy(), return_inverse=True)
+    m = np.full((len(symbols.dictionary), len(days)), np.nan)
+    m[symbols.indices.to_numpy(), j] = t["x"].to_numpy()
+    one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), one(symbols.dictionary), one(pa.array(days, pa.int32())), one(pa.array(m.ravel()))], ["block", *SIDE])
 
 
 def _pack(batches):
-    """(block, span, rows<symbol, day, x>) -> the same as a matrix: names, days, cells by row, NaN where there is none."""
+    """Rows sorted by block -> a row a block."""
+    at, parts = None, []
     for b in batches:
-        out = []
-        for rows in b.column(2):
-            s = rows.values
-            names, i = np.unique(s.field("symbol").to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
-            days, j = np.unique(s.field("day").to_numpy(), return_inverse=True)
-            m = np.full((len(names), len(days)), np.nan)
-            m[i, j] = s.field("x").to_numpy()
-            out.append((names.astype(object), days, m.ravel()))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[_column(list(c), k) for c, k in zip(zip(*out), (pa.string(), pa.int32(), pa.float64()))]], ["block", "span", *SIDE])
-
-
-def _side(row: dict, of: str) -> tuple[list, np.ndarray, np.ndarray]:
-    names, days, cells = (row[f"{of}_{c}"] for c in SIDE)
-    return names, np.array(days), np.array(cells).reshape(len(names), -1)
+        if not b.num_rows:
+            continue
+        block = b.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)]
+        for start, end in zip(cuts, cuts[1:]):
+            if parts and block[start] != at:
+                yield _matrix(at, parts)
+                parts = []
+            at = int(block[start])
+            parts.append(b.slice(start, end - start))
+    if parts:
+        yield _matrix(at, parts)
+
+
+def _side(b: pa.RecordBatch, k: int, of: str) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    names, days, cells = (b.column(f"{of}_{c}")[k].values for c in SIDE)
+    return names, days.to_numpy(), cells.to_numpy().reshape(len(names), -1)
+
+
+def _tile(dx: np.ndarray, x: np.ndarray, dy: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two matrices and their days -> (n, cov) of each pair of their rows over the days that both have."""
+    _, i, j = np.intersect1d(dx, dy, assume_unique=True, return_indices=True)
+    x, y = x[:, i], y[:, j]
+    mx, my = ((~np.isnan(z)).astype(float) for z in (x, y))
+    x, y = np.nan_to_num(x), np.nan_to_num(y)
+    n = mx @ my.T
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return n, (x @ y.T - (x @ my.T) * (mx @ y.T) / n) / (n - 1)
 
 
 def _products(batches):
-    """A row a pair of packed blocks -> the sums of each pair of symbols over their common days."""
-    for b in batches:
-        for row in (b.slice(k, 1).to_pylist()[0] for k in range(b.num_rows)):
-            (xs, dx, x), (ys, dy, y) = _side(row, "x"), _side(row, "y")
-            _, i, j = np.intersect1d(dx, dy, assume_unique=True, return_indices=True)
-            x, y = x[:, i], y[:, j]
-            mx, my = ((~np.isnan(z)).astype(float) for z in (x, y))
-            x, y = np.nan_to_num(x), np.nan_to_num(y)
-            sums = [mx @ my.T, x @ my.T, mx @ y.T, x @ y.T]
-            yield pa.RecordBatch.from_arrays([pa.array([row["x"]], pa.int32()), pa.array([row["y"]], pa.int32()), pa.array([xs]), pa.array([ys]), *[_column([s.ravel()], pa.float64()) for s in sums]], ["x", "y", "xs", "ys", "n", "sx", "sy", "sxy"])
-
-
-def _merge(batches):
-    """Partial sums sorted by tile -> (a, b, n, cov) of every pair of symbols, both ways round."""
-
-    def result(key, xs, ys, sums):
-        n, sx, sy, sxy = sums
-        with np.errstate(divide="ignore", invalid="ignore"):
-            cov = (sxy - sx * sy / n) / (n - 1)
-        i, j = np.nonzero(n > 0)
-        a, b = np.array(list(xs), object)[i], np.array(list(ys), object)[j]
-        count, value = n[i, j].astype(np.int64), pa.array(cov[i, j], mask=n[i, j] < 2)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(count), value], ["a", "b", "n", "cov"])
-        if key[0] != key[1]:
-            yield pa.RecordBatch.from_arrays([pa.array(b, pa.string()), pa.array(a, pa.string()), pa.array(count), value], ["a", "b", "n", "cov"])
-
-    at = None
+    """A row a pair of packed blocks -> (a, b, n, cov) of every pair of symbols, both ways round."""
     for batch in batches:
-        for row in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
-            key = (row["x"], row["y"])
-            if key != at:
-                if at is not None:
-                    yield from result(at, xs, ys, sums)
-                at, xs, ys, sums = key, {}, {}, [np.zeros((0, 0))] * 4
-            for s in row["xs"]:
-                xs.setdefault(s, len(xs))
-            for s in row["ys"]:
-                ys.setdefault(s, len(ys))
-            grown = [np.zeros((len(xs), len(ys))) for _ in sums]
-            place = np.ix_([xs[s] for s in row["xs"]], [ys[s] for s in row["ys"]])
-            for g, old, name in zip(grown, sums, ("n", "sx", "sy", "sxy")):
-                g[:old.shape[0], :old.shape[1]] = old
-                g[place] += np.array(row[name]).reshape(len(row["xs"]), len(row["ys"]))
-            sums = grown
-    if at is not None:
-        yield from result(at, xs, ys, sums)
+        for k in range(batch.num_rows):
+            (xs, dx, x), (ys, dy, y) = _side(batch, k, "x"), _side(batch, k, "y")
+            n, cov = _tile(dx, x, dy, y)
+            i, j = np.nonzero(n > 0)
+            a, b = xs.take(pa.array(i)), ys.take(pa.array(j))
+            count, value = pa.array(n[i, j].astype(np.int64)), pa.array(cov[i, j], mask=n[i, j] < 2)
+            yield pa.RecordBatch.from_arrays([a, b, count, value], PAIR)
+            if batch.column("x")[k] != batch.column("y")[k]:
+                yield pa.RecordBatch.from_arrays([b, a, count, value], PAIR)
 
 
 def covariance_tiles(values: DataFrame, column: str, block: int = BLOCK, span: int = SPAN) -> DataFrame:
     """(symbol, date, <column>) -> (a, b, n, cov): sample covariance over the n dates that both symbols have."""
     x = F.col(column)
     d = values.select(F.col("symbol").cast("string").alias("symbol"), F.unix_date("date").alias("day"), x.cast("double").alias("x")).filter("symbol is not null and day is not null and x is not null and not isnan(x)")
+    d = kept(d, "tile-values")
     means = d.groupBy("symbol").agg(F.avg("x").alias("mean"))
-    blocks = means.agg(F.ceil(F.count("*") / block)).first()[0] or 1
-    d = d.join(means, "symbol").select("symbol", "day", (F.col("x") - F.col("mean")).alias("x"), F.pmod(F.xxhash64("symbol"), F.lit(int(blocks))).cast("int").alias("block"), F.floor(F.col("day") / span).cast("int").alias("span"))
-    packed = d.groupBy("block", "span").agg(F.collect_list(F.struct("symbol", "day", "x")).alias("rows"))
-    packed = packed.mapInArrow(_pack, "block int, span int, names array<string>, days array<int>, cells array<double>")
-    side = lambda of: packed.select("span", F.col("block").alias(of), *[F.col(c).alias(f"{of}_{c}") for c in SIDE])
-    tiles = side("x").join(side("y"), "span").filter("x <= y")
-    partial = tiles.select("x", "y", *[f"{of}_{c}" for of in "xy" for c in SIDE]).mapInArrow(_products, PARTIAL)
-    return partial.repartition("x", "y").sortWithinPartitions("x", "y").mapInArrow(_merge, "a string, b string, n long, cov double")
+    symbols, days = means.count(), d.select("day").distinct().count()
+    most = max(1, min(block, block * span // max(1, days)))
+    blocks = max(1, -(-symbols // most))
+    d = d.join(means, "symbol").select(F.pmod(F.xxhash64("symbol"), F.lit(blocks)).cast("int").alias("block"), "symbol", "day", (F.col("x") - F.col("mean")).alias("x"))
+    packed = d.repartition("block").sortWithinPartitions("block").mapInArrow(_pack, "block int, names array<string>, days array<int>, cells array<double>")
+    packed = kept(packed, "tile-blocks").repartition(min(blocks, max(PARTS, -(-blocks // PART_BLOCKS))), "block")
+    side = lambda of: packed.select(F.col("block").alias(of), *[F.col(c).alias(f"{of}_{c}") for c in SIDE])
+    # the hint asks for the product of partitions: a broadcast would leave the pairs to the other side's partitions
+    tiles = side("x").join(side("y").hint("shuffle_replicate_nl"), F.col("x") <= F.col("y"))
+    return tiles.mapInArrow(_products, "a string, b string, n long, cov double")

@@ -100,6 +100,15 @@ def test_covariance_plan_joins_no_symbols_by_date(spark):
     assert out.count() == 1600 and covariance_tiles(bars.limit(0), "close").count() == 0
 
 
+def test_covariance_shuffles_values_but_no_sums_of_pairs(spark):
+    bars = panel(spark, 40, 30)
+    out = covariance_tiles(bars, "close", block=10, span=512)
+    plan = out._jdf.queryExecution().sparkPlan().toString() + out._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan
+    dealt = [line for line in plan.splitlines() if "Exchange hash" in line]
+    assert dealt and all("hashpartitioning(block#" in line for line in dealt)
+
+
 def wide(spark):
     rng = random.Random(7)
     data = [(d, rng.choice([None, float("nan"), *[float(v) for v in range(30)]]) if k % 3 else 5.0) for k, d in enumerate(["x"] * 900 + ["y"] * 40 + [None] * 30 + ["z"])]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,30 +68,50 @@ def ledger(trades: DataFrame, cash: float) -> DataFrame:
 
     An account's trades are folded in their order, since whether one can be paid depends on all before:
     buys beyond the cash and sells beyond the position are rejected; the average cost changes with buys
-    alone.  A row a position, or one without a symbol for an account that holds nothing.
+    alone.  Trades of one ``ord`` go by their other columns.  A row a position, or one without a symbol for
+    an account that holds nothing.  Spark sorts the trades and a task reads them in a stream: it holds a
+    batch and the open positions of its accounts, which are what it returns.
     """
-    import pandas as pd
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        money, held, rejected = cash, {}, 0
-        for row in pdf.sort_values("ord").itertuples():
-            amount = row.shares * row.price
-            qty, cost = held.get(row.symbol, (0.0, 0.0))
-            if row.side == "BUY" and amount <= money:
-                money -= amount
-                held[row.symbol] = (qty + row.shares, (qty * cost + amount) / (qty + row.shares))
-            elif row.side == "SELL" and qty >= row.shares:
-                money += amount
-                held[row.symbol] = (qty - row.shares, cost)
-                if qty == row.shares:
-                    del held[row.symbol]
-            else:
-                rejected += 1
-        account = pdf["account"].iloc[0]
-        rows = [(account, s, q, c, money, rejected) for s, (q, c) in sorted(held.items())] or [(account, None, 0.0, None, money, rejected)]
-        return pd.DataFrame(rows, columns=["account", "symbol", "qty", "avg_cost", "cash", "rejected"])
-
-    return trades.groupBy("account").applyInPandas(fold, "account string, symbol string, qty double, avg_cost double, cash double, rejected long")
+    names = ["account", "symbol", "side", "shares", "price"]
+    types = [pa.string(), pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
+
+    def fold(batches):
+        accounts = {}
+        for b in batches:
+            for account, symbol, side, shares, price in zip(*[b.column(n).to_numpy(zero_copy_only=False).tolist() for n in names]):
+                state = accounts.get(account)
+                if state is None:
+                    state = accounts[account] = [cash, {}, 0]
+                held = state[1]
+                amount = shares * price
+                qty, cost = held.get(symbol, (0.0, 0.0))
+                if side == "BUY" and amount <= state[0]:
+                    state[0] -= amount
+                    held[symbol] = (qty + shares, (qty * cost + amount) / (qty + shares))
+                elif side == "SELL" and qty >= shares:
+                    state[0] += amount
+                    held[symbol] = (qty - shares, cost)
+                    if qty == shares:
+                        del held[symbol]
+                else:
+                    state[2] += 1
+        rows = []
+        for account, (money, held, rejected) in accounts.items():
+            rows += [(account, s, q, c, money, rejected) for s, (q, c) in sorted(held.items())] or [(account, None, 0.0, None, money, rejected)]
+            if len(rows) > 10_000:
+                yield table(rows)
+                rows = []
+        if rows:
+            yield table(rows)
+
+    def table(rows):
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], ["account", "symbol", "qty", "avg_cost", "cash", "rejected"])
+
+    text, number = lambda c: F.col(c).cast("string").alias(c), lambda c: F.col(c).cast("double").alias(c)
+    d = trades.select(*map(text, names[:3]), *map(number, names[3:]), "ord")
+    # by order alone, an account's trades among others': the first key then decides nearly all comparisons
+    d = d.repartition("account").sortWithinPartitions(F.col("ord").asc_nulls_last(), *names[1:]).select(*names)
+    return d.mapInArrow(fold, "account string, symbol string, qty double, avg_cost double, cash double, rejected long")
 
 
 def marked(positions: DataFrame, prices: DataFrame) -> DataFrame:

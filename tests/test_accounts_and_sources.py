@@ -97,6 +97,34 @@ def test_ledger_rejects_what_cannot_be_paid(spark):
     assert (got["b"].symbol, got["b"].qty, got["b"].cash, got["b"].rejected) == (None, 0.0, 202.0, 0)
 
 
+def test_ledger_reads_an_account_in_a_stream(spark):
+    rows = [(a, k, "XYZ"[k % 3], "SELL" if k % 4 == 3 else "BUY", float(k % 5 + 1), None if k == 6 else float(k % 11 + 1)) for a in ("a", "b", None) for k in range(60)]
+    t = spark.createDataFrame(random.Random(5).sample(rows, len(rows)), "account string, ord int, symbol string, side string, shares double, price double")
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        got = {}
+        for size in ("1000", "7"):  # an account in one batch, and in many
+            spark.conf.set(name, size)
+            out = portfolio.ledger(t, 500.0)
+            got[size] = sorted(map(str, out.collect()))
+        assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(name, before)
+    money, held, rejected = 500.0, {}, 0
+    for _, _, s, side, n, p in rows[:60]:
+        q, c = held.get(s, (0.0, 0.0))
+        if p is not None and side == "BUY" and n * p <= money:
+            money, held[s] = money - n * p, (q + n, (q * c + n * p) / (q + n))
+        elif p is not None and side == "SELL" and q >= n:
+            money, held[s] = money + n * p, (q - n, c)
+        else:
+            rejected += 1
+    assert got["7"] == got["1000"] and len(got["7"]) == 3 * sum(q > 0 for q, _ in held.values())
+    b = {r.symbol: r for r in out.filter("account = 'b'").collect()}
+    assert {s: (r.qty, r.avg_cost, r.cash, r.rejected) for s, r in b.items()} == {s: (q, c, money, rejected) for s, (q, c) in held.items() if q > 0}
+
+
 def test_rebalance_scales_buys_to_the_cash(spark):
     held = spark.createDataFrame([("A", 10.0), ("B", 0.5)], "symbol string, qty double")
     px = spark.createDataFrame([("A", 10.0), ("B", 20.0), ("C", 7.0)], "symbol string, price double")

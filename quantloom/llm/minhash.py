@@ -269,9 +269,10 @@ def verified(pairs: DataFrame, wholes: DataFrame, percent: int = PERCENT) -> Dat
     return both.filter(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def links(own: DataFrame, wholes: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """(node, root) of every row that is linked with another; see the module's plan.  ``own`` has the sketches by row."""
-    spark = own.sparkSession
+def links(wholes: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
+    """(node, root) of every row that is linked with another; see the module's plan."""
+    spark = wholes.sparkSession
+    own = wholes.select("row", F.slice("whole", 1, k).alias("sketch"))  # sets are sorted; rows that meet none have no part
     lists = written(inverted_lists(wholes, percent), "minhash-lists")
     found = spark.createDataFrame([], "u long, v long")
     roots = spark.createDataFrame([], "node long, root long")
@@ -285,7 +286,10 @@ def links(own: DataFrame, wholes: DataFrame, k: int = K, percent: int = PERCENT)
         if not pairs.head(1):
             continue
         tried = tried.union(pairs.select("a", "b"))
-        new = written(verified(likely(pairs, own, k, percent), wholes, percent), "minhash-links")
+        near = written(likely(pairs, own, k, percent), "minhash-near")
+        if not near.head(1):  # whole sets are not dealt out for nothing
+            continue
+        new = written(verified(near, wholes, percent), "minhash-links")
         if new.head(1):
             found = found.union(new)
             roots = written(connected_components(found), "minhash-roots")
@@ -314,7 +318,7 @@ def _grouped(docs: DataFrame, width: int, k: int, percent: int) -> tuple[DataFra
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     texts = docs.select(F.unhex(F.md5(text)).alias("text_key"), text.alias("text")).join(live, "text_key")
     wholes = written(whole_sets(texts.dropDuplicates(["row"]), width), "minhash-wholes")
-    roots = links(own, wholes, k, percent)
+    roots = links(wholes, k, percent)
     rooted = named.join(roots, named.row == roots.node, "left").select("digest", "least", F.coalesce("root", "row").alias("root"))
     least = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "minhash-names")
     return own, written(rooted.join(least, "root").select("digest", "component_id"), "minhash-groups")

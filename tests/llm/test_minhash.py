@@ -91,6 +91,18 @@ def test_lists_without_links_end(spark):
     assert got == plain(rows) and all(r[3] for r in got)
 
 
+def test_sketches_of_rows_that_meet_none_are_not_dealt_out(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [rng.choice(WORDS) for _ in range(120)]
+    rows = [(k, " ".join([*base, f"m{k}"])) for k in range(4)] + [(10 + k, " ".join(f"u{k}_{j}" for j in range(120))) for k in range(50)]
+    seen, whole = [], []
+    likely, verified = minhash.likely, minhash.verified
+    monkeypatch.setattr(minhash, "likely", lambda pairs, own, *a: seen.append(own.count()) or likely(pairs, own, *a))
+    monkeypatch.setattr(minhash, "verified", lambda pairs, *a: whole.append(pairs.count()) or verified(pairs, *a))
+    assert found(minhash.groups(table(spark, rows))) == plain(rows)
+    assert seen and max(seen) == 4 and whole and min(whole) > 0
+
+
 def test_least_count():
     for k in (16, 64, 96):
         c = minhash.shared_least(k)

@@ -8,12 +8,12 @@ distinct ``width``-word shingles (with fewer words: of the whole sequence).  The
 Plan
   sets        one Arrow pass gives size, set digest and sketch of every row (no shuffle, a table is written);
               rows with one set are one representative from here on, so exact copies never meet in a list.
-  sketches    sketch values are counted (partial sums first) and those of one document alone go; two linked
-              sketches share at least ``shared_least`` values, so of each sketch all but the ``shared_least`` - 1
-              most frequent values are enough to meet (prefix filter).  Documents none of whose values is
-              left have no partner; the others are live, and their whole sets are made.
-  lists       the same with the whole sets of the live ones, where the bound is exact: a set meets others in the
-              lists of its n - ceil(n * percent) + 1 rarest values, each with its place in the set's order
+  sketches    sketch values are counted (partial sums first), over rows: a value is another set's too if more
+              rows have it than the set has copies.  Two linked sketches share at least ``shared_least`` values;
+              sets that share fewer with others have no partner, the others are live, and their whole sets are
+              made.  No sketch is dealt out, nor the texts and sets that a join has no use for (``among``).
+  lists       with the whole sets of the live ones the bound is exact: a set meets others in the lists of its
+              n - ceil(n * percent) + 1 rarest values (prefix filter), each with its place in the set's order
               of rarity.  Two sets whose first common value is at places i and j share at most min(na - i,
               nb - j); pairs that this keeps under the threshold are none.  What half the corpus has in
               common builds no list, unless it is nearly all of a text.
@@ -65,6 +65,8 @@ CLASSES = (1, 8)
 BLOCK = 8192
 #: Pairs that leave a task at once, about.
 HELD = 1 << 16
+#: Bits of the map of the keys that a join asks for, whatever their number: 4 MB.
+MAP_BITS = 1 << 25
 
 
 def shingle_set(text: bytes, width: int = WIDTH, seed: int = 42) -> np.ndarray:
@@ -128,6 +130,21 @@ def whole_sets(texts: DataFrame, width: int = WIDTH) -> DataFrame:
     return texts.select("row", "text").mapInArrow(released(run), "row long, whole array<long>")
 
 
+def among(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose key may be one of ``wanted``, a table with that column alone: a join need not deal out the others.
+
+    ``MAP_BITS`` bits, one for a hash: no row is lost, and the more keys are wanted, the more others pass.
+    """
+    def place(c):
+        return F.pmod(F.xxhash64(c), F.lit(MAP_BITS))
+
+    at = F.bitmap_bit_position("_at")
+    maps = wanted.select(place(key).alias("_at")).groupBy(F.bitmap_bucket_number("_at").alias("_bucket")).agg(F.bitmap_construct_agg(at).alias("_map"))
+    byte = F.conv(F.hex(F.substring("_map", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    kept = rows.withColumn("_at", place(key)).withColumn("_bucket", F.bitmap_bucket_number("_at")).join(F.broadcast(maps), "_bucket")
+    return kept.filter(F.getbit(byte, at.bitwiseAND(7).cast("int")) == 1).select(*rows.columns)
+
+
 def _by_rarity(sets: DataFrame, places, size, name: str) -> DataFrame:
     """(row, n, values) -> (row, n, score, own, alone): the values that others have too, rarest first, as far as ``places``.
 
@@ -148,14 +165,18 @@ def _by_rarity(sets: DataFrame, places, size, name: str) -> DataFrame:
     return shared.select("row", "n", score.alias("score"), F.slice("own", 1, F.greatest(F.col("places") - alone, F.lit(0))).alias("own"), alone.alias("alone")).filter(F.size("own") > 0)
 
 
-def live_rows(reps: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """(row, n, sketch) -> the rows whose sketch can meet another's."""
+def live_rows(own: DataFrame, sets: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
+    """Rows (row, sketch) and sets (row, n, copies) -> the rows of sets whose sketch can meet another's."""
     least = shared_least(k, percent)
     need = F.ceil(F.col("n") * percent / 100)
     # a partner may be larger by 100 / percent: only if it still fits a sketch are all shared values seen
     need = F.when(F.col("n") * 100 <= k * percent, need).otherwise(F.least(need, F.lit(least)))
-    size = F.least(F.col("n"), F.lit(k))
-    return _by_rarity(reps.select("row", "n", F.col("sketch").alias("values")), size - need + 1, size, "minhash-often").select("row")
+    values = own.select("row", F.explode("sketch").alias("v"))
+    often = written(values.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1"), "minhash-often")
+    shared = values.join(often.hint("merge"), "v").select("row", "df")
+    # a set's copies have all of its values: what more rows have, another set has
+    shared = shared.join(sets.select("row", "n", "copies").hint("merge"), "row").filter("df > copies")
+    return shared.groupBy("row", "n").agg(F.count("*").alias("hits")).filter(F.col("hits") >= need).select("row")
 
 
 def inverted_lists(wholes: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -251,8 +272,13 @@ def _with(pairs: DataFrame, side: str, table: DataFrame, column: str) -> DataFra
     return pairs.join(table.select(F.col("row").alias(side), F.col(column).alias(column + side)), side)
 
 
+def _of_pairs(table: DataFrame, pairs: DataFrame) -> DataFrame:
+    return among(table, "row", pairs.select(F.explode(F.array("a", "b")).alias("row")))
+
+
 def likely(pairs: DataFrame, own: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     """Pairs whose union sketch lets them be linked."""
+    own = _of_pairs(own, pairs)
     both = _with(_with(pairs, "a", own, "sketch"), "b", own, "sketch")
     union = F.array_sort(F.array_union("sketcha", "sketchb"))
     both = both.withColumn("sample", F.slice(union, 1, k))
@@ -264,6 +290,7 @@ def likely(pairs: DataFrame, own: DataFrame, k: int = K, percent: int = PERCENT)
 
 def verified(pairs: DataFrame, wholes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(u, v) of the pairs that are linked, by whole sets."""
+    wholes = _of_pairs(wholes, pairs)
     both = _with(_with(pairs, "a", wholes, "whole"), "b", wholes, "whole")
     both = both.select("a", "b", "na", "nb", F.size(F.array_intersect("wholea", "wholeb")).cast("long").alias("common"))
     return both.filter(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -311,13 +338,12 @@ def _grouped(docs: DataFrame, width: int, k: int, percent: int) -> tuple[DataFra
     """Every row (doc_id, n, digest, ...) and every set's component (digest, component_id), both written."""
     own = written(sketches(docs, width, k).withColumn("row", F.monotonically_increasing_id()), "minhash-own")
     full = own.filter("n > 0")
-    named = written(full.groupBy("digest").agg(F.min("row").alias("row"), F.min("doc_id").alias("least")), "minhash-sets")
-    reps = full.join(named.select("row"), "row", "left_semi").select("row", "text_key", "n", "sketch")  # not kept a second time
+    named = written(full.groupBy("digest").agg(F.min("row").alias("row"), F.min("doc_id").alias("least"), F.min("n").alias("n"), F.count("*").alias("copies")), "minhash-sets")
     # whole sets of those that can meet others, from one of the texts that have the representative's key
-    live = written(reps.select("row", "text_key").join(live_rows(reps, k, percent), "row", "left_semi"), "minhash-live")
+    live = written(full.select("row", "text_key").join(live_rows(full, named, k, percent), "row", "left_semi"), "minhash-live")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    texts = docs.select(F.unhex(F.md5(text)).alias("text_key"), text.alias("text")).join(live, "text_key")
-    wholes = written(whole_sets(texts.dropDuplicates(["row"]), width), "minhash-wholes")
+    texts = among(docs.select(F.unhex(F.md5(text)).alias("text_key"), text.alias("text")), "text_key", live.select("text_key"))
+    wholes = written(whole_sets(texts.dropDuplicates(["text_key"]).join(live, "text_key"), width), "minhash-wholes")
     roots = links(wholes, k, percent)
     rooted = named.join(roots, named.row == roots.node, "left").select("digest", "least", F.coalesce("root", "row").alias("root"))
     least = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "minhash-names")

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quantloom.llm import minhash
 
@@ -103,6 +104,52 @@ def test_sketches_of_rows_that_meet_none_are_not_dealt_out(spark, monkeypatch):
     assert seen and max(seen) == 4 and whole and min(whole) > 0
 
 
+def test_texts_that_meet_none_are_not_shuffled(spark):
+    rng = random.Random(9)
+
+    def text():
+        return [f"{rng.getrandbits(800):0200x}" for _ in range(100)]
+
+    base = text()
+    rows = [(k, " ".join([*base, f"m{k}"])) for k in range(3)] + [(10 + k, " ".join(text())) for k in range(200)]
+    docs = table(spark, rows).repartition(4).localCheckpoint()
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        own = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+        return sum(own.apply(k).totalShuffleWrite() for k in range(own.size()))
+
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(name, "-1")  # as where no side is small
+    try:
+        before = shuffled()
+        got = found(minhash.groups(docs))
+        moved = shuffled() - before
+    finally:
+        spark.conf.unset(name)
+    assert got == plain(rows)
+    assert 0 < moved < sum(len(t) for _, t in rows) / 2
+
+
+def test_copies_alone_make_no_set_live(spark):
+    rng = random.Random(10)
+    copied, near = [[f"{name}{rng.random()}" for _ in range(150)] for name in "cn"]
+    rows = [(k, " ".join(copied)) for k in range(30)] + [(40, " ".join(near)), (41, " ".join(near)), (42, " ".join([*near, "more"]))]
+    own = minhash.sketches(table(spark, rows)).withColumnRenamed("doc_id", "row").localCheckpoint()
+    sets = own.groupBy("digest").agg(F.min("row").alias("row"), F.min("n").alias("n"), F.count("*").alias("copies"))
+    assert sorted(r.row for r in minhash.live_rows(own, sets).collect()) == [40, 42]
+
+
+@pytest.mark.parametrize("bits", [1 << 25, 1 << 16])
+def test_map_loses_no_key(spark, monkeypatch, bits):
+    monkeypatch.setattr(minhash, "MAP_BITS", bits)
+    rows = spark.range(20_000).select(F.unhex(F.md5(F.col("id").cast("string"))).alias("key"), F.col("id").alias("at"), F.lit("x").alias("bits"))
+    wanted = rows.filter("at % 10 = 0").select("key")
+    got = {r.at for r in minhash.among(rows, "key", wanted).select("at").collect()}
+    assert got >= set(range(0, 20_000, 10)) and len(got) < (2010 if bits > 1 << 20 else 3000)
+    assert minhash.among(rows, "key", wanted.limit(0)).count() == 0
+
+
 def test_least_count():
     for k in (16, 64, 96):
         c = minhash.shared_least(k)

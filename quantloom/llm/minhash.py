@@ -11,7 +11,8 @@ Plan
   sketches    sketch values are counted (partial sums first), over rows: a value is another set's too if more
               rows have it than the set has copies.  Two linked sketches share at least ``shared_least`` values;
               sets that share fewer with others have no partner, the others are live, and their whole sets are
-              made.  No sketch is dealt out, nor the texts and sets that a join has no use for (``among``).
+              made.  Whole sketches stay where they are here; later joins deal out the texts, sketches and sets that
+              they may ask for, and few others (``among``).
   lists       with the whole sets of the live ones the bound is exact: a set meets others in the lists of its
               n - ceil(n * percent) + 1 rarest values (prefix filter), each with its place in the set's order
               of rarity.  Two sets whose first common value is at places i and j share at most min(na - i,

@@ -6,6 +6,10 @@ of its few partitions: blocks with blocks, never symbols with symbols) -> a prod
 tile's covariances at once.  No partial sum is shuffled: what is written and shuffled are the values, once
 each, so disk grows with the input though the pairs grow with its square.
 
+The result has a row a pair, and is by far the largest thing written where there are many symbols.  A pair's two
+rows (a, b) and (b, a) have the same count and covariance, so both are laid close to each other, in runs of MIRROR
+rows one way and the same the other: a compressed file then holds each covariance about once, not twice.
+
 A matrix has at most BLOCK symbols, and fewer where histories are longer than SPAN days, so that it stays
 at about BLOCK * SPAN cells; a task holds two of them and the sums of one tile.
 
@@ -26,6 +30,8 @@ from ..sources.tables import kept
 BLOCK, SPAN = 256, 2048
 #: Partitions of the blocks' table (tasks: their square) and the blocks of one where there are more.
 PARTS, PART_BLOCKS = 24, 16
+#: Pairs of a run one way round, which the same pairs the other way round follow; a compressor has to see both at once.
+MIRROR = 32
 SIDE = ("names", "days", "cells")
 PAIR = ["a", "b", "n", "cov"]
 
@@ -81,12 +87,16 @@ def _products(batches):
         for k in range(batch.num_rows):
             (xs, dx, x), (ys, dy, y) = _side(batch, k, "x"), _side(batch, k, "y")
             n, cov = _tile(dx, x, dy, y)
-            i, j = np.nonzero(n > 0)
-            a, b = xs.take(pa.array(i)), ys.take(pa.array(j))
-            count, value = pa.array(n[i, j].astype(np.int64)), pa.array(cov[i, j], mask=n[i, j] < 2)
-            yield pa.RecordBatch.from_arrays([a, b, count, value], PAIR)
-            if batch.column("x")[k] != batch.column("y")[k]:
-                yield pa.RecordBatch.from_arrays([b, a, count, value], PAIR)
+            same = batch.column("x")[k] == batch.column("y")[k]
+            i, j = np.nonzero(np.triu(n > 0) if same else n > 0)
+            other = i < j if same else np.ones(len(i), bool)  # the pairs that have another way round
+            at = np.r_[np.arange(len(i)), np.flatnonzero(other)]
+            back = np.arange(len(at)) >= len(i)
+            order = np.argsort(at // MIRROR, kind="stable")
+            at, back = at[order], back[order]
+            i, j, names = i[at], j[at], pa.concat_arrays([xs, ys])
+            a, b = (names.take(pa.array(np.where(way, j + len(xs), i))) for way in (back, ~back))
+            yield pa.RecordBatch.from_arrays([a, b, pa.array(n[i, j].astype(np.int64)), pa.array(cov[i, j], mask=n[i, j] < 2)], PAIR)
 
 
 def covariance_tiles(values: DataFrame, column: str, block: int = BLOCK, span: int = SPAN) -> DataFrame:

@@ -109,6 +109,17 @@ def test_covariance_shuffles_values_but_no_sums_of_pairs(spark):
     assert dealt and all("hashpartitioning(block#" in line for line in dealt)
 
 
+def test_covariance_of_both_ways_round_is_stored_about_once(spark, tmp_path):
+    bars = panel(spark, 300, 40)
+    out = covariance_tiles(bars, "close")
+    out.write.option("compression", "snappy").parquet(f"{tmp_path}/out")
+    got = spark.read.parquet(f"{tmp_path}/out")
+    back = got.select(F.col("a").alias("b"), F.col("b").alias("a"), F.col("n").alias("m"), F.col("cov").alias("voc"))
+    assert got.count() == 90_000 and got.join(back, ["a", "b"]).filter("n = m and abs(cov - voc) < 1e-9").count() == 90_000
+    size = sum(p.stat().st_size for p in tmp_path.rglob("*.parquet"))
+    assert size < 6 * 90_000  # a double takes 8
+
+
 def wide(spark):
     rng = random.Random(7)
     data = [(d, rng.choice([None, float("nan"), *[float(v) for v in range(30)]]) if k % 3 else 5.0) for k, d in enumerate(["x"] * 900 + ["y"] * 40 + [None] * 30 + ["z"])]
